@@ -8,7 +8,7 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from webcorpus.functions.common import SPACE, WORD_EDGE, trim_space
+from webcorpus.functions.common import SPACE, SPACE_SET, WORD_EDGE, trim_space
 
 # Phrase patterns that are masked, in the order they are applied.
 MASKED_PHRASES = [
@@ -50,4 +50,5 @@ def mask_phrases(text: Column, first_only: bool = True) -> Column:
 
 def heading_line(line: Column) -> Column:
     """A line of three or more letters, digits and blanks that starts with a capital."""
-    return line.rlike(rf"^[A-Z](?:[A-Za-z0-9]|{SPACE}){{2,}}\z")
+    # One character class, not an alternation: Java would recurse once per character.
+    return line.rlike(rf"^[A-Z][A-Za-z0-9{SPACE_SET}]{{2,}}\z")

@@ -133,13 +133,17 @@ def _blocks_of(html: str | None) -> dict:
     return {"blocks": blocks, "codes": codes}
 
 
-@F.arrow_udf(
-    "struct<blocks: array<struct<tag: string, text: string>>,"
-    " codes: array<struct<class: string, text: string>>>"
-)
-def page_blocks(html: pa.Array) -> pa.Array:
+def page_blocks(html: Column | str) -> Column:
     """Raw text blocks and code blocks of each page, in document order."""
-    return pa.array((_blocks_of(page.as_py()) for page in html), type=_BLOCKS_TYPE)
+
+    @F.arrow_udf(
+        "struct<blocks: array<struct<tag: string, text: string>>,"
+        " codes: array<struct<class: string, text: string>>>"
+    )
+    def parse(pages: pa.Array) -> pa.Array:
+        return pa.array((_blocks_of(page.as_py()) for page in pages), type=_BLOCKS_TYPE)
+
+    return parse(html)
 
 
 def _simple(selector: str):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Iterator
 
@@ -31,39 +32,40 @@ class TokenBucket(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.bucket = handle.getValueState("bucket", "tokens bigint, last_ms bigint")
-        self.waiting = handle.getMapState("waiting", "ms bigint", "n bigint")
+        self.waiting = handle.getListState("waiting", "ms bigint, n bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         for batch in rows:
-            for ms, n in batch.groupby("ms")["n"].sum().items():
-                seen = self.waiting.getValue((int(ms),)) if self.waiting.containsKey((int(ms),)) else (0,)
-                self.waiting.updateValue((int(ms),), (int(n) + seen[0],))
-        self._wake()
+            self.waiting.appendList(list(zip(batch["ms"].tolist(), batch["n"].tolist())))
+            self.handle.registerTimer(int(batch["ms"].min()))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        ready = sorted(ms for (ms,) in self.waiting.keys() if ms <= watermark)
+        counts: dict[int, int] = {}
+        for ms, n in self.waiting.get():
+            counts[ms] = counts.get(ms, 0) + n
+        ready = sorted(ms for ms in counts if ms <= watermark)
+        if not ready:
+            return
         tokens, last = self.bucket.get() if self.bucket.exists() else (self.capacity, None)
         rows = []
         for ms in ready:
-            (n,) = self.waiting.getValue((ms,))
-            self.waiting.removeKey((ms,))
+            n = counts.pop(ms)
             if last is not None:
-                tokens = min(self.capacity, tokens + int((ms - last) * self.rate // 1000))
+                gained = max(0, math.floor((ms - last) * self.rate / 1000))
+                tokens = min(self.capacity, tokens + gained)
             admitted = min(tokens, n)
             tokens, last = tokens - admitted, ms
             rows.append((key[0], ms, n, admitted))
-        if ready:
-            self.bucket.update((tokens, last))
-        self._wake()
+        self.bucket.update((tokens, last))
+        if counts:
+            self.waiting.put(sorted(counts.items()))
+            self.handle.registerTimer(min(counts))
+        else:
+            self.waiting.clear()
         yield pd.DataFrame(rows, columns=["key", "ms", "n_requests", "n_admitted"])
 
-    def _wake(self) -> None:
-        pending = [ms for (ms,) in self.waiting.keys()]
-        if pending:
-            self.handle.registerTimer(min(pending))
-
     def close(self) -> None:
         pass
 
