@@ -10,6 +10,7 @@ from oracles.parts import (
     encoded,
     mask,
     path,
+    pretty,
     route,
     route_of,
 )
@@ -107,15 +108,6 @@ lists AS (
 """
 
 
-def _pretty(n: str) -> str:
-    """Sizes below a million, without ties in the third digit."""
-    return (
-        f"CASE WHEN {n} < 1000 THEN concat({n}, ' B') ELSE concat(regexp_replace(printf("
-        f"CASE WHEN {n} < 10000 THEN '%.2f' WHEN {n} < 100000 THEN '%.1f' ELSE '%.0f' END,"
-        f" {n} / 1000.0::DOUBLE), '\\.0+$|(\\.[0-9]*[1-9])0+$', '\\1'), ' kB') END"
-    )
-
-
 SQL = {
     "reuse_existing": f"""
 WITH routed AS (SELECT doc_id, {route_of('url')} AS route FROM ({URLS}) u)
@@ -152,14 +144,14 @@ FROM ({RESULTS}) r
 """,
     "export_markdown": f"""
 SELECT concat(url, '|', CASE WHEN error IS NULL THEN '✅ Success' ELSE '❌ Failed' END, '|',
-  CASE WHEN content_size > 0 THEN {_pretty('content_size')} ELSE '-' END, '|',
+  CASE WHEN content_size > 0 THEN {pretty('content_size')} ELSE '-' END, '|',
   coalesce(nullif(processing_ms, 0)::VARCHAR || 'ms', '-'), '|',
   coalesce(nullif(found_links, 0)::VARCHAR, '-'), '|', coalesce(error, '-')) AS value
 FROM ({RESULTS}) r
 """,
     "results_table": f"""
 SELECT url, CASE WHEN error IS NULL THEN 'Success' ELSE 'Failed' END AS status,
-  CASE WHEN error IS NULL THEN {_pretty('content_size')} ELSE '-' END AS size,
+  CASE WHEN error IS NULL THEN {pretty('content_size')} ELSE '-' END AS size,
   CASE WHEN error IS NULL THEN concat(coalesce(processing_ms, 0), 'ms') ELSE '-' END AS processing_time,
   CASE WHEN error IS NULL THEN found_links::VARCHAR ELSE '-' END AS links_found
 FROM ({RESULTS}) r

@@ -103,3 +103,19 @@ def unescape(text: str) -> str:
     for name, char in (("&quot;", '"'), ("&#39;", "''"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
         text = f"replace({text}, '{name}', '{char}')"
     return text
+
+
+def pretty(n: str) -> str:
+    """Three significant digits; a double that is exactly half-way rounds up."""
+    unit = f"CASE WHEN {n} < 1e6 THEN 1 WHEN {n} < 1e9 THEN 2 WHEN {n} < 1e12 THEN 3 WHEN {n} < 1e15 THEN 4 WHEN {n} < 1e18 THEN 5 ELSE 6 END"
+    u = f"CAST(pow(1000, {unit}) AS HUGEINT)"
+    scale = f"CASE WHEN {n} >= 100 * {u} THEN 0 WHEN {n} >= 10 * {u} THEN 1 ELSE 2 END"
+    step = f"({u} // CAST(pow(10, {scale}) AS HUGEINT))"
+    low = f"({n} // {step})"
+    exact = f"CAST(CAST({n} AS DOUBLE) / CAST({u} AS DOUBLE) * 4503599627370496.0 AS HUGEINT)"
+    up = f"CASE WHEN {exact} * {u} >= ({low} * {step} + {step} // 2) * 4503599627370496 THEN 1 ELSE 0 END"
+    number = f"CAST(CAST({low} + {up} AS DOUBLE) / pow(10, {scale}) AS DECIMAL(12, 2))::VARCHAR"
+    return (
+        f"CASE WHEN {n} < 1000 THEN concat({n}, ' B') ELSE concat("
+        f"regexp_replace({number}, '\\.?0+$', ''), ' ', ['kB', 'MB', 'GB', 'TB', 'PB', 'EB'][{unit}]) END"
+    )

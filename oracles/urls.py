@@ -4,7 +4,6 @@ from oracles.parts import (
     BLOCKLIST,
     MIXED,
     RAW_URLS,
-    SPACE,
     URLS,
     bare,
     canonical,
@@ -12,15 +11,12 @@ from oracles.parts import (
     encoded,
     host,
     path,
+    pretty,
     route,
     route_of,
     unescape,
 )
 
-_KEYS = f"""
-u.*, {host('u.url')} AS full_host, {path('u.url')} AS path
-"""
-
 _LINKS = f"""
 raw AS (
   SELECT page_id, url, {host('url')} AS host, h.href, h.i
@@ -137,29 +133,8 @@ FROM ({URLS}) u
     "page_routes": f"""
 SELECT page_id, true AS valid, {route(encoded(path('url')))} AS route FROM pages
 """,
-    "pretty_sizes": """
-WITH n AS (SELECT DISTINCT l_orderkey * l_orderkey * l_partkey AS n FROM lineitem),
-unit AS (
-  SELECT n, CASE WHEN n < 1000 THEN 0 WHEN n < 1e6 THEN 1 WHEN n < 1e9 THEN 2 WHEN n < 1e12 THEN 3
-    WHEN n < 1e15 THEN 4 WHEN n < 1e18 THEN 5 ELSE 6 END AS e FROM n
-),
-scaled AS (
-  SELECT n, e, CAST(pow(1000, e) AS HUGEINT) AS u,
-    CASE WHEN n >= 100 * pow(1000, e) THEN 0 WHEN n >= 10 * pow(1000, e) THEN 1 ELSE 2 END AS s
-  FROM unit
-),
-digits AS (
-  SELECT n, e, s, u, u // CAST(pow(10, s) AS HUGEINT) AS step,
-    CAST(CAST(n AS DOUBLE) / CAST(u AS DOUBLE) * 4503599627370496.0 AS HUGEINT) AS q FROM scaled
-),
-rounded AS (
-  SELECT n, e, s, n // step + CASE WHEN q * u >= ((n // step) * step + step // 2) * 4503599627370496
-    THEN 1 ELSE 0 END AS d FROM digits WHERE e > 0
-)
-SELECT n, concat(n, ' B') AS size FROM unit WHERE e = 0
-UNION ALL
-SELECT n, concat(CAST(CAST(d AS DOUBLE) / pow(10, s) AS DECIMAL(12, 2))::VARCHAR
-    .regexp_replace('\\.?0+$', ''), ' ', ['kB', 'MB', 'GB', 'TB', 'PB', 'EB'][e]) AS size
-FROM rounded
+    "pretty_sizes": f"""
+SELECT n, {pretty('n')} AS size
+FROM (SELECT DISTINCT l_orderkey * l_orderkey * l_partkey AS n FROM lineitem) s
 """,
 }
