@@ -34,6 +34,10 @@ SUSPICIOUS_CONTEXT = [
 ]
 CONTEXT_WORDS = 10
 
+# Each suspicious word, and each context, contains one of these.
+_WORD_HINTS = [".xxx", ".adult", ".porn", ".onion", "service", "18+", "pic", "video", "content"]
+_CONTEXT_HINTS = ["payment", "money", "crypto", "private", "secret", "adult", "xxx"]
+
 # Keywords that are unsafe when all of one list occur.
 KEYWORD_COMBINATIONS = [
     ["private", "show", "payment"],
@@ -159,8 +163,13 @@ def is_suspicious(text: Column) -> Column:
         lambda words: reduce(or_, (near(words, p) for p in SUSPICIOUS_WORDS)),
     )
     # A word match is also a match in the whole text, and so is a context match up to the kind
-    # of whitespace: most texts are settled without being split.
-    return F.coalesce(F.when(any_context & any_word, found).otherwise(False), F.lit(False))
+    # of whitespace: most texts are settled by their hints, without being split.
+    hinted = reduce(or_, (lowered.contains(h) for h in _CONTEXT_HINTS)) & reduce(
+        or_, (lowered.contains(h) for h in _WORD_HINTS)
+    )
+    return F.coalesce(
+        F.when(hinted, F.when(any_context & any_word, found)).otherwise(False), F.lit(False)
+    )
 
 
 def has_keyword_combination(text: Column) -> Column:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from webcorpus.session import cut_lineage
+
 TTL_MS = 3_600_000
 CAPACITY = 5
 RATE = 1.0
@@ -96,19 +98,99 @@ def rate_audit(
     )
 
 
-def _then(f: Column, a: Column, low: Column, high: Column) -> Column:
-    """Apply x -> clamp(x + a, low, high) after the function ``f`` of the same shape."""
+def _clamp(x: Column, low: Column, high: Column) -> Column:
+    return F.least(F.greatest(x, low), high)
 
-    def clamp(x: Column) -> Column:
-        return F.least(F.greatest(x, low), high)
 
-    return F.struct(
-        (f["a"] + a).alias("a"), clamp(f["low"] + a).alias("low"), clamp(f["high"] + a).alias("high")
-    )
+def _struct(**fields: Column) -> Column:
+    return F.struct(*(value.alias(name) for name, value in fields.items()))
+
+
+class _Bucket:
+    """Column arithmetic of one token bucket.
+
+    What a run of requests does to the token count x is always clamp(x + a, low, high), and such
+    steps compose to the same shape. A step also keeps its first and last time, so that the
+    refill between two steps can be put in when they are joined.
+    """
 
+    def __init__(self, capacity: int, rate: float):
+        self.full = F.lit(capacity).cast("bigint")
+        self.zero = F.lit(0).cast("bigint")
+        self.rate = rate
+
+    def refill(self, elapsed: Column) -> Column:
+        """Tokens gained in ``elapsed`` ms; none when there was no request before."""
+        gained = F.floor(elapsed * F.lit(float(self.rate)) / F.lit(1000.0)).cast("bigint")
+        return F.least(F.coalesce(gained, self.zero), self.full)
+
+    def start(self) -> Column:
+        """The step that changes nothing; its times are not known yet."""
+        no_time = F.lit(None).cast("bigint")
+        return _struct(
+            first_ms=no_time, last_ms=no_time, a=self.zero, low=self.zero, high=self.full
+        )
 
-def _apply(f: Column, x: Column) -> Column:
-    return F.least(F.greatest(x + f["a"], f["low"]), f["high"])
+    def then(self, f: Column, g: Column) -> Column:
+        """``f``, the refill up to the first request of ``g``, then ``g``."""
+        gained = self.refill(g["first_ms"] - f["last_ms"])
+        low = F.least(f["low"] + gained, self.full)
+        high = F.least(f["high"] + gained, self.full)
+        return _struct(
+            first_ms=F.coalesce(f["first_ms"], g["first_ms"]),
+            last_ms=g["last_ms"],
+            a=f["a"] + gained + g["a"],
+            low=_clamp(low + g["a"], g["low"], g["high"]),
+            high=_clamp(high + g["a"], g["low"], g["high"]),
+        )
+
+    def tick(self, f: Column, t: Column) -> Column:
+        """``f`` followed by ``n`` requests in one millisecond."""
+        asked = _struct(
+            first_ms=t["ms"],
+            last_ms=t["ms"],
+            a=-t["n"],
+            low=self.zero,
+            high=F.greatest(self.full - t["n"], self.zero),
+        )
+        return self.then(f, asked)
+
+    def have(self, acc: Column, first_ms: Column) -> Column:
+        """Tokens at ``first_ms``, refilled since the time of ``acc``."""
+        gained = self.refill(first_ms - acc["ms"])
+        return F.least(acc["x"] + gained, self.full)
+
+    def starts(self, steps: Column, order: str, x: Column) -> Column:
+        """Token count at the first request of each of the consecutive ``steps``."""
+
+        def follow(acc: Column, s: Column) -> Column:
+            have = self.have(acc, s["step"]["first_ms"])
+            row = _struct(**{order: s[order], "start": have})
+            return _struct(
+                x=_clamp(have + s["step"]["a"], s["step"]["low"], s["step"]["high"]),
+                ms=s["step"]["last_ms"],
+                out=F.concat(acc["out"], F.array(row)),
+            )
+
+        empty = F.array().cast(f"array<struct<{order}: bigint, start: bigint>>")
+        first = _struct(x=x, ms=F.lit(None).cast("bigint"), out=empty)
+        return F.aggregate(steps, first, follow)["out"]
+
+    def replay(self, ticks: Column, x: Column) -> Column:
+        """How many requests of each millisecond find a token."""
+
+        def follow(acc: Column, t: Column) -> Column:
+            have = self.have(acc, t["ms"])
+            taken = F.least(have, t["n"])
+            return _struct(
+                x=have - taken,
+                ms=t["ms"],
+                out=F.concat(acc["out"], F.array(_struct(_ms=t["ms"], _taken=taken))),
+            )
+
+        empty = F.array().cast("array<struct<_ms: bigint, _taken: bigint>>")
+        first = _struct(x=x, ms=F.lit(None).cast("bigint"), out=empty)
+        return F.aggregate(ticks, first, follow)["out"]
 
 
 def throttle_events(
@@ -124,122 +206,46 @@ def throttle_events(
     Every request first refills ``floor(elapsed_ms * rate / 1000)`` tokens (up to ``capacity``)
     and restarts the clock, so fractions are lost; a request that finds no token takes none.
 
-    What a run of requests does to the token count is always x -> clamp(x + a, low, high), and
-    such functions compose to the same shape. So requests are counted per millisecond, composed
-    per slot, slots per hour, hours per key; then the counts flow back down and each slot is
-    replayed on its own.
+    Requests are counted per millisecond and folded per slot, slots per hour, hours per key;
+    then the token counts flow back down and each slot is replayed on its own. No task sees
+    more than the milliseconds of a slot, the slots of an hour or the hours of a key.
     """
-    one = lambda n: F.lit(n).cast("bigint")
-    full, zero = one(capacity), one(0)
-    identity = F.struct(zero.alias("a"), zero.alias("low"), full.alias("high"))
-    timed = requests.select("*", _ms(F.col(ts)).alias("_ms"))
+    bucket = _Bucket(capacity, rate)
+    timed = requests.select(key, row_id, _ms(F.col(ts)).alias("_ms"))
 
-    # Requests of one key in one millisecond, then the milliseconds of one slot.
     ticks = timed.groupBy(key, "_ms").agg(F.count("*").alias("n"))
-    slots = (
+    slots = cut_lineage(
         ticks.groupBy(key, F.floor(F.col("_ms") / SLOT_MS).alias("slot"))
-        .agg(F.array_sort(F.collect_list(F.struct(F.col("_ms").alias("ms"), "n"))).alias("ticks"))
+        .agg(F.array_sort(F.collect_list(_struct(ms=F.col("_ms"), n=F.col("n")))).alias("ticks"))
         .withColumn("hour", F.floor(F.col("slot") * SLOT_MS / HOUR_MS))
     )
-    by_slot = Window.partitionBy(key, "hour").orderBy("slot")
-    by_hour = Window.partitionBy(key).orderBy("hour")
-    ends = slots.select(key, "hour", "slot", F.element_at("ticks", -1)["ms"].alias("end_ms"))
-    hour_ends = (
-        ends.groupBy(key, "hour")
-        .agg(F.max("end_ms").alias("end_ms"))
-        .select(key, "hour", F.lag("end_ms").over(by_hour).alias("hour_before"))
-    )
-    before = (
-        ends.withColumn("slot_before", F.lag("end_ms").over(by_slot))
-        .join(hour_ends, [key, "hour"])
-        .select(key, "hour", "slot", F.coalesce("slot_before", "hour_before").alias("before_ms"))
-    )
-
-    # Refill of each tick, from the tick before it.
-    def refill(elapsed: Column) -> Column:
-        gained = F.floor(elapsed * F.lit(float(rate)) / F.lit(1000.0)).cast("bigint")
-        return F.least(F.coalesce(gained, full), full)
-
-    def with_refill(t: Column, i: Column) -> Column:
-        previous = F.when(i == 0, F.col("before_ms")).otherwise(
-            F.get(F.col("ticks"), i - 1)["ms"]
-        )
-        return F.struct(t["ms"].alias("ms"), t["n"].alias("n"), refill(t["ms"] - previous).alias("r"))
-
-    filled = slots.join(before, [key, "hour", "slot"]).select(
-        key, "hour", "slot", F.transform("ticks", with_refill).alias("ticks")
-    )
-
-    def tick(f: Column, t: Column) -> Column:
-        refilled = _then(f, t["r"], zero, full)
-        return _then(refilled, -t["n"], zero, full)
-
-    slot_steps = filled.select(
-        key, "hour", "slot", F.aggregate("ticks", identity, tick).alias("step")
-    )
-
-    # Compose slots to hours; start counts go back from hours to slots.
-    def chain(f: Column, s: Column) -> Column:
-        return _then(f, s["step"]["a"], s["step"]["low"], s["step"]["high"])
-
-    def starts(steps: Column, order: str, first: Column) -> Column:
-        """Array of (order, start count) for consecutive steps."""
-        empty = F.array().cast(f"array<struct<{order}: bigint, start: bigint>>")
-        run = F.aggregate(
-            steps,
-            F.struct(first.alias("x"), empty.alias("out")),
-            lambda acc, s: F.struct(
-                _apply(s["step"], acc["x"]).alias("x"),
-                F.concat(
-                    acc["out"],
-                    F.array(F.struct(s[order].alias(order), acc["x"].alias("start"))),
-                ).alias("out"),
-            ),
+    hours = cut_lineage(
+        slots.select(
+            key, "hour", "slot", F.aggregate("ticks", bucket.start(), bucket.tick).alias("step")
         )
-        return run["out"]
-
-    hours = slot_steps.groupBy(key, "hour").agg(
-        F.array_sort(F.collect_list(F.struct("slot", "step"))).alias("steps")
+        .groupBy(key, "hour")
+        .agg(F.array_sort(F.collect_list(F.struct("slot", "step"))).alias("steps"))
     )
-    hour_steps = hours.select(key, "hour", F.aggregate("steps", identity, chain).alias("step"))
+    joined = F.aggregate("steps", bucket.start(), lambda f, s: bucket.then(f, s["step"]))
     hour_starts = (
-        hour_steps.groupBy(key)
+        hours.select(key, "hour", joined.alias("step"))
+        .groupBy(key)
         .agg(F.array_sort(F.collect_list(F.struct("hour", "step"))).alias("steps"))
-        .select(key, F.inline(starts(F.col("steps"), "hour", full)))
+        .select(key, F.inline(bucket.starts(F.col("steps"), "hour", bucket.full)))
         .withColumnRenamed("start", "hour_start")
     )
     slot_starts = hours.join(hour_starts, [key, "hour"]).select(
-        key, "hour", F.inline(starts(F.col("steps"), "slot", F.col("hour_start")))
+        key, F.inline(bucket.starts(F.col("steps"), "slot", F.col("hour_start")))
     )
-
-    # Replay each slot: how many requests of each millisecond got a token.
-    def replay(acc: Column, t: Column) -> Column:
-        have = F.least(acc["x"] + t["r"], full)
-        taken = F.least(have, t["n"])
-        row = F.struct(t["ms"].alias("_ms"), taken.alias("_taken"))
-        return F.struct(
-            (have - taken).alias("x"), F.concat(acc["out"], F.array(row)).alias("out")
-        )
-
-    no_rows = F.array().cast("array<struct<_ms: bigint, _taken: bigint>>")
     taken = (
-        filled.join(slot_starts, [key, "hour", "slot"])
-        .select(
-            key,
-            F.inline(
-                F.aggregate(
-                    "ticks", F.struct(F.col("start").alias("x"), no_rows.alias("out")), replay
-                )["out"]
-            ),
-        )
+        slots.join(slot_starts, [key, "slot"])
+        .select(key, F.inline(bucket.replay(F.col("ticks"), F.col("start"))))
         .filter("_taken > 0")
     )
 
     # The first of them by id; the rank limit trims each group before the shuffle.
     rank = F.row_number().over(Window.partitionBy(key, "_ms").orderBy(row_id))
-    leading = timed.select(key, "_ms", row_id, rank.alias("_rank")).filter(
-        F.col("_rank") <= capacity
-    )
+    leading = timed.withColumn("_rank", rank).filter(F.col("_rank") <= capacity)
     admitted = (
         leading.join(taken, [key, "_ms"])
         .filter("_rank <= _taken")

@@ -159,8 +159,21 @@ SELECT vec_id * 2 + 1, vec_id, 0.002, embedding FROM {embeddings}
 """
 
 
+# Tables whose rows cost much work each.
+WIDE = ("documents", "pages", "embeddings")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; one with fewer splits than there are cores is spread over all of them.
+
+    A split holds at most ``spark.sql.files.maxPartitionBytes``, so what is moved is bounded by
+    that size per core. Tables of a large corpus have more splits and are read as they are.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in WIDE and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
