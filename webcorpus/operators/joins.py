@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from webcorpus.session import cut_lineage
 
 BROADCAST_BYTES = 32 * 1024 * 1024
-SALTS = 32
+SALTS = 64
+HOT_KEYS = 1000
+HOT_ROWS = 1_000_000
 
 
 def measured_bytes(df: DataFrame) -> int:
@@ -17,32 +19,50 @@ def measured_bytes(df: DataFrame) -> int:
     return df.agg(F.coalesce(F.sum(row), F.lit(0)).alias("bytes")).first()["bytes"]
 
 
+def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The most frequent keys with at least ``hot_rows`` rows; never more than ``HOT_KEYS``.
+
+    Rows are counted per key before they are shuffled. The result is written down once, so every
+    use of it sees the same keys.
+    """
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    top = counts.orderBy(F.desc("_rows")).limit(HOT_KEYS).filter(F.col("_rows") >= hot_rows)
+    return cut_lineage(top.select(*keys, F.lit(True).alias("_hot")))
+
+
 def lookup_join(
     left: DataFrame,
     lookup: DataFrame,
     on: str | list[str],
     how: str = "left",
     spread_by: str | list[str] | None = None,
-    max_broadcast: int = BROADCAST_BYTES,
-    salts: int = SALTS,
     settle: bool = False,
+    max_broadcast: int | None = None,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Join ``left`` to a lookup that is unique on ``on``.
 
     A lookup whose counted size is within ``max_broadcast`` is broadcast, so ``left`` does not
-    move. A larger one is shuffled, with the rows of ``left`` spread over ``salts`` copies of
-    each key by ``spread_by`` (columns that differ between rows of one key): a key that holds a
-    third of all rows is then split over that many tasks. ``settle`` writes the lookup to the
+    move. A larger one is joined by shuffle; keys that hold very many rows of ``left`` are then
+    split over ``SALTS`` tasks by ``spread_by`` (columns that differ between rows of one key),
+    and only the lookup rows of those keys are copied. ``settle`` writes the lookup to the
     checkpoint folder first, for one that is costly to compute twice (to count and to join).
     """
+    keys = [on] if isinstance(on, str) else list(on)
     if settle:
         lookup = cut_lineage(lookup)
-    keys = [on] if isinstance(on, str) else list(on)
-    if measured_bytes(lookup) <= max_broadcast:
+    if measured_bytes(lookup) <= (BROADCAST_BYTES if max_broadcast is None else max_broadcast):
         return left.join(F.broadcast(lookup), keys, how)
+    hot = hot_keys(left, keys, HOT_ROWS if hot_rows is None else hot_rows)
+    if hot.isEmpty():
+        return left.join(lookup, keys, how)
     spread = [spread_by] if isinstance(spread_by, str) else list(spread_by or left.columns)
-    salted = left.withColumn(
-        "_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
+    salt = F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")
+    salted = left.join(F.broadcast(hot), keys, "left").withColumn(
+        "_salt", F.when(F.col("_hot"), salt).otherwise(0)
+    )
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(
+        F.array(F.lit(0))
     )
-    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    copies = lookup.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(every))
+    return salted.drop("_hot").join(copies.drop("_hot"), [*keys, "_salt"], how).drop("_salt")

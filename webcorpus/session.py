@@ -37,7 +37,6 @@ def shared_dir(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         named = tempfile.mkdtemp(prefix="webcorpus-")
-        spark.conf.set("spark.checkpoint.dir", named)
     if not context.getCheckpointDir():
         context.setCheckpointDir(named)
     return named
