@@ -123,5 +123,5 @@ def session_stream(
 
 
 def dedup_stream(requests: DataFrame, key: str, ts: str, delay: str = "1 hour") -> DataFrame:
-    """First request per key; the key is forgotten ``delay`` after the watermark passed it."""
+    """First request per key; a key is remembered for at least ``delay``."""
     return requests.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
