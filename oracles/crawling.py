@@ -5,14 +5,17 @@ from oracles.parts import (
     EDGES,
     PRIOR,
     RESULTS,
+    SITE,
     TEXTS,
     URLS,
+    canonical,
     encoded,
     mask,
     path,
     pretty,
     route,
     route_of,
+    unescape,
 )
 
 _ORDER = "length(url), url, doc_id"
@@ -31,8 +34,30 @@ seen0 AS (SELECT node FROM level0)
 """
 
 
-def _levels(depth: int) -> str:
-    parts = [_KNOWN]
+_SITE = f"""
+site AS (
+  SELECT page_id, concat('https://www.corpus.example', {path('url')}) AS node,
+    {route(path('url'))} AS route, html FROM ({SITE}) s
+),
+found AS (
+  SELECT DISTINCT node AS src, {canonical(f"concat('http://corpus.example', {encoded(unescape('href'))})")} AS dst
+  FROM site, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS h(href)
+  WHERE NOT regexp_matches(href, '(?i)\\.(jpg|jpeg|png|gif|svg|pdf|doc|docx|xls|xlsx|zip|rar)$')
+),
+edges AS (SELECT * FROM found),
+nodes AS (
+  SELECT node, page_id, route, CASE WHEN page_id % 13 = 5 THEN 'no_content' ELSE 'ok' END AS status,
+    concat('Page ', page_id, CASE WHEN page_id % 7 = 0 THEN '  ' ELSE '' END) AS content
+  FROM site
+),
+level0 AS (SELECT node FROM site WHERE page_id IN (SELECT page_id FROM pages WHERE contains(url, 'page=2'))),
+taken0 AS (SELECT route FROM nodes WHERE false),
+seen0 AS (SELECT node FROM level0)
+"""
+
+
+def _levels(depth: int, known: str = _KNOWN) -> str:
+    parts = [known]
     for d in range(depth + 1):
         parts.append(f"""
 owners{d} AS (
@@ -41,8 +66,9 @@ owners{d} AS (
 ),
 done{d} AS (
   SELECT node, route, {d} AS depth, CASE WHEN route IN (SELECT route FROM taken{d}) THEN 'reused'
-    WHEN status <> 'ok' THEN status WHEN node = owner THEN 'stored' ELSE 'reused' END AS outcome
-  FROM level{d} JOIN nodes USING (node) LEFT JOIN owners{d} USING (route)
+    WHEN coalesce(status, 'missing') <> 'ok' THEN coalesce(status, 'missing')
+    WHEN node = owner THEN 'stored' ELSE 'reused' END AS outcome
+  FROM level{d} LEFT JOIN nodes USING (node) LEFT JOIN owners{d} USING (route)
 )""")
         if d < depth:
             parts.append(f"""
@@ -178,6 +204,23 @@ SELECT node, min(depth) AS depth FROM walk GROUP BY node
     "crawl_routes": f"""
 WITH {_levels(3)}
 {' UNION ALL '.join(f'SELECT node, depth::BIGINT AS depth, outcome FROM done{d}' for d in range(4))}
+""",
+    "crawl_site": f"""
+WITH {_levels(3, _SITE)},
+done AS ({' UNION ALL '.join(f'SELECT * FROM done{d}' for d in range(4))})
+SELECT d.node AS url, d.route, d.depth::BIGINT AS depth, outcome,
+  CASE outcome WHEN 'missing' THEN 'Page is not in the corpus'
+    WHEN 'no_content' THEN 'Failed to scrape content after retries' END AS error,
+  CASE WHEN outcome = 'stored' THEN length(n.content) END AS content_size,
+  CASE WHEN outcome IN ('stored', 'no_content') THEN coalesce(l.n, 0) END AS found_links
+FROM done d LEFT JOIN nodes n ON n.node = d.node
+  LEFT JOIN (SELECT src, count(*) AS n FROM found GROUP BY src) l ON l.src = d.node
+""",
+    "crawl_site_content": f"""
+WITH {_levels(3, _SITE)},
+done AS ({' UNION ALL '.join(f"SELECT node, route FROM done{d} WHERE outcome = 'stored'" for d in range(4))})
+SELECT d.route, kind, d.node AS url, n.content AS body
+FROM done d JOIN nodes n ON n.node = d.node, (VALUES ('content'), ('processed')) AS k(kind)
 """,
     "route_dedup": f"""
 WITH routed AS (SELECT doc_id, {route_of('url')} AS route, url FROM ({URLS}) u),

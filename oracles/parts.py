@@ -15,6 +15,7 @@ TEXTS = view(derived.TEXTS)
 MIXED = view(derived.PAGES)
 RESULTS = view(derived.RESULTS)
 EDGES = view(derived.EDGES)
+SITE = view(derived.SITE)
 PRIOR = view(derived.PRIOR)
 BLOCKLIST = view(derived.BLOCKLIST)
 LEXICON = view(derived.LEXICON)

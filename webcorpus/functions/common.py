@@ -13,7 +13,7 @@ SPACE_SET = (
     r"\s\x0B\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 )
 SPACE = f"[{SPACE_SET}]"
-_SPACES = (
+SPACES = (
     "\t\n\x0b\x0c\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
@@ -33,7 +33,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def trim_space(text: Column) -> Column:
     """Strip browser whitespace (not only blanks) from both ends."""
-    return F.btrim(text, F.lit(_SPACES))
+    return F.btrim(text, F.lit(SPACES))
 
 
 def is_blank(text: Column) -> Column:

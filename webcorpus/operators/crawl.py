@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webcorpus.functions.urls import route_of
-from webcorpus.operators.joins import lookup_join
+from webcorpus.operators import joins
+from webcorpus.operators.joins import hot_keys, lookup_join
 from webcorpus.session import cut_lineage
 
 MAX_DEPTH = 3
@@ -23,6 +26,11 @@ def firsts(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
 
 
+def hub_pages(edges: DataFrame):
+    """The hub pages of a link graph, looked for at most once and only when they are needed."""
+    return cache(lambda: hot_keys(edges, ["src"], joins.HOT_ROWS))
+
+
 def crawl_bfs(
     edges: DataFrame, seeds: DataFrame, max_depth: int = MAX_DEPTH, expand: DataFrame | None = None
 ) -> DataFrame:
@@ -32,11 +40,12 @@ def crawl_bfs(
     links are followed. Each level is written to the shared checkpoint folder, which bounds the
     plan and survives lost executors.
     """
+    hubs = hub_pages(edges)
     frontier = cut_lineage(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     visited = frontier
     for depth in range(1, max_depth + 1):
         sources = frontier if expand is None else frontier.join(expand, "node", "left_semi")
-        reached = _targets(edges, sources)
+        reached = _targets(edges, sources, hubs)
         fresh = reached.join(visited, "node", "left_anti")
         frontier = cut_lineage(fresh.withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
@@ -45,11 +54,10 @@ def crawl_bfs(
     return visited
 
 
-def _targets(edges: DataFrame, sources: DataFrame) -> DataFrame:
+def _targets(edges: DataFrame, sources: DataFrame, hubs) -> DataFrame:
     """Distinct nodes one link away; hub pages are spread by their targets."""
-    found = lookup_join(
-        edges, sources.select(F.col("node").alias("src")), "src", "inner", spread_by="dst"
-    )
+    lookup = sources.select(F.col("node").alias("src"))
+    found = lookup_join(edges, lookup, "src", "inner", spread_by="dst", hot=hubs)
     return found.select(F.col("dst").alias("node")).distinct()
 
 
@@ -67,14 +75,17 @@ def crawl_routes(
     routes saved by earlier runs. The first ok node of a route (smallest depth, then smallest
     node) is ``stored``; other nodes of that route are ``reused`` and, unless
     ``expand_reused``, their links are not followed. A page without content is still expanded,
-    a page that could not be opened is not.
+    a page that could not be opened is not. Links to nodes that are not listed are ``missing``.
     """
+    hubs = hub_pages(edges)
     schema = nodes.select("route")
     taken = schema.limit(0) if stored is None else stored.select("route").distinct()
     level = cut_lineage(seeds.select("node").distinct())
     seen, results = level, None
     for depth in range(max_depth + 1):
-        pages = level.join(nodes, "node", "inner")
+        pages = level.join(nodes, "node", "left").withColumn(
+            "status", F.coalesce("status", F.lit("missing"))
+        )
         known = lookup_join(
             pages, taken.withColumn("_known", F.lit(True)), "route", spread_by="node"
         )
@@ -86,8 +97,7 @@ def crawl_routes(
         decided = lookup_join(known, owners, "route", spread_by="node", settle=True)
         outcome = (
             F.when(F.col("_known"), "reused")
-            .when(F.col("status") == "failed", "failed")
-            .when(F.col("status") == "no_content", "no_content")
+            .when(F.col("status") != "ok", F.col("status"))
             .when(F.col("node") == F.col("_owner"), "stored")
             .otherwise("reused")
         )
@@ -102,7 +112,7 @@ def crawl_routes(
         taken = taken.unionByName(done.filter("outcome = 'stored'").select("route"))
         followed = ["stored", "no_content"] + (["reused"] if expand_reused else [])
         sources = done.filter(F.col("outcome").isin(followed))
-        level = cut_lineage(_targets(edges, sources).join(seen, "node", "left_anti"))
+        level = cut_lineage(_targets(edges, sources, hubs).join(seen, "node", "left_anti"))
         if level.isEmpty():
             break
         seen = seen.unionByName(level)

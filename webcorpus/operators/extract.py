@@ -73,6 +73,11 @@ def distinct_blocks(parsed: Column) -> Column:
     return F.array_distinct(F.transform(_clean_blocks(parsed), lambda b: b["text"]))
 
 
+def first_text(html: Column) -> Column:
+    """The first cleaned block of a page that is not empty; NULL when there is none."""
+    return F.get(distinct_blocks(page_blocks(html, first_only=True)), F.lit(0))
+
+
 def dedup_blocks(pages: DataFrame, first_only: bool = True) -> DataFrame:
     """(page_id, pos, text): distinct blocks of a page, masked after the de-duplication."""
     texts = distinct_blocks(page_blocks("html"))
@@ -82,7 +87,7 @@ def dedup_blocks(pages: DataFrame, first_only: bool = True) -> DataFrame:
 
 def primary_content(pages: DataFrame, first_only: bool = True) -> DataFrame:
     """(page_id, url, content, error): the first distinct block, masked."""
-    first = F.get(distinct_blocks(page_blocks("html")), F.lit(0))
+    first = first_text(F.col("html"))
     content = mask_phrases(F.col("first"), first_only)
     return pages.select("page_id", "url", first.alias("first")).select(
         "page_id",

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +43,7 @@ def lookup_join(
     settle: bool = False,
     max_broadcast: int | None = None,
     hot_rows: int | None = None,
+    hot: Callable[[], DataFrame] | None = None,
 ) -> DataFrame:
     """Join ``left`` to a lookup that is unique on ``on``.
 
@@ -47,22 +52,25 @@ def lookup_join(
     split over ``SALTS`` tasks by ``spread_by`` (columns that differ between rows of one key),
     and only the lookup rows of those keys are copied. ``settle`` writes the lookup to the
     checkpoint folder first, for one that is costly to compute twice (to count and to join).
+    ``hot`` gives the frequent keys of ``left`` where a caller joins the same rows repeatedly.
     """
     keys = [on] if isinstance(on, str) else list(on)
     if settle:
         lookup = cut_lineage(lookup)
     if measured_bytes(lookup) <= (BROADCAST_BYTES if max_broadcast is None else max_broadcast):
         return left.join(F.broadcast(lookup), keys, how)
-    hot = hot_keys(left, keys, HOT_ROWS if hot_rows is None else hot_rows)
-    if hot.isEmpty():
+    frequent = hot() if hot else hot_keys(left, keys, HOT_ROWS if hot_rows is None else hot_rows)
+    if frequent.isEmpty():
         return left.join(lookup, keys, how)
     spread = [spread_by] if isinstance(spread_by, str) else list(spread_by or left.columns)
     salt = F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")
-    salted = left.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), salt).otherwise(0)
+    # Rows without a key match nothing, wherever they are.
+    spread_out = F.col("_hot") | reduce(or_, (F.col(k).isNull() for k in keys))
+    salted = left.join(F.broadcast(frequent), keys, "left").withColumn(
+        "_salt", F.when(spread_out, salt).otherwise(0)
     )
     every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(
         F.array(F.lit(0))
     )
-    copies = lookup.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(every))
+    copies = lookup.join(F.broadcast(frequent), keys, "left").withColumn("_salt", F.explode(every))
     return salted.drop("_hot").join(copies.drop("_hot"), [*keys, "_salt"], how).drop("_salt")

@@ -11,6 +11,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from webcorpus.functions.common import SPACES
+
 # Executors receive this module with the function, so nothing has to be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -114,14 +116,22 @@ _BLOCKS_TYPE = pa.struct(
 )
 
 
-def _blocks_of(html: str | None) -> dict:
+_SPACES = SPACES
+_ASCII = re.compile(r"[\x00-\x7f]")
+
+
+def _blocks_of(html: str | None, first_only: bool) -> dict:
+    """All blocks, or those up to the first that is not empty once cleaned (and no code)."""
     blocks, codes, is_code = [], [], []
+    found = False
     elements, pieces = walk(html or "")
     for element in elements:
         names = element.attribute("class") or "" if "class" in element.raw.lower() else ""
         lowered = names.lower()
         code = element.tag in _CODE_TAGS or any(c in lowered for c in _CODE_CLASSES)
         is_code.append(code)
+        if first_only and (found or code):
+            continue
         if code:
             text = "".join(pieces[element.start : element.end])
             codes.append({"class": names, "text": text})
@@ -129,19 +139,26 @@ def _blocks_of(html: str | None) -> dict:
             element.parent is not None and is_code[element.parent]
         ):
             text = "".join(pieces[element.start : element.end])
+            found = _ASCII.search(text.strip(_SPACES)) is not None
             blocks.append({"tag": element.tag, "text": text})
     return {"blocks": blocks, "codes": codes}
 
 
-def page_blocks(html: Column | str) -> Column:
-    """Raw text blocks and code blocks of each page, in document order."""
+def page_blocks(html: Column | str, first_only: bool = False) -> Column:
+    """Raw text blocks and code blocks of each page, in document order.
+
+    ``first_only`` leaves out what comes after the first block with text, and all code, so that
+    little is sent back for a page of which only the leading text is wanted.
+    """
 
     @F.arrow_udf(
         "struct<blocks: array<struct<tag: string, text: string>>,"
         " codes: array<struct<class: string, text: string>>>"
     )
     def parse(pages: pa.Array) -> pa.Array:
-        return pa.array((_blocks_of(page.as_py()) for page in pages), type=_BLOCKS_TYPE)
+        return pa.array(
+            (_blocks_of(page.as_py(), first_only) for page in pages), type=_BLOCKS_TYPE
+        )
 
     return parse(html)
 

@@ -106,6 +106,28 @@ EDGES = " UNION ALL ".join(
     for k in (1, 2, 3)
 )
 
+# One site with the given pages' markup: neighbours share a storage route, and each page links to
+# three others. Some pages carry a restricted phrase in their first block.
+def _site_path(page: str) -> str:
+    return (
+        f"concat('/', CASE (({page}) - ({page}) % 2) % 3 WHEN 0 THEN 'news' WHEN 1 THEN 'shop'"
+        f" ELSE 'docs' END, '/', ({page}) - ({page}) % 2,"
+        f" CASE WHEN ({page}) % 2 = 1 THEN '.html' ELSE '' END)"
+    )
+
+
+_ANCHORS = ", ".join(
+    "'<a href=\"', " + _site_path(f"(page_id * {k + 1} + {k}) % n") + ", '\">x</a>'"
+    for k in (1, 2, 3)
+)
+SITE = f"""
+SELECT page_id, concat('http://corpus.example', {_site_path("page_id")}) AS url,
+  CASE WHEN page_id % 13 = 5 THEN '<p></p>' ELSE concat('<div>Page ', page_id,
+    CASE WHEN page_id % 7 = 0 THEN ' xxx' ELSE '' END, '</div>',
+    {_ANCHORS}, '<a href="/nowhere/', page_id % 5, '">gone</a>', html) END AS html
+FROM (SELECT *, (SELECT count(*) FROM {{pages}}) AS n FROM {{pages}}) p
+"""
+
 # Routes stored by an earlier run: those of the labelled documents.
 PRIOR = f"""
 SELECT u.doc_id, u.url FROM ({URLS}) u JOIN {{labels}} l ON u.doc_id = l.doc_id

@@ -25,7 +25,7 @@ from webcorpus.operators import (
     report,
     similar,
 )
-from webcorpus.plans import derived
+from webcorpus.plans import derived, pipeline
 from webcorpus.plans.derived import derive, requests, table
 from webcorpus.sources import readers, sinks
 from webcorpus.streaming import ingest
@@ -515,6 +515,23 @@ def latest_version(spark, sf):
     )
 
 
+def _site_crawl(spark, sf):
+    site = derive(spark, sf, derived.SITE)
+    starts = _seeds(spark, sf).withColumnRenamed("node", "page_id")
+    seeds = site.join(starts, "page_id", "left_semi").select("url")
+    return pipeline.crawl_corpus(site, seeds)
+
+
+@query
+def crawl_site(spark, sf):
+    return _site_crawl(spark, sf).results.drop("processing_ms")
+
+
+@query
+def crawl_site_content(spark, sf):
+    return _site_crawl(spark, sf).content
+
+
 # URL keys and sizes
 
 
