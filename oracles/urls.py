@@ -116,13 +116,9 @@ SELECT a.doc_id, a.url, b.url AS final_url,
 FROM flagged a JOIN flagged b ON a.doc_id = b.doc_id + 1
 """,
     "frontier_unseen": f"""
-WITH {_LINKS}, {_MIXED_LINKS},
-first_mixed AS (
-  SELECT link FROM (SELECT link, row_number() OVER (PARTITION BY page_id ORDER BY i) AS n FROM mixed) m
-  WHERE n = 1
-)
-SELECT DISTINCT link FROM (SELECT link FROM first_mixed UNION ALL SELECT link FROM links) x
-WHERE link NOT IN (SELECT link FROM first_mixed WHERE contains(link, 'docs/1'))
+WITH {_LINKS}, {_MIXED_LINKS}
+SELECT DISTINCT link FROM (SELECT link FROM mixed UNION ALL SELECT link FROM links) x
+WHERE link NOT IN (SELECT link FROM mixed WHERE contains(link, 'docs/1'))
 """,
     "url_parts": f"""
 SELECT doc_id, url, url AS absolute, {bare(host('url'))} AS site,

@@ -9,7 +9,10 @@ copies in small collections; the narrow ones keep the first vector close as coll
 from __future__ import annotations
 
 import hashlib
+import math
 import sys
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +77,12 @@ def unit_vectors(vectors: DataFrame, row_id: str, embedding: str) -> DataFrame:
     return normed.select("id", F.transform("v", lambda x: x / F.col("norm")).alias("v"))
 
 
+def max_flips(threshold: float, bits: int) -> int:
+    """Signature bits in which two vectors of this similarity may differ: mean plus four sigma."""
+    flip = math.acos(threshold) / math.pi
+    return math.ceil(bits * flip + 4 * math.sqrt(bits * flip * (1 - flip)))
+
+
 def similar_links(
     units: DataFrame,
     dim: int,
@@ -81,25 +90,38 @@ def similar_links(
     bands: int = BANDS,
     widths: tuple[int, ...] = WIDTHS,
 ) -> DataFrame:
-    """(id, leader): vectors at least ``threshold`` similar to the first vector of a bucket."""
+    """(id, leader): vectors at least ``threshold`` similar to the first vector of a bucket.
+
+    Whole signatures are compared first. They are a fraction of a vector's size, and only pairs
+    whose signatures are close have their vectors fetched for the exact cosine.
+    """
+    bits = max(widths)
     signed = cut_lineage(
-        units.select("id", signatures(F.col("v"), dim, bands, max(widths)).alias("_bands"))
+        units.select("id", signatures(F.col("v"), dim, bands, bits).alias("bits"))
     )
     members = (
-        signed.select("id", F.posexplode("_bands").alias("band", "_signature"))
+        signed.select("id", "bits", F.posexplode("bits").alias("band", "_signature"))
         .withColumn("width", F.explode(F.array(*(F.lit(w) for w in widths))))
         .select(
             "id",
+            "bits",
             "band",
             "width",
             F.col("_signature").bitwiseAND(F.expr("shiftleft(1L, width) - 1")).alias("bucket"),
         )
     )
     bucket = ["band", "width", "bucket"]
-    leaders = members.groupBy(*bucket).agg(F.min("id").alias("leader"))
+    leaders = (
+        members.groupBy(*bucket)
+        .agg(F.min(F.struct("id", "bits")).alias("_first"))
+        .select(*bucket, F.col("_first.id").alias("leader"), F.col("_first.bits").alias("_other"))
+    )
+    flips = reduce(
+        add, (F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("_other")[i])) for i in range(bands))
+    )
     pairs = (
         lookup_join(members, leaders, bucket, "inner", spread_by="id", settle=True)
-        .filter("id <> leader")
+        .filter((F.col("id") != F.col("leader")) & (flips <= max_flips(threshold, bands * bits)))
         .select("id", "leader")
         .distinct()
     )
@@ -114,9 +136,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Each round takes the smallest label among the neighbours and then the label of that label,
     so long chains shrink quickly; it ends when no label changes.
     """
-    both = cut_lineage(
-        edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct()
-    )
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = cut_lineage(edges.filter("a <> b").select(F.inline(ways)).distinct())
     labels = cut_lineage(
         both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("_low"))
         .select("node", F.least("node", "_low").alias("component"))

@@ -168,9 +168,10 @@ CATALOGUE = """
 SELECT p_partkey, p_brand AS family,
   concat('models/', replace(p_name, ' ', '-'), '-', p_size % 4,
     CASE WHEN p_size % 5 = 0 THEN '' ELSE concat('.', p_size % 10) END,
-    CASE p_partkey % 4 WHEN 0 THEN '-flash' WHEN 1 THEN '-flash-pro' WHEN 2 THEN '-lite'
+    CASE WHEN p_brand = 'Brand#7' THEN '-lite' WHEN p_partkey % 4 = 0 THEN '-flash'
+      WHEN p_partkey % 4 = 1 THEN '-flash-pro' WHEN p_partkey % 4 = 2 THEN '-lite'
       ELSE '-flash-001' END) AS name
-FROM {part} WHERE p_brand <> 'Brand#7' OR p_partkey % 4 = 2
+FROM {part}
 """
 
 # Embeddings and a slightly shifted copy of each.

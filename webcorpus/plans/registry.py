@@ -10,8 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webcorpus.functions import text
 from webcorpus.functions.sizes import pretty_bytes
-from webcorpus.functions.text import clean_text, mask_phrases
 from webcorpus.functions.urls import is_valid_url, route_of
 from webcorpus.operators import (
     catalog,
@@ -103,7 +103,7 @@ def reuse_existing(spark, sf):
 def sink_content(spark, sf):
     texts = _texts(spark, sf).select("doc_id", F.col("text").alias("content"))
     pages = texts.join(_urls(spark, sf), "doc_id").withColumn(
-        "processed", F.when(F.col("doc_id") % 4 == 0, "").otherwise(mask_phrases(F.col("content")))
+        "processed", F.when(F.col("doc_id") % 4 == 0, "").otherwise(text.mask_phrases(F.col("content")))
     )
     stored = _prior(spark, sf).select("route", F.lit("content").alias("kind"))
     new = sinks.new_content(pages, _by_url(), "doc_id", stored)
@@ -213,8 +213,8 @@ def code_languages(spark, sf):
 
 
 @query
-def clean_texts(spark, sf):
-    return _texts(spark, sf).select("doc_id", clean_text(F.col("text")).alias("text"))
+def clean_text(spark, sf):
+    return _texts(spark, sf).select("doc_id", text.clean_text(F.col("text")).alias("text"))
 
 
 @query
@@ -245,12 +245,12 @@ def markdown_corpus(spark, sf):
 
 @query
 def filter_text(spark, sf):
-    return _texts(spark, sf).select("doc_id", mask_phrases(F.col("text")).alias("text"))
+    return _texts(spark, sf).select("doc_id", text.mask_phrases(F.col("text")).alias("text"))
 
 
 @query
 def filter_text_all(spark, sf):
-    return _texts(spark, sf).select("doc_id", mask_phrases(F.col("text"), False).alias("text"))
+    return _texts(spark, sf).select("doc_id", text.mask_phrases(F.col("text"), False).alias("text"))
 
 
 @query
@@ -425,7 +425,7 @@ def crawl_routes(spark, sf):
 @query
 def frontier_unseen(spark, sf):
     found = links.extract_links(table(spark, sf, "pages")).select("link")
-    mixed = links.extract_links(_mixed(spark, sf)).filter("pos = 0").select("link")
+    mixed = links.extract_links(_mixed(spark, sf)).select("link")
     return crawl.frontier_unseen(mixed.union(found), mixed.filter(F.col("link").contains("docs/1")))
 
 
@@ -463,7 +463,7 @@ def error_rows(spark, sf):
     at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id"))
     rows = _results(spark, sf).join(_texts(spark, sf).select("doc_id", "text"), "doc_id")
     rows = rows.withColumns(
-        {"content": F.col("text"), "processed": mask_phrases(F.col("text")), "fetched_at": at}
+        {"content": F.col("text"), "processed": text.mask_phrases(F.col("text")), "fetched_at": at}
     )
     merged = crawl.error_rows(
         rows.filter(F.col("error").isNull()), rows.filter(F.col("error").isNotNull())
