@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webcorpus.sources.readers import read_requests
+
 # One URL per document: 13 hosts, 4 top-level domains, 5 sections, 8 endings.
 URLS = """
 SELECT doc_id, source, n_chars,
@@ -206,8 +208,8 @@ def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event log as requests; times are session (UTC) timestamps."""
-    return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    """The event log as requests."""
+    return read_requests(spark, f"{sf_dir}/events.parquet")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -605,7 +605,7 @@ def retry_schedule(spark, sf):
 def _event_stream(spark, sf):
     schema = table(spark, sf, "events").schema
     stream = ingest.stream_table(spark, sf, schema, "events.parquet")
-    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    return readers.utc_times(stream, "ts")
 
 
 @query

@@ -46,9 +46,17 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return read_table(spark, path, PAGES, fmt)
 
 
+def utc_times(df: DataFrame, ts: str) -> DataFrame:
+    """Read the zone-less times of a column as UTC, whatever the session's zone is."""
+    if dict(df.dtypes)[ts] != "timestamp_ntz":
+        return df
+    micros = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{ts}`)")
+    return df.withColumn(ts, F.timestamp_micros(micros))
+
+
 def read_requests(spark: SparkSession, path: str, ts: str = "ts") -> DataFrame:
-    """A request log; its zone-less times are read as session time (UTC)."""
-    return spark.read.parquet(path).withColumn(ts, F.col(ts).cast("timestamp"))
+    """A request log with its times as UTC instants."""
+    return utc_times(spark.read.parquet(path), ts)
 
 
 def scan_pages(pages: DataFrame) -> DataFrame:
