@@ -24,7 +24,7 @@ _PRIOR_ROUTES = f"SELECT {route_of('url')} FROM ({PRIOR}) p"
 _KNOWN = f"""
 edges AS ({EDGES}),
 nodes AS (
-  SELECT page_id AS node, split_part({route(encoded(path('url')))}, '-', 1) AS route,
+  SELECT page_id AS node, right({route(encoded(path('url')))}, 2) AS route,
     CASE WHEN page_id % 17 = 5 THEN 'failed' WHEN page_id % 11 = 4 THEN 'no_content' ELSE 'ok' END AS status
   FROM pages
 ),

@@ -133,7 +133,7 @@ def _signals(text: str) -> str:
 
 _TYPED = f"""
 pages_in AS (
-  SELECT t.doc_id, m.url, CASE WHEN t.doc_id % 2 = 0 THEN m.html ELSE t.text END AS content
+  SELECT t.doc_id, m.url, CASE WHEN t.doc_id % 3 = 0 THEN m.html ELSE t.text END AS content
   FROM ({TEXTS}) t JOIN ({MIXED}) m ON m.page_id = t.doc_id
 ),
 signalled AS (SELECT *, {path('url')} AS path, {_signals('content')} AS signals FROM pages_in),

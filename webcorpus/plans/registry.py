@@ -352,10 +352,10 @@ def processed_responses(spark, sf):
 
 
 def _typed(spark, sf):
-    """Documents with URL, text and half of them with markup, classified."""
+    """Documents with a URL, some as text and some as markup, classified."""
     texts = _texts(spark, sf).select("doc_id", "text")
     mixed = _mixed(spark, sf).select(F.col("page_id").alias("doc_id"), "url", "html")
-    content = F.when(F.col("doc_id") % 2 == 0, F.col("html")).otherwise(F.col("text"))
+    content = F.when(F.col("doc_id") % 3 == 0, F.col("html")).otherwise(F.col("text"))
     pages = texts.join(mixed, "doc_id").select("doc_id", "url", content.alias("content"))
     return classify.classify_pages(pages, "url", "content")
 
@@ -418,7 +418,7 @@ def _nodes(spark, sf):
 
 @query
 def crawl_routes(spark, sf):
-    routes = _nodes(spark, sf).withColumn("route", F.substring_index("route", "-", 1))
+    routes = _nodes(spark, sf).withColumn("route", F.right(F.col("route"), F.lit(2)))
     return _long(crawl.crawl_routes(_edges(spark, sf), _seeds(spark, sf), routes), "depth")
 
 
