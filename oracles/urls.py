@@ -2,7 +2,6 @@
 
 from oracles.parts import (
     BLOCKLIST,
-    MIXED,
     RAW_URLS,
     URLS,
     bare,

@@ -3,7 +3,6 @@ import datetime as dt
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from webcorpus.operators import rates
 from webcorpus.streaming import ingest, requests as live

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
-from operator import or_
+from operator import add, or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from webcorpus.session import cut_lineage
 
@@ -17,9 +18,21 @@ HOT_KEYS = 1000
 HOT_ROWS = 1_000_000
 
 
+def _width(field: T.StructField) -> Column:
+    """Bytes a value takes, about."""
+    value, kind = F.col(f"`{field.name}`"), field.dataType
+    if isinstance(kind, T.StringType):
+        return F.octet_length(value) + 8
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.NumericType):
+        return F.size(value) * 8 + 8
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        return F.octet_length(F.to_json(F.struct(value))) + 8
+    return F.lit(8)
+
+
 def measured_bytes(df: DataFrame) -> int:
-    """Size of ``df`` as text, counted by a job (not estimated)."""
-    row = F.octet_length(F.to_json(F.struct(*df.columns)))
+    """Size of the rows of ``df``, counted by a job (not estimated by the planner)."""
+    row = reduce(add, (F.coalesce(_width(f), F.lit(8)) for f in df.schema.fields))
     return df.agg(F.coalesce(F.sum(row), F.lit(0)).alias("bytes")).first()["bytes"]
 
 

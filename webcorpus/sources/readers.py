@@ -13,15 +13,6 @@ PAGES = T.StructType(
         T.StructField("html", T.StringType()),
     ]
 )
-RESULTS = T.StructType(
-    [
-        T.StructField("url", T.StringType()),
-        T.StructField("error", T.StringType()),
-        T.StructField("content_size", T.LongType()),
-        T.StructField("found_links", T.LongType()),
-        T.StructField("processing_ms", T.LongType()),
-    ]
-)
 FORMATS = ("parquet", "orc", "json", "csv")
 
 
