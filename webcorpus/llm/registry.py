@@ -36,8 +36,8 @@ def _matches(kind: int, rule: secrets.Rule) -> str:
     pattern = _quoted(rule.pattern)
     return f"""
         SELECT rid, {kind} AS kind, '{rule.kind}' AS name, pos, gap, size, held FROM (
-            SELECT rid, unnest(range(1, len(found) + 1)) AS pos, unnest(list_transform(gaps[1:len(found)], x -> length(x))) AS gap,
-                   unnest(list_transform(found, x -> length(x))) AS size, unnest(list_transform(groups, x -> length(x))) AS held
+            SELECT rid, unnest(range(1, len(found) + 1)) AS pos, unnest(list_transform(gaps[1:len(found)], lambda x: length(x))) AS gap,
+                   unnest(list_transform(found, lambda x: length(x))) AS size, unnest(list_transform(groups, lambda x: length(x))) AS held
             FROM (SELECT rid, regexp_extract_all(t, {pattern}, 0) AS found, regexp_extract_all(t, {pattern}, {rule.group}) AS groups,
                          string_split_regex(t, {pattern}) AS gaps
                   FROM d WHERE regexp_matches(t, {pattern}))
