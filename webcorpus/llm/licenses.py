@@ -119,7 +119,6 @@ def _mixers(count: int) -> list[tuple[np.uint64, np.uint64]]:
 class Scanner:
     """Templates by window size, with the band keys that retrieve them."""
 
-    @np.errstate(over="ignore")
     def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> None:
         self.names: list[str] = []
         self.shingles: list[frozenset[tuple[bytes, ...]]] = []
@@ -138,9 +137,9 @@ class Scanner:
             keys: dict[int, dict[int, list[int]]] = {b: defaultdict(list) for b in range(bands)}
             mixers = _mixers(bands * ROWS)
             for template, hashes in own:
-                minima = [(hashes * a ^ b).min() for a, b in mixers]
+                minima = [np.array([(hashes * a ^ b).min()]) for a, b in mixers]
                 for b in range(bands):
-                    keys[b][int(_key(minima[b * ROWS : (b + 1) * ROWS]))].append(template)
+                    keys[b][int(_key(minima[b * ROWS : (b + 1) * ROWS])[0])].append(template)
             tables = [(np.array(sorted(keys[b]), np.uint64), [keys[b][k] for k in sorted(keys[b])]) for b in range(bands)]
             self.classes.append((size, step, mixers, tables))
         self.longest = max((size for size, *_ in self.classes), default=0)
@@ -159,7 +158,6 @@ class Scanner:
                     for template in templates[place[k]]:
                         yield template, int(starts[k]), int(starts[k]) + size
 
-    @np.errstate(over="ignore")
     def find(self, text: str | None) -> list[tuple[str, float, int, int]]:
         """(license, containment, first word, last word) of each notice in a text.
 
