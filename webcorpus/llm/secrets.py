@@ -264,15 +264,16 @@ def mask_secrets(docs: DataFrame, mask: str = MASK) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("start", "end", "done"))).alias("__llm_cuts"), F.max("end").alias("__llm_last")
     )
     plain = F.coalesce("text", F.lit(""))
-    keyed = docs.withColumn("__llm_key", F.xxhash64("doc_id", plain))
+    # Under a name of its own: inside a lambda ``text`` would mean the new column.
+    keyed = docs.withColumns({"__llm_key": F.xxhash64("doc_id", plain), "__llm_text": F.col("text")})
     both = keyed.join(cuts, F.col("__llm_key") == F.col("__llm_own"), "left")
-    text = F.col("text")
+    text = F.col("__llm_text")
     part = lambda c: F.concat(
         text.substr((c["done"] + 1).cast("int"), F.greatest(c["start"] - c["done"], F.lit(0)).cast("int")),
         F.when(c["start"] >= c["done"], mask).otherwise(""),
     )
     masked = F.concat(
-        F.array_join(F.transform("__llm_cuts", part), ""), text.substr((F.col("__llm_last") + 1).cast("int"), F.length("text"))
+        F.array_join(F.transform("__llm_cuts", part), ""), text.substr((F.col("__llm_last") + 1).cast("int"), F.length(text))
     )
     changed = {"text": F.when(F.col("__llm_cuts").isNull(), text).otherwise(masked)}
     if "n_chars" in docs.columns:
