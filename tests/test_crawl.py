@@ -88,12 +88,11 @@ def test_lookup_join_paths_agree(spark):
             assert sorted(map(tuple, split.collect()), key=str) == expected
 
 
-def test_hot_keys_are_bounded(spark, monkeypatch):
+def test_all_hot_keys_are_found(spark):
     df = spark.range(1000).select((F.col("id") % 10).alias("k"))
     assert joins.hot_keys(df, ["k"], 101).count() == 0
     assert joins.hot_keys(df, ["k"], 100).count() == 10
-    monkeypatch.setattr(joins, "HOT_KEYS", 3)
-    assert joins.hot_keys(df, ["k"], 1).count() == 3
+    assert joins.hot_keys(df, ["k"], 1).count() == 10
 
 
 def test_reuse_and_dedup(spark):

@@ -14,7 +14,6 @@ from webcorpus.session import cut_lineage
 
 BROADCAST_BYTES = 32 * 1024 * 1024
 SALTS = 64
-HOT_KEYS = 1000
 HOT_ROWS = 1_000_000
 
 
@@ -37,14 +36,14 @@ def measured_bytes(df: DataFrame) -> int:
 
 
 def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The most frequent keys with at least ``hot_rows`` rows; never more than ``HOT_KEYS``.
+    """All keys with at least ``hot_rows`` rows; of n rows these are at most n / ``hot_rows``.
 
     Rows are counted per key before they are shuffled. The result is written down once, so every
     use of it sees the same keys.
     """
     counts = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
-    top = counts.orderBy(F.desc("_rows")).limit(HOT_KEYS).filter(F.col("_rows") >= hot_rows)
-    return cut_lineage(top.select(*keys, F.lit(True).alias("_hot")))
+    hot = counts.filter(F.col("_rows") >= hot_rows)
+    return cut_lineage(hot.select(*keys, F.lit(True).alias("_hot")))
 
 
 def lookup_join(

@@ -1,9 +1,9 @@
 """Near-duplicate vectors by cosine similarity.
 
-Signatures are signs of random projections; a vector is compared with the first vector of each
-of its buckets, at several bucket widths, and never with a whole bucket. The work is linear:
-bands x widths comparisons per vector, however full a bucket is. Wide buckets catch loose
-copies in small collections; the narrow ones keep the first vector close as collections grow.
+Signatures are signs of random projections, cut into tables of a fixed number of bits. Vectors that
+share a bucket of any table are compared exactly, all members with all; full buckets are split over
+a grid of blocks. The number of tables follows from the threshold and the wanted recall, so the
+share of similar pairs that is found depends on neither the collection nor the buckets' sizes.
 """
 
 from __future__ import annotations
@@ -11,8 +11,7 @@ from __future__ import annotations
 import hashlib
 import math
 import sys
-from functools import reduce
-from operator import add
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +24,9 @@ from webcorpus.session import cut_lineage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-BANDS = 8
-WIDTHS = (8, 16, 24)
+BITS = 16
+RECALL = 0.999  # chance that a pair at the threshold shares a bucket
+BLOCK = 2048  # vectors of a bucket that are compared in one task, on either side
 
 
 def hyperplanes(dim: int, count: int) -> np.ndarray:
@@ -38,35 +38,31 @@ def hyperplanes(dim: int, count: int) -> np.ndarray:
     return np.array(signs)
 
 
+def table_count(threshold: float, recall: float = RECALL, bits: int = BITS) -> int:
+    """Tables for which a pair at the threshold shares a bucket with probability ``recall``."""
+    same = (1 - math.acos(min(1.0, threshold)) / math.pi) ** bits
+    return 1 if same >= 1 else max(1, math.ceil(math.log(1 - recall) / math.log(1 - same)))
+
+
 def _matrix(vectors: pa.Array, dim: int) -> np.ndarray:
     return vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def signatures(vector: Column, dim: int, bands: int = BANDS, bits: int = max(WIDTHS)) -> Column:
-    """Array of one integer per band; its low bits are the sides of the first hyperplanes."""
+def buckets(vector: Column, dim: int, tables: int, bits: int = BITS) -> Column:
+    """Array of one bucket number per table: the sides of the table's hyperplanes."""
     weights = (2 ** np.arange(bits)).astype("int64")
-    planes = hyperplanes(dim, bands * bits)
+    planes = hyperplanes(dim, tables * bits)
 
     @F.arrow_udf("array<bigint>")
     def sign(vectors: pa.Array) -> pa.Array:
-        sides = (_matrix(vectors, dim) @ planes > 0).reshape(-1, bands, bits)
+        sides = (_matrix(vectors, dim) @ planes > 0).reshape(-1, tables, bits)
         return pa.FixedSizeListArray.from_arrays(
-            pa.array((sides @ weights).ravel()), bands
+            pa.array((sides @ weights).ravel()), tables
         ).cast(pa.list_(pa.int64()))
 
     return sign(vector)
 
 
-def cosine(left: Column, right: Column, dim: int) -> Column:
-    """Cosine of two unit vectors."""
-
-    @F.arrow_udf("double")
-    def dot(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array(np.einsum("ij,ij->i", _matrix(a, dim), _matrix(b, dim)))
-
-    return dot(left, right)
-
-
 def unit_vectors(vectors: DataFrame, row_id: str, embedding: str) -> DataFrame:
     """(id, v): vectors of length one as doubles; zero vectors are similar to nothing and left out."""
     values = F.col(embedding).cast("array<double>")
@@ -77,57 +73,60 @@ def unit_vectors(vectors: DataFrame, row_id: str, embedding: str) -> DataFrame:
     return normed.select("id", F.transform("v", lambda x: x / F.col("norm")).alias("v"))
 
 
-def max_flips(threshold: float, bits: int) -> int:
-    """Signature bits in which two vectors of this similarity may differ: mean plus four sigma."""
-    flip = math.acos(threshold) / math.pi
-    return math.ceil(bits * flip + 4 * math.sqrt(bits * flip * (1 - flip)))
+def bucket_blocks(units: DataFrame, dim: int, tables: int, bits: int, block: int) -> DataFrame:
+    """(members): what one task compares, an array of (part, id, v) of one or two parts of a bucket.
+
+    Buckets of one vector go before any vector moves. A bucket of n vectors is dealt into about
+    n / ``block`` parts, and each pair of parts is a row, so no task holds more than two parts.
+    """
+    signed = units.select("id", F.posexplode(buckets(F.col("v"), dim, tables, bits)).alias("band", "bucket"))
+    placed = cut_lineage(signed)
+    counts = placed.groupBy("band", "bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    parts = counts.select("band", "bucket", F.ceil(F.col("n") / block).alias("parts"))
+    dealt = placed.join(parts, ["band", "bucket"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    others = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("other")
+    cells = dealt.select("id", "band", "bucket", "part", others).select(
+        "id", "band", "bucket", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high")
+    )
+    return (
+        cells.join(units, "id")
+        .groupBy("band", "bucket", "low", "high")
+        .agg(F.collect_list(F.struct("part", "id", "v")).alias("members"))
+    )
 
 
 def similar_links(
-    units: DataFrame,
-    dim: int,
-    threshold: float,
-    bands: int = BANDS,
-    widths: tuple[int, ...] = WIDTHS,
+    units: DataFrame, dim: int, threshold: float, recall: float = RECALL, bits: int = BITS, block: int = BLOCK
 ) -> DataFrame:
-    """(id, leader): vectors at least ``threshold`` similar to the first vector of a bucket.
+    """(a, b): links that connect the vectors as all pairs of at least ``threshold`` do.
 
-    Whole signatures are compared first. They are a fraction of a vector's size, and only pairs
-    whose signatures are close have their vectors fetched for the exact cosine.
+    Within a block a chain through each class replaces its pairs: a group of n copies yields n
+    rows, not n squared.
     """
-    bits = max(widths)
-    signed = cut_lineage(
-        units.select("id", signatures(F.col("v"), dim, bands, bits).alias("bits"))
-    )
-    members = (
-        signed.select("id", "bits", F.posexplode("bits").alias("band", "_signature"))
-        .withColumn("width", F.explode(F.array(*(F.lit(w) for w in widths))))
-        .select(
-            "id",
-            "bits",
-            "band",
-            "width",
-            F.col("_signature").bitwiseAND(F.expr("shiftleft(1L, width) - 1")).alias("bucket"),
-        )
-    )
-    bucket = ["band", "width", "bucket"]
-    leaders = (
-        members.groupBy(*bucket)
-        .agg(F.min(F.struct("id", "bits")).alias("_first"))
-        .select(*bucket, F.col("_first.id").alias("leader"), F.col("_first.bits").alias("_other"))
-    )
-    flips = reduce(
-        add, (F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("_other")[i])) for i in range(bands))
-    )
-    pairs = (
-        lookup_join(members, leaders, bucket, "inner", spread_by="id", settle=True)
-        .filter((F.col("id") != F.col("leader")) & (flips <= max_flips(threshold, bands * bits)))
-        .select("id", "leader")
-        .distinct()
-    )
-    heads = units.select(F.col("id").alias("leader"), F.col("v").alias("w"))
-    both = lookup_join(pairs.join(units, "id"), heads, "leader", "inner", spread_by="id")
-    return both.filter(cosine(F.col("v"), F.col("w"), dim) >= threshold).select("id", "leader")
+    blocks = bucket_blocks(units, dim, table_count(threshold, recall, bits), bits, block)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for members in batch.column(0):
+                rows = members.values
+                ids = rows.field("id").to_numpy()
+                own = _matrix(rows.field("v"), dim)
+                label = np.arange(len(ids))
+                for at in range(0, len(ids), 256):
+                    near = own[at : at + 256] @ own.T >= threshold
+                    for row, k in zip(near, range(at, at + 256)):
+                        classes = np.unique(label[row])
+                        if len(classes) > 1 or (len(classes) and classes[0] != label[k]):
+                            low = min(int(classes[0]), int(label[k]))
+                            label[np.isin(label, np.append(classes, label[k]))] = low
+                moved = label != np.arange(len(ids))
+                if moved.any():
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids[moved]), pa.array(ids[label[moved]])], ["a", "b"]
+                    )
+
+    spread = blocks.select("members").repartition(F.xxhash64("members.id"))
+    return spread.mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -171,21 +170,22 @@ def cosine_dedup(
     embedding: str,
     dim: int,
     threshold: float = 0.9,
-    bands: int = BANDS,
-    widths: tuple[int, ...] = WIDTHS,
+    recall: float = RECALL,
+    bits: int = BITS,
 ) -> DataFrame:
     """(row_id, cluster, is_duplicate): clusters of similar vectors, named by their smallest id.
 
-    Exact copies are merged before anything is compared.
+    Exact copies are merged before anything is compared; they meet on a 128-bit hash.
     """
     units = unit_vectors(vectors, row_id, embedding)
-    copies = cut_lineage(units.groupBy("v").agg(F.min("id").alias("id")))
-    same = units.select(F.col("id").alias("member"), "v")
-    copy_links = lookup_join(same, copies.withColumnRenamed("id", "head"), "v", "inner", "member")
-    links = similar_links(copies, dim, threshold, bands, widths)
-    edges = links.select(F.col("id").alias("a"), F.col("leader").alias("b")).union(
-        copy_links.filter("member <> head").select("member", "head")
-    )
+    hashes = F.struct(F.xxhash64("v", F.lit(1)).alias("h"), F.xxhash64("v", F.lit(2)).alias("g"))
+    keyed = units.withColumn("key", hashes)
+    copies = cut_lineage(keyed.groupBy("key").agg(F.min_by(F.struct("id", "v"), "id").alias("one")))
+    members = keyed.select(F.col("id").alias("member"), "key")
+    heads = copies.select("key", F.col("one.id").alias("head"))
+    copy_links = members.join(heads, "key").filter("member <> head")
+    links = similar_links(copies.select("one.*"), dim, threshold, recall, bits)
+    edges = links.union(copy_links.select("member", "head"))
     components = connected_components(edges)
     ids = vectors.select(F.col(row_id).alias("node"))
     return ids.join(components, "node", "left").select(
