@@ -4,6 +4,8 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from webcorpus.operators import rates
 from webcorpus.streaming import ingest, requests as live
 
@@ -144,28 +146,58 @@ def test_streams_match_their_batch_twins(spark, arrivals):
     )
 
 
-def test_stream_dedup_forgets_after_the_delay(spark, arrivals):
+def test_stream_dedup_has_an_exact_ttl(spark, arrivals):
     minute = 60_000
-    batches = [[(1, "a", 0), (2, "a", minute)], [(3, "a", 2 * minute), (4, "b", 500 * minute)],
-               [(5, "c", 600 * minute)], [(6, "a", 700 * minute), (7, "b", 700 * minute)]]
-    out = ingest.drain(live.dedup_stream(arrivals(batches), "k", "ts", "10 minutes"), "d")
-    # State is dropped after a batch, so the delay is the least time a key is remembered.
-    assert sorted(r.id for r in out.collect()) == [1, 4, 5, 6]
+    rows = [(1, "a", 0), (2, "a", 10 * minute), (3, "a", 20 * minute), (4, "b", 25 * minute), (5, "a", 30 * minute + 1), (6, "a", 50 * minute)]
+    batches = [rows[:3], rows[3:], [(9, "end", 10**9)]]
+    out = ingest.drain(live.dedup_stream(arrivals(batches), "k", "ts", 10 * minute), "d")
+    start = int(START.timestamp() * 1000)
+    expected = {(k, ms) for i, k, ms in rows if not hits(rows, 10 * minute)[i]}
+    assert {(r.k, r.ms - start) for r in out.collect()} == expected
+
+
+def test_replay_leaves_nothing_in_the_state(spark, tmp_path):
+    minute = 60_000
+    rows = [(i, "abc"[i % 3], i * 7 * minute) for i in range(40)]
+    whole = log(spark, rows)
+    whole.coalesce(1).write.parquet(str(tmp_path / "log"))
+    job = lambda s: live.session_stream(s, "k", "ts", "20 minutes")
+    found = ingest.replay(spark, str(tmp_path / "log"), whole.schema, "*.parquet", "ts", job, "s")
+    twin = rates.cache_sessions(whole, "k", "ts", "id", 20 * minute)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, twin.collect()))
+
+
+def test_long_histories_fold_linearly(spark):
+    import time
+
+    seconds = []
+    for n in (10_000, 40_000):
+        requests = spark.range(n).select(
+            F.col("id"), F.lit("hot").alias("k"), F.timestamp_seconds(F.col("id") * 3600).alias("ts")
+        )
+        begun = time.perf_counter()
+        marked = rates.throttle_events(requests, "k", "ts", "id", 2, 1 / 3600)
+        assert marked.filter("admitted").count() == n
+        seconds.append(time.perf_counter() - begun)
+    assert seconds[1] < 6 * seconds[0] + 2
 
 
 def test_ingest_stores_a_route_once(spark, tmp_path):
     schema = "page_id bigint, url string, html string"
     source, store = tmp_path / "pages", str(tmp_path / "store")
 
-    def arrive(name, rows):
+    def arrive(name, rows, state="state"):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(source / name))
         pages = ingest.stream_table(spark, str(source / "*"), spark.createDataFrame([], schema).schema)
-        ingest.ingest_pages(pages, store, str(tmp_path / "state")).awaitTermination()
+        ingest.ingest_pages(pages, store, str(tmp_path / state)).awaitTermination()
         return sorted(r.page_id for r in spark.read.parquet(store).collect())
 
     assert arrive("1", [(2, "https://a.org/x", "h"), (1, "https://b.org/x", "h")]) == [1]
     assert arrive("2", [(3, "https://c.org/x/", "h"), (4, "https://c.org/y", "h")]) == [1, 4]
+    # Another query with a state of its own adds to the store and takes nothing away.
+    assert arrive("3", [(5, "https://d.org/z", "h"), (6, "https://a.org/x", "h")], "other") == [1, 4, 5]
     # A repeated batch overwrites its own folder.
-    again = spark.createDataFrame([(3, "https://c.org/x/", "h"), (4, "https://c.org/y", "h")], schema)
-    ingest.add_pages(again, 1, store)
-    assert sorted(r.page_id for r in spark.read.parquet(store).collect()) == [1, 4]
+    again = spark.createDataFrame([(7, "https://c.org/w", "h"), (4, "https://c.org/y", "h")], schema)
+    for _ in range(2):
+        ingest.add_pages(again, 1, store)
+    assert sorted(r.page_id for r in spark.read.parquet(store).collect()) == [1, 4, 5, 7]

@@ -15,8 +15,8 @@ from webcorpus.session import cut_lineage
 TTL_MS = 3_600_000
 CAPACITY = 5
 RATE = 1.0
-SLOT_MS = 10_000
-HOUR_MS = 3_600_000
+# Spans in which a key's requests are folded, each about a thousand of the one before.
+SPANS_MS = (1_000, 1_000_000, 1_000_000_000)
 
 
 def _ms(ts: Column) -> Column:
@@ -31,10 +31,13 @@ def _slots(requests: DataFrame, key: str, ts: str, row_id: str, gap_ms: int) ->
     before.
     """
     timed = requests.select(key, _ms(F.col(ts)).alias("_ms"), row_id)
-    slots = timed.groupBy(key, F.floor(F.col("_ms") / gap_ms).alias("slot")).agg(
-        F.min(F.struct("_ms", row_id)).alias("first"),
-        F.max("_ms").alias("last_ms"),
-        F.count("*").alias("n"),
+    # Written once: the log is scanned for it, and both sides of the join read it.
+    slots = cut_lineage(
+        timed.groupBy(key, F.floor(F.col("_ms") / gap_ms).alias("slot")).agg(
+            F.min(F.struct("_ms", row_id)).alias("first"),
+            F.max("_ms").alias("last_ms"),
+            F.count("*").alias("n"),
+        )
     )
     before = slots.select(
         key, (F.col("slot") + 1).alias("slot"), F.col("last_ms").alias("before_ms")
@@ -206,40 +209,49 @@ def throttle_events(
     Every request first refills ``floor(elapsed_ms * rate / 1000)`` tokens (up to ``capacity``)
     and restarts the clock, so fractions are lost; a request that finds no token takes none.
 
-    Requests are counted per millisecond and folded per slot, slots per hour, hours per key;
-    then the token counts flow back down and each slot is replayed on its own. No task sees
-    more than the milliseconds of a slot, the slots of an hour or the hours of a key.
+    Requests are counted per millisecond and folded span by span, each a thousand times longer;
+    then the token counts flow back down, and the shortest spans are replayed. No task folds more
+    than about a thousand steps, or a row per long span of a key.
     """
     bucket = _Bucket(capacity, rate)
     timed = requests.select(key, row_id, _ms(F.col(ts)).alias("_ms"))
 
     ticks = timed.groupBy(key, "_ms").agg(F.count("*").alias("n"))
-    slots = cut_lineage(
-        ticks.groupBy(key, F.floor(F.col("_ms") / SLOT_MS).alias("slot"))
-        .agg(F.array_sort(F.collect_list(_struct(ms=F.col("_ms"), n=F.col("n")))).alias("ticks"))
-        .withColumn("hour", F.floor(F.col("slot") * SLOT_MS / HOUR_MS))
-    )
-    hours = cut_lineage(
-        slots.select(
-            key, "hour", "slot", F.aggregate("ticks", bucket.start(), bucket.tick).alias("step")
+    first, *longer = SPANS_MS
+    levels = [
+        cut_lineage(
+            ticks.groupBy(key, F.floor(F.col("_ms") / first).alias("span")).agg(
+                F.array_sort(F.collect_list(_struct(ms=F.col("_ms"), n=F.col("n")))).alias("steps")
+            )
         )
-        .groupBy(key, "hour")
-        .agg(F.array_sort(F.collect_list(F.struct("slot", "step"))).alias("steps"))
+    ]
+    folded = levels[0].select(
+        key, "span", F.aggregate("steps", bucket.start(), bucket.tick).alias("step")
     )
     joined = F.aggregate("steps", bucket.start(), lambda f, s: bucket.then(f, s["step"]))
-    hour_starts = (
-        hours.select(key, "hour", joined.alias("step"))
-        .groupBy(key)
-        .agg(F.array_sort(F.collect_list(F.struct("hour", "step"))).alias("steps"))
-        .select(key, F.inline(bucket.starts(F.col("steps"), "hour", bucket.full)))
-        .withColumnRenamed("start", "hour_start")
-    )
-    slot_starts = hours.join(hour_starts, [key, "hour"]).select(
-        key, F.inline(bucket.starts(F.col("steps"), "slot", F.col("hour_start")))
+    for shorter, width in zip(SPANS_MS, longer):
+        parent = F.floor(F.col("span") * shorter / width)
+        levels.append(
+            cut_lineage(
+                folded.groupBy(key, parent.alias("parent"))
+                .agg(F.array_sort(F.collect_list(F.struct("span", "step"))).alias("steps"))
+                .withColumnRenamed("parent", "span")
+            )
+        )
+        folded = levels[-1].select(key, "span", joined.alias("step"))
+    starts = (
+        folded.groupBy(key)
+        .agg(F.array_sort(F.collect_list(F.struct("span", "step"))).alias("steps"))
+        .select(key, F.inline(bucket.starts(F.col("steps"), "span", bucket.full)))
     )
+    for level in reversed(levels[1:]):
+        starts = level.join(starts, [key, "span"]).select(
+            key, F.inline(bucket.starts(F.col("steps"), "span", F.col("start")))
+        )
     taken = (
-        slots.join(slot_starts, [key, "slot"])
-        .select(key, F.inline(bucket.replay(F.col("ticks"), F.col("start"))))
+        levels[0]
+        .join(starts, [key, "span"])
+        .select(key, F.inline(bucket.replay(F.col("steps"), F.col("start"))))
         .filter("_taken > 0")
     )
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -12,7 +15,11 @@ from pyspark.sql.streaming import StreamingQuery
 from webcorpus.functions.urls import route_of
 from webcorpus.operators.crawl import firsts
 from webcorpus.operators.joins import lookup_join
-from webcorpus.session import shared_dir
+from webcorpus.session import cut_lineage, path_exists, shared_dir
+
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+FAR = dt.datetime(9000, 1, 1)
+BUCKETS = 64  # folders of a page store per batch
 
 
 def stream_table(
@@ -34,37 +41,106 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def drain(stream: DataFrame, name: str) -> DataFrame:
-    """Process everything that is available now and read the result back as a table."""
+@contextmanager
+def settings(spark: SparkSession, **conf: str) -> Iterator[None]:
+    """Session settings for the start of a query; '__' stands for '.'. They are put back."""
+    names = {key.replace("__", "."): value for key, value in conf.items()}
+    before = {key: spark.conf.get(key, None) for key in names}
+    try:
+        for key, value in names.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
+def drain(stream: DataFrame, name: str, out: str | None = None, state: str | None = None) -> DataFrame:
+    """Process everything that is available now and read the result back as a table.
+
+    A caller that names ``out`` and ``state`` goes on where the last call of that name ended.
+    """
     spark = stream.sparkSession
-    out, state = scratch(spark, name), scratch(spark, f"{name}-state")
-    query = (
-        stream.writeStream.format("parquet")
-        .option("path", out)
-        .option("checkpointLocation", state)
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    out = out or scratch(spark, name)
+    state = state or scratch(spark, f"{name}-state")
+    with settings(
+        spark,
+        spark__sql__streaming__stateStore__providerClass=STATE_STORE,
+        spark__sql__streaming__sessionWindow__merge__sessions__in__local__partition="true",
+    ):
+        query = (
+            stream.writeStream.format("parquet")
+            .option("path", out)
+            .option("checkpointLocation", state)
+            .outputMode("append")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def replay(
+    spark: SparkSession,
+    folder: str,
+    schema: T.StructType,
+    files: str,
+    ts: str,
+    job: Callable[[DataFrame], DataFrame],
+    name: str,
+) -> DataFrame:
+    """Run a streaming job over all files there are and close every window.
+
+    After the files a single row with a time in the far future, and NULL elsewhere, moves the
+    watermark past all requests, so nothing is left in the state. It arrives in a second run on
+    the same state, which is how a stopped job goes on.
+    """
+    end = scratch(spark, f"{name}-end")
+    spark.createDataFrame([], schema).write.parquet(end)
+    out, state = scratch(spark, name), scratch(spark, f"{name}-state")
+
+    def run() -> DataFrame:
+        arrivals = stream_table(spark, folder, schema, files)
+        return drain(job(arrivals.unionByName(stream_table(spark, end, schema))), name, out, state)
+
+    run()
+    last = [tuple(FAR if f.name == ts else None for f in schema.fields)]
+    nullable = T.StructType([T.StructField(f.name, f.dataType) for f in schema.fields])
+    spark.createDataFrame(last, nullable).write.mode("append").parquet(end)
+    return run()
+
+
+def bucket_of(route: Column) -> Column:
+    return F.pmod(F.xxhash64(route), F.lit(BUCKETS)).cast("int")
+
+
 def add_pages(batch: DataFrame, batch_id: int, store: str) -> None:
     """Add the pages of one micro-batch whose route is not stored yet.
 
-    The batch is the small side: the store is only probed for the batch's routes, so it is not
-    shuffled. Each batch owns one folder, which a repeated batch overwrites.
+    Each batch of each query owns one folder, which a repeated batch overwrites; whatever else the
+    store holds, from this query or another, stays and is looked up. The store is laid out by a
+    hash of the route, so a batch reads the routes of its own buckets only.
     """
     spark = batch.sparkSession
-    routed = batch.withColumn("route", route_of(F.col("url")))
+    query = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
+    own = f"{query}-{batch_id}"
+    routed = cut_lineage(batch.withColumn("route", route_of(F.col("url"))))
     fresh = firsts(routed, ["route"], [F.col("page_id").asc()])
-    if batch_id > 0:
-        known = spark.read.parquet(store).filter(F.col("batch") < batch_id).select("route")
-        wanted = routed.select("route").distinct()
-        present = lookup_join(known, wanted, "route", "left_semi").distinct()
+    fresh = fresh.withColumn("bucket", bucket_of(F.col("route")))
+    if path_exists(spark, store):
+        wanted = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # at most BUCKETS
+        layout = T.StructType(
+            [T.StructField("route", T.StringType()), T.StructField("batch", T.StringType()), T.StructField("bucket", T.IntegerType())]
+        )
+        known = spark.read.schema(layout).parquet(store)
+        known = known.filter((F.col("batch") != own) & F.col("bucket").isin(wanted)).select("route")
+        routes = routed.select("route").distinct()
+        present = lookup_join(known, routes, "route", "left_semi").distinct()
         fresh = fresh.join(present, "route", "left_anti")
-    fresh.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+    fresh.write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/batch={own}")
 
 
 def ingest_pages(pages: DataFrame, store: str, state: str) -> StreamingQuery:

@@ -16,8 +16,6 @@ from webcorpus.operators import rates
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 
 class TokenBucket(StatefulProcessor):
     """Counts admitted requests per key and millisecond, in event-time order.
@@ -80,19 +78,21 @@ def throttle_stream(
 ) -> DataFrame:
     """(key, ms, n_requests, n_admitted) from a stream; needs the RocksDB state store.
 
-    Requests are counted per millisecond before the shuffle, so a key with most of the traffic
-    sends counts instead of requests.
+    Requests are counted per key and millisecond by Spark's own partial aggregation first, so a
+    key with most of the traffic sends counts instead of requests; a millisecond is counted when
+    the watermark has passed it, and the buckets replay closed milliseconds in order.
     """
-    spark = requests.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    timed = requests.select(F.col(key).cast("string").alias("key"), F.unix_millis(ts).alias("ms"))
-
-    def count(batches):
-        for batch in batches:
-            yield batch.groupby(["key", "ms"], as_index=False).size().rename(columns={"size": "n"})
-
-    counted = timed.mapInPandas(count, "key string, ms bigint, n bigint")
-    watched = counted.withColumn("at", F.timestamp_millis("ms")).withWatermark("at", delay)
+    timed = requests.select(
+        F.col(key).cast("string").alias("key"), F.date_trunc("millisecond", F.col(ts)).alias("at")
+    )
+    window = F.window("at", "1 millisecond")
+    counted = (
+        timed.withWatermark("at", delay)
+        .groupBy("key", window)
+        .agg(F.count("*").alias("n"))
+        .select("key", F.unix_millis("window.start").alias("ms"), "n", F.window_time("window").alias("closed"))
+    )
+    watched = counted
     return watched.groupBy("key").transformWithStateInPandas(
         statefulProcessor=TokenBucket(capacity, rate),
         outputStructType="key string, ms bigint, n_requests bigint, n_admitted bigint",
@@ -115,9 +115,6 @@ def session_stream(
 
     Sessions are merged within each input partition before they are shuffled.
     """
-    requests.sparkSession.conf.set(
-        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true"
-    )
     sessions = (
         requests.withWatermark(ts, delay)
         .groupBy(F.session_window(ts, gap).alias("_window"), F.col(key))
@@ -128,16 +125,20 @@ def session_stream(
     )
 
 
-def dedup_stream(requests: DataFrame, key: str, ts: str, delay: str = "1 hour") -> DataFrame:
-    """First request per key; a key is remembered for at least ``delay``.
+def dedup_stream(
+    requests: DataFrame, key: str, ts: str, ttl_ms: int = rates.TTL_MS, delay: str = "1 minute"
+) -> DataFrame:
+    """(key, ms) of every request that finds nothing in a cache of this time to live.
 
-    Repeats within an Arrow batch go first, so a key with most of the traffic is thinned out
-    before the shuffle.
+    Reads renew the age, so these are the starts of the runs of requests no further apart than
+    the TTL; a key is processed again after it. Runs are sessions in Spark's state, merged within
+    each input partition before they are shuffled, and are emitted when the watermark closes them.
     """
-
-    def thin(batches):
-        for batch in batches:
-            yield batch.sort_values(ts).drop_duplicates(key)
-
-    thinned = requests.mapInPandas(thin, requests.schema)
-    return thinned.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
+    timed = requests.select(key, F.timestamp_millis(F.unix_millis(ts)).alias("_at"))
+    runs = (
+        timed.withWatermark("_at", delay)
+        # Sessions that touch are one, so a request exactly one TTL later is still a hit.
+        .groupBy(F.session_window("_at", f"{ttl_ms} milliseconds").alias("_run"), F.col(key))
+        .agg(F.count("*").alias("n"))
+    )
+    return runs.select(key, F.unix_millis("_run.start").alias("ms"))
