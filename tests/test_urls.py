@@ -143,3 +143,27 @@ def test_canonical_links_are_stable(spark, texts):
 def test_route_key_is_idempotent(spark, texts):
     once = column(spark, urls.route_key(F.col("p")), [("/" + t,) for t in texts], ["p"])
     assert column(spark, urls.route_key(F.col("p")), [(k,) for k in once], ["p"]) == once
+
+
+def test_links_as_a_browser_sees_them(spark):
+    page = (
+        '<base target=_top href="https://s.org/other/"><a href="/a?x=1&#038;y=2">1</a><a href="caf&eacute;">2</a>'
+        "<a title=\"a>b\" href='/gt'>3</a><a data-href=/no href=h#&#x41;>4</a><a class=x>5</a><a href=\"?c=1&copy=2&amp=3&lt\">6</a>"
+        '<!-- <a href="/gone">7</a> --><A\nHREF = u&nosuch;v>8</A>'
+    )
+    rows = spark.createDataFrame([(1, "https://s.org/x/y", page)], "page_id long, url string, html string")
+    found = [r.link for r in links.extract_links(rows).orderBy("pos").collect()]
+    assert found == [
+        "https://www.s.org/a?x=1&y=2",
+        "https://www.s.org/other/caf%C3%A9",
+        "https://www.s.org/gt",
+        "https://www.s.org/other/h#A",
+        "https://www.s.org/other/?c=1&copy=2&amp=3%3C",
+        "https://www.s.org/other/u&nosuch;v",
+    ]
+
+
+def test_long_tags_do_not_recurse(spark):
+    page = "<a " + " ".join(f'data-{i}="{i}>"' for i in range(20_000)) + ' href="/far">x</a>'
+    rows = spark.createDataFrame([(1, "https://s.org/", page)], "page_id long, url string, html string")
+    assert [r.link for r in links.extract_links(rows).collect()] == ["https://www.s.org/far"]

@@ -6,6 +6,9 @@ that row as array expressions: no shuffle, and a page with very many links is on
 
 from __future__ import annotations
 
+import json
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,27 +32,73 @@ from webcorpus.functions.urls import (
 )
 
 _NO_MARKUP = r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b.*?</\1\s*>"
-_HREF = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)"""
+# A tag up to its end; a quoted ">" does not end it. Possessive, so Java loops instead of recursing.
+_TAG = r"""(?is)<{name}(?=[\s/])(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+_HREF = (
+    r"""(?is)^<[a-z]+(?:[\s/]+(?!href[\s=>/])[^\s=>/]+(?:\s*=\s*(?:"[^"]*+"|'[^']*+'|[^\s>"']++))?)*+"""
+    r"""[\s/]+href\s*=\s*("[^"]*+"|'[^']*+'|[^\s>]+)"""
+)
+
+# Numeric references, named ones with their semicolon, and the few that work without.
+_REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+_BARE_REFERENCE = r"^(amp|lt|gt|quot)(?![A-Za-z0-9=;])"
+_NAMED = json.dumps({name: chr(code) for name, code in name2codepoint.items()})
+
+
+def _character(code: Column) -> Column:
+    """The character of a code point; NULL when there is none."""
+    sound = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    return F.when(sound, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
 
-# Character references that occur in attribute values.
-_REFERENCES = [("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")]
+
+def _decoded(piece: Column) -> Column:
+    """What follows an ampersand, with the reference it begins with decoded."""
+
+    def decoded(name: Column) -> Column:
+        digits = F.when(name.rlike("^#[xX]"), F.conv(F.substr(name, F.lit(3)), 16, 10)).otherwise(
+            F.substr(name, F.lit(2))
+        )
+        char = F.when(name.startswith("#"), let(digits.try_cast("bigint"), _character)).otherwise(
+            F.try_element_at(F.from_json(F.lit(_NAMED), "map<string,string>"), name)
+        )
+        rest = F.regexp_replace(F.substr(piece, F.length(name) + 1), "^;", "")
+        return F.coalesce(F.concat(char, rest), F.concat(F.lit("&"), piece))
+
+    whole = F.regexp_extract(piece, _REFERENCE, 1)
+    return let(F.when(whole != "", whole).otherwise(F.regexp_extract(piece, _BARE_REFERENCE, 1)), decoded)
 
 
 def _unescape(text: Column) -> Column:
-    plain = text
-    for reference, char in _REFERENCES:
-        plain = F.replace(plain, F.lit(reference), F.lit(char))
-    return F.when(text.contains("&"), plain).otherwise(text)
+    def decoded(pieces: Column) -> Column:
+        rest = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), _decoded)
+        return F.array_join(F.concat(F.slice(pieces, 1, 1), rest), "")
 
+    return F.when(text.contains("&"), let(F.split(text, "&", -1), decoded)).otherwise(text)
 
-def hrefs(html: Column) -> Column:
-    """Array of the raw ``a[href]`` values of a page in document order."""
-    values = F.regexp_extract_all(F.regexp_replace(html, _NO_MARKUP, ""), F.lit(_HREF), 1)
+
+def _href_values(html: Column, name: str) -> Column:
+    """Decoded ``href`` values of all tags of one name in document order."""
+    tags = F.regexp_extract_all(F.regexp_replace(html, _NO_MARKUP, ""), F.lit(_TAG.format(name=name)), 0)
+    values = F.filter(F.transform(tags, lambda t: F.regexp_extract(t, _HREF, 1)), lambda v: v != "")
     return F.transform(
         values, lambda v: _unescape(F.regexp_replace(v, r"""^["']|["']\z""", ""))
     )
 
 
+def hrefs(html: Column) -> Column:
+    """Array of the ``a[href]`` values of a page in document order, references decoded."""
+    return _href_values(html, "a")
+
+
+def document_base(html: Column, url: Column) -> Column:
+    """``base_parts`` of what a page's links are relative to: its URL, or its first ``base`` tag."""
+    own = let(url, base_parts)
+    first = F.get(_href_values(html, "base"), F.lit(0))
+    stated = let(own, lambda b: let(first, lambda h: resolve_link(h, b)["url"]))
+    moved = F.when(html.rlike(r"(?i)<base[\s/]"), stated)
+    return F.coalesce(let(moved, lambda m: F.when(m.isNotNull(), base_parts(m))), own)
+
+
 def page_targets(html: Column, base: Column) -> Column:
     """Resolved targets (struct of url, host, path) of a page, without script-like schemes.
 
@@ -65,7 +114,7 @@ def page_links(html: Column, url: Column, site: Column | None = None) -> Column:
     ``site`` is any URL of the crawled site; by default the page itself.
     """
     page = F.struct(
-        base_parts(url).alias("base"), site_key(url if site is None else site).alias("site")
+        document_base(html, url).alias("base"), site_key(url if site is None else site).alias("site")
     )
 
     def links(p: Column) -> Column:
@@ -87,7 +136,7 @@ def extract_links(pages: DataFrame, site: Column | None = None) -> DataFrame:
 def link_sites(pages: DataFrame) -> DataFrame:
     """Every distinct target of a page with a flag: does it stay on the page's site?"""
     targets = let(
-        base_parts(F.col("url")),
+        document_base(F.col("html"), F.col("url")),
         lambda base: F.array_distinct(
             F.transform(page_targets(F.col("html"), base), lambda t: t["url"])
         ),
