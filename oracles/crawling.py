@@ -1,5 +1,6 @@
 """Checks for traversal, stores, reports, request logs and streams."""
 
+from oracles.content import _BLOCKS
 from oracles.parts import (
     CATALOGUE,
     EDGES,
@@ -39,16 +40,28 @@ site AS (
   SELECT page_id, concat('https://www.corpus.example', {path('url')}) AS node,
     {route(path('url'))} AS route, html FROM ({SITE}) s
 ),
-found AS (
+{_BLOCKS},
+links AS (
   SELECT DISTINCT node AS src, {canonical(f"concat('http://corpus.example', {encoded(unescape('href'))})")} AS dst
   FROM site, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS h(href)
   WHERE NOT regexp_matches(href, '(?i)\\.(jpg|jpeg|png|gif|svg|pdf|doc|docx|xls|xlsx|zip|rar)$')
 ),
-edges AS (SELECT * FROM found),
+edges AS (SELECT * FROM links),
+site_blocks AS (
+  SELECT page_id, 1 AS ord, concat('Page ', page_id, CASE WHEN page_id % 7 = 0 THEN ' xxx' ELSE '' END) AS text FROM pages
+  UNION ALL SELECT page_id, 2, 'x' FROM pages
+  UNION ALL SELECT page_id, 3, 'gone' FROM pages
+  UNION ALL SELECT page_id, 4, 'void' FROM pages
+  UNION ALL SELECT page_id, ord, text FROM shown
+),
+site_firsts AS (SELECT page_id, text, min(ord) AS ord FROM site_blocks GROUP BY page_id, text),
+site_texts AS (
+  SELECT page_id, string_agg({mask('text', 'gi')}, chr(10) ORDER BY ord) AS content FROM site_firsts GROUP BY page_id
+),
 nodes AS (
-  SELECT node, page_id, route, CASE WHEN page_id % 13 = 5 THEN 'no_content' ELSE 'ok' END AS status,
-    concat('Page ', page_id, CASE WHEN page_id % 7 = 0 THEN '  ' ELSE '' END) AS content
-  FROM site
+  SELECT node, page_id, route, CASE WHEN page_id < 0 THEN 'no_content' ELSE 'ok' END AS status,
+    content
+  FROM site LEFT JOIN site_texts USING (page_id)
 ),
 level0 AS (SELECT node FROM site WHERE page_id IN (SELECT page_id FROM pages WHERE contains(url, 'page=2'))),
 taken0 AS (SELECT route FROM nodes WHERE false),
@@ -116,7 +129,6 @@ sessions AS (
 """
 
 
-_WATERMARK = "(SELECT max((epoch_us(ts) // 1000)) - 60000 FROM events)"
 _HOURLY = """
 SELECT event_type, (epoch_us(ts) // 1000) // 3600000 * 3600000 AS start_ms,
   (epoch_us(ts) // 1000) // 3600000 * 3600000 + 3600000 AS end_ms, count(*) AS n_requests
@@ -124,10 +136,10 @@ FROM events GROUP BY ALL HAVING count(*) > 3
 """
 
 _LISTS = f"""
-routed AS (SELECT {route_of('url')} AS route, url FROM ({RESULTS}) r),
+routed AS (SELECT doc_id, {route_of('url')} AS route, url FROM ({RESULTS}) r),
 sized AS (SELECT route, (count(*) + 9) // 10 AS parts FROM routed GROUP BY route),
 lists AS (
-  SELECT route, CAST(CONCAT('0x', substr(md5(url), 1, 8)) AS BIGINT) % parts AS part,
+  SELECT route, CAST(CONCAT('0x', substr(md5(concat(url, '#', doc_id)), 1, 8)) AS BIGINT) % parts AS part,
     list(url ORDER BY url) AS urls
   FROM routed JOIN sized USING (route) GROUP BY ALL
 )
@@ -154,6 +166,10 @@ ranked AS (
   WHERE body <> '' AND NOT (kind = 'content' AND route IN ({_PRIOR_ROUTES}))
 )
 SELECT route, kind, url, md5(body) AS body_md5 FROM ranked WHERE n = 1
+""",
+    "sink_content_rerun": f"""
+SELECT DISTINCT {route_of('url')} AS route, 'content' AS kind, 1::BIGINT AS n
+FROM ({URLS}) u JOIN documents d ON d.doc_id = u.doc_id WHERE d.text <> ''
 """,
     "export_json": f"""
 SELECT concat('["', url, '",{{"url":"', url, '"',
@@ -210,11 +226,11 @@ WITH {_levels(3, _SITE)},
 done AS ({' UNION ALL '.join(f'SELECT * FROM done{d}' for d in range(4))})
 SELECT d.node AS url, d.route, d.depth::BIGINT AS depth, outcome,
   CASE outcome WHEN 'missing' THEN 'Page is not in the corpus'
-    WHEN 'no_content' THEN 'Failed to scrape content after retries' END AS error,
+    WHEN 'no_content' THEN concat('Failed to scrape content for ', d.node) END AS error,
   CASE WHEN outcome = 'stored' THEN length(n.content) END AS content_size,
   CASE WHEN outcome IN ('stored', 'no_content') THEN coalesce(l.n, 0) END AS found_links
 FROM done d LEFT JOIN nodes n ON n.node = d.node
-  LEFT JOIN (SELECT src, count(*) AS n FROM found GROUP BY src) l ON l.src = d.node
+  LEFT JOIN (SELECT src, count(*) AS n FROM links GROUP BY src) l ON l.src = d.node
 """,
     "crawl_site_content": f"""
 WITH {_levels(3, _SITE)},
@@ -286,10 +302,10 @@ FROM run GROUP BY k
     "throttle_stream": f"""
 WITH {_throttle('event_type', 5, 1 / 1800)}
 SELECT k AS key, ms, count(*) AS n_requests, count(*) FILTER (admitted) AS n_admitted
-FROM run WHERE ms <= {_WATERMARK} GROUP BY k, ms
+FROM run GROUP BY k, ms
 """,
     "rate_audit": _HOURLY,
-    "rate_audit_stream": f"SELECT * FROM ({_HOURLY}) h WHERE end_ms <= {_WATERMARK}",
+    "rate_audit_stream": _HOURLY,
     "rate_audit_sliding": """
 SELECT event_type, (epoch_us(ts) // 1000) // 900000 * 900000 - k * 900000 AS start_ms,
   (epoch_us(ts) // 1000) // 900000 * 900000 - k * 900000 + 3600000 AS end_ms, count(*) AS n_requests
@@ -297,7 +313,7 @@ FROM events, range(4) AS r(k) GROUP BY ALL HAVING count(*) > 4
 """,
     "cache_sessions": f"WITH {_gaps('user_id')} SELECT * FROM sessions",
     "session_stream": f"""
-WITH {_gaps('user_id')} SELECT * FROM sessions WHERE end_ms + 3600000 <= {_WATERMARK}
+WITH {_gaps('user_id')} SELECT * FROM sessions
 """,
     "retry_schedule": """
 WITH failures AS (
@@ -311,7 +327,7 @@ waits AS (
 )
 SELECT *, failed_ms + wait_ms AS due_ms FROM waits
 """,
-    "stream_dedup": "SELECT DISTINCT user_id FROM events",
+    "stream_dedup": f"WITH {_gaps('user_id')} SELECT k AS user_id, ms FROM gaps WHERE opens",
     "stream_ingest": f"""
 WITH routed AS (SELECT page_id, {route(encoded(path('url')))} AS route, url FROM pages),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY route ORDER BY page_id) AS n FROM routed)

@@ -20,6 +20,7 @@ PRIOR = view(derived.PRIOR)
 BLOCKLIST = view(derived.BLOCKLIST)
 LEXICON = view(derived.LEXICON)
 VERDICTS = view(derived.VERDICTS)
+TEMPLATES = derived.TEMPLATES
 RESPONSES = view(derived.RESPONSES)
 CATALOGUE = view(derived.CATALOGUE)
 VECTORS = view(derived.VECTORS)

@@ -7,6 +7,7 @@ from oracles.parts import (
     RESPONSES,
     RESULTS,
     SPACE,
+    TEMPLATES,
     TEXTS,
     VERDICTS,
     domain_key,
@@ -14,7 +15,6 @@ from oracles.parts import (
     path,
     route_of,
 )
-from webcorpus.operators.classify import DEFAULT_TEMPLATE, PROMPT_TEMPLATES
 
 _WORDS = [
     r"\b(?:www\.)?[a-z0-9-]+\.(?:xxx|adult|porn)\b",
@@ -111,13 +111,8 @@ def _reasons(flags: str) -> str:
 
 
 def _pair(text: str, tag: str) -> str:
-    """A tag pair whose body, after the last opening tag before a closing one, is short."""
-    pieces = f"string_split_regex({text}, '(?i)</{tag}>')"
-    return (
-        f"len(list_filter(list_slice({pieces}, 1, len({pieces}) - 1), lambda p:"
-        f" regexp_matches(p, '(?i)<{tag}(\\s[^>]*)?>') AND"
-        f" length(regexp_extract(p, '(?is)^.*<{tag}(\\s[^>]*)?>(.*)$', 2)) <= 5000)) > 0"
-    )
+    """An opening tag with a closing one somewhere after it."""
+    return f"regexp_matches({text}, '(?is)<{tag}(\\s[^>]*)?>.*</{tag}>')"
 
 
 def _signals(text: str) -> str:
@@ -153,16 +148,6 @@ _STRUCTURE = (
 )
 
 
-def _quoted(text: str) -> str:
-    return "concat(" + ", chr(10), ".join("'" + t.replace("'", "''") + "'" for t in text.split("\n")) + ")"
-
-
-_TEMPLATE = " ".join(
-    f"WHEN page_type = '{t}' AND {_STRUCTURE} = '{s}' THEN {_quoted(x)}"
-    for (t, s), x in PROMPT_TEMPLATES.items()
-)
-
-
 def _processed(valid: str) -> str:
     return f"""
 SELECT t.doc_id, CASE
@@ -176,10 +161,14 @@ FROM ({TEXTS}) t LEFT JOIN ({RESPONSES}) r ON r.doc_id = t.doc_id
 
 
 SQL = {
-    "credential_shapes": """
-SELECT source, CAST(sum(CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 0 END
-  + CASE WHEN doc_id % 3 = 0 AND length(concat('_-0', md5(text))) = 35 THEN 1 ELSE 0 END) AS BIGINT) AS n_keys
-FROM documents GROUP BY source
+    "credential_shapes": f"""
+WITH marked AS (
+  SELECT source, CASE WHEN doc_id % 3 = 0 THEN concat(text, ' AIza_-0', md5(text))
+    WHEN doc_id % 3 = 1 THEN concat(text, ' AIza', md5(text)) ELSE text END AS text FROM documents
+)
+SELECT source, CAST(sum(len(list_filter(string_split_regex(text, '{SPACE}+'),
+  lambda w: regexp_full_match(w, 'AIza[0-9A-Za-z_-]{{35}}')))) AS BIGINT) AS n_keys
+FROM marked GROUP BY source
 """,
     "error_class": f"""
 SELECT CASE WHEN error LIKE '%429%' OR error LIKE '%quota%' THEN 'quota' ELSE 'other' END AS error_class,
@@ -203,9 +192,10 @@ SELECT doc_id, n_tokens, round(score, 8) AS score FROM scores
 WITH texts AS ({TEXTS}), {_SCORES}
 SELECT doc_id, {_SENTIMENT} AS flag FROM scores
 """,
-    "ai_verdicts": """
-SELECT d.doc_id, coalesce(toxic = 1, false) AS unsafe, coalesce(toxic = 1, false) AS unsafe_any_case
-FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
+    "ai_verdicts": f"""
+SELECT t.doc_id, coalesce(toxic = 1 AND t.doc_id % 3 <> 0, false) AS unsafe,
+  coalesce(toxic = 1, false) AS unsafe_any_case
+FROM ({TEXTS}) t LEFT JOIN labels l ON l.doc_id = t.doc_id
 """,
     "validate_content": f"""
 WITH {_VALIDATED}
@@ -222,7 +212,7 @@ GROUP BY source, flag
     "flag_reasons": f"""
 SELECT doc_id, {_reasons('''[
   CASE WHEN doc_id % 2 = 0 THEN 'restricted_domain' END,
-  CASE WHEN toxic = 1 THEN 'ai_safety_check' END,
+  CASE WHEN toxic = 1 AND doc_id % 3 <> 0 THEN 'ai_safety_check' END,
   CASE WHEN doc_id % 3 = 0 THEN 'unknown_flag' END,
   CASE WHEN doc_id % 5 = 0 THEN 'validation_error' END]''')} AS reasons
 FROM labels
@@ -244,8 +234,9 @@ FROM typed
     "page_type_counts": f"WITH {_TYPED} SELECT page_type, count(*) AS n_pages FROM typed GROUP BY page_type",
     "build_prompts": f"""
 WITH {_TYPED}
-SELECT doc_id, replace(CASE {_TEMPLATE} ELSE {_quoted(DEFAULT_TEMPLATE)} END, '{{content}}', content) AS prompt
-FROM typed
+SELECT doc_id, replace(coalesce(template, '{{content}}'), '{{content}}', content) AS prompt
+FROM (SELECT *, {_STRUCTURE} AS structure_type FROM typed) p
+  LEFT JOIN ({TEMPLATES}) t USING (page_type, structure_type)
 """,
     "corpus_overview": f"""
 WITH {_TYPED}, keyed AS (SELECT *, {domain_key('url')} AS d, {route_of('url')} AS route FROM typed)

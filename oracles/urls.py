@@ -50,13 +50,17 @@ targets AS (
   UNION ALL
   SELECT page_id, url, host, 4, host, concat(scheme, '://', host, '/files/', page_id, '.PDF')
   FROM base
+  UNION ALL
+  SELECT page_id, url, host, 5, host, concat(scheme, '://', host, '/gt/', page_id % 19) FROM base
+  UNION ALL
+  SELECT page_id, url, host, 6, host, concat(scheme, '://', host, '/x?a=1&b=caf%C3%A9') FROM base
 )
 """
 _MIXED_LINKS = f"""
 {_MIXED_TARGETS},
 mixed AS (
   SELECT page_id, i, {canonical('target')} AS link FROM targets
-  WHERE {bare('host')} = {bare('target_host')} AND i < 4
+  WHERE {bare('host')} = {bare('target_host')} AND i <> 4
 )
 """
 
@@ -110,9 +114,9 @@ flagged AS (
   SELECT *, d IN (SELECT {domain_key('url')} FROM ({BLOCKLIST}) b)
     OR regexp_matches(d, '\\.(xxx|sex|adult|porn)$') AS bad FROM keyed
 )
-SELECT a.doc_id, a.url, b.url AS final_url,
+SELECT a.doc_id, a.url, coalesce(b.url, a.url) AS final_url,
   CASE WHEN a.bad OR b.bad THEN 'Domain contains restricted content' END AS error
-FROM flagged a JOIN flagged b ON a.doc_id = b.doc_id + 1
+FROM flagged a LEFT JOIN flagged b ON a.doc_id = b.doc_id + 1
 """,
     "frontier_unseen": f"""
 WITH {_LINKS}, {_MIXED_LINKS}
@@ -130,6 +134,9 @@ SELECT page_id, true AS valid, {route(encoded(path('url')))} AS route FROM pages
 """,
     "pretty_sizes": f"""
 SELECT n, {pretty('n')} AS size
-FROM (SELECT DISTINCT l_orderkey * l_orderkey * l_partkey AS n FROM lineitem) s
+FROM (
+  SELECT DISTINCT (l_orderkey * 7919 % 1000003) * CAST(pow(10, l_orderkey % 12) AS BIGINT) + l_partkey % 1000 AS n
+  FROM lineitem
+) s
 """,
 }

@@ -88,7 +88,7 @@ def test_primary_content_is_the_first_distinct_block(spark):
         "  a", "b",
     ]
     empty = extract.primary_content(page(spark, "<table></table>")).first()
-    assert (empty.content, empty.error) == (None, extract.NO_CONTENT)
+    assert (empty.content, empty.error) == (None, "Failed to scrape content for https://a.org/")
 
 
 def test_records(spark):

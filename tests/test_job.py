@@ -54,7 +54,7 @@ def site(spark):
 EXPECTED = {
     "https://www.s.org": (0, "stored", None, 10, 3),
     "https://www.s.org/a": (1, "stored", None, 6, 1),
-    "https://www.s.org/b.html": (1, "no_content", "Failed to scrape content after retries", None, 1),
+    "https://www.s.org/b.html": (1, "no_content", "Failed to scrape content for https://www.s.org/b.html", None, 1),
     "https://www.s.org/gone": (1, "missing", pipeline.MISSING, None, None),
     "https://www.s.org/c": (2, "stored", None, 6, 1),
     "https://www.s.org/d": (2, "stored", None, 6, 0),
@@ -71,15 +71,26 @@ def rows(found):
 
 def test_crawl(spark, site):
     seeds = spark.createDataFrame([("http://www.s.org/",), ("nonsense",)], "url string")
-    found = pipeline.crawl_corpus(site, seeds)
+    found = pipeline.crawl_corpus(site, seeds, first_block=True)
     got = rows(found)
     content = {(r.route, r.kind): r.body for r in found.content.collect()}
     assert content["root", "content"] == content["root", "processed"] == "Home   ABG"
     assert got == EXPECTED
-    shallow = rows(pipeline.crawl_corpus(site, seeds, 1))
+    shallow = rows(pipeline.crawl_corpus(site, seeds, 1, first_block=True))
     assert shallow == {u: v for u, v in got.items() if v[0] <= 1}
 
 
+def test_all_blocks_are_kept_and_masked(spark, site):
+    more = spark.createDataFrame(
+        [(9, "https://s.org/", "<p>xxx one xxx</p><p>two</p><p>two</p><div>xxx</div>"), (8, "https://other.org/", "<p>x</p>")], PAGES
+    )
+    seeds = spark.createDataFrame([("https://s.org/",)], "url string")
+    found = pipeline.crawl_corpus(more, seeds)
+    assert {r.body for r in found.content.collect()} == {"  one  \ntwo\n "}
+    once = pipeline.crawl_corpus(more, seeds, first_block=True, first_only=True)
+    assert {r.body for r in once.content.collect()} == {"  one xxx"}
+
+
 def test_crawl_without_broadcasts(spark, site, monkeypatch):
     seeds = spark.createDataFrame([("http://www.s.org/",)], "url string")
     usual = rows(pipeline.crawl_corpus(site, seeds))
@@ -102,7 +113,7 @@ def test_policies_in_a_crawl(spark, site):
     stored = spark.createDataFrame([("d", "content"), ("a", "processed")], "route string, kind string")
     found = pipeline.crawl_corpus(site, seeds, responses=answers, stored=stored)
     kinds = {(r.route, r.kind): r.body for r in found.content.collect()}
-    assert kinds["root", "processed"] == "Home   ABG"
+    assert kinds["root", "processed"] == "Home   ABG\nA\nB\nG"
     assert ("c", "content") in kinds and ("c", "processed") not in kinds
     assert ("a", "content") in kinds and ("a", "processed") not in kinds
     assert rows(found)["https://www.s.org/d"][1] == "reused"
@@ -120,3 +131,7 @@ def test_job_leaves_its_files(spark, site, tmp_path, fmt, capsys):
     totals = spark.read.text(f"{out}/report").filter("section = 'totals'").first().value
     assert json.loads(totals) == {"total": 7, "successful": 5, "failed": 2}
     assert spark.read.parquet(f"{out}/store").count() == 10
+    # A second run finds everything stored and adds nothing.
+    before = sorted(map(str, spark.read.parquet(f"{out}/store").collect()))
+    assert main(arguments) == 0
+    assert sorted(map(str, spark.read.parquet(f"{out}/store").collect())) == before

@@ -42,11 +42,12 @@ def test_restricted(spark, blocklist):
 
 def test_redirect_error(spark, blocklist):
     visits = spark.createDataFrame(
-        [(1, "http://a.org", "http://bad.org"), (2, "http://a.org", "http://b.org")],
+        [(1, "http://a.org", "http://bad.org"), (2, "http://a.org", "http://b.org"), (3, "http://bad.org", None)],
         "i int, u string, f string",
     )
     rows = policy.restricted_redirects(visits, blocklist, "i", "u", "f").orderBy("i").collect()
-    assert [r.error for r in rows] == ["Domain contains restricted content", None]
+    bad = "Domain contains restricted content"
+    assert [(r.f, r.error) for r in rows] == [("http://bad.org", bad), ("http://b.org", None), ("http://bad.org", bad)]
 
 
 def test_suspicious(spark):
@@ -165,7 +166,8 @@ def test_signals(spark):
     cases = {
         "<H1 a=b>x</h2>": ["structured"],
         "<h1>" + "x" * 5000 + "</h1>": ["structured"],
-        "<h1>" + "x" * 5001 + "</h1>": [],
+        "<h1>" + "x" * 50_001 + "</h1>": ["structured"],
+        "</h1>" + "<h1>" * 3: [],
         "<header>x</header>": [],
         "<h1>" + "x" * 6000 + "<h2>y</h2>": ["structured"],
         "<ul>\n<li></ol> <table></table>": ["list", "data"],
@@ -176,6 +178,8 @@ def test_signals(spark):
     assert texts(spark, list(cases), classify.content_signals(F.col("t"))) == list(cases.values())
     late = " " * 50 + "<h1>x</h1> author"
     assert texts(spark, [late], classify.content_signals(F.col("t"), 20)) == [["article"]]
+    long = "<h1>" + "x" * 5001 + "</h1>"
+    assert texts(spark, [long], classify.content_signals(F.col("t"), body_limit=5000)) == [[]]
 
 
 def test_page_types_and_prompts(spark):
@@ -191,17 +195,18 @@ def test_page_types_and_prompts(spark):
         ],
         "i int, url string, t string",
     )
-    rows = classify.build_prompts(classify.classify_pages(df, "url", "t"), "t").orderBy("i").collect()
+    templates = spark.createDataFrame(
+        [("article", "narrative", "A {content} {content}"), ("profile", "descriptive", "no place")],
+        "page_type string, structure_type string, template string",
+    )
+    typed = classify.classify_pages(df, "url", "t")
+    rows = classify.build_prompts(typed, "t", templates, "i", "d: {content}").orderBy("i").collect()
     assert [r.page_type for r in rows] == [
         "article", "general", "article", "product", "product", "category", "profile",
     ]
-    assert rows[2].prompt.endswith("price and author $1 \\1 {content}")
-    assert rows[1].prompt == classify.DEFAULT_TEMPLATE.replace("{content}", "x")
-    assert rows[5].prompt == classify.DEFAULT_TEMPLATE.replace("{content}", "<ul></ul> profile")
-    assert rows[6].prompt.startswith(
-        classify.PROMPT_TEMPLATES["profile", "descriptive"].split("{content}")[0]
-    )
-    fixed = classify.build_prompts(
-        classify.classify_pages(df, "url", "t"), "t", {("article", "narrative"): "no place"}, "d {content}"
-    )
-    assert [r.prompt for r in fixed.orderBy("i").collect()][:2] == ["no place", "d x"]
+    assert rows[2].prompt == "A price and author $1 \\1 {content} {content}"
+    assert rows[1].prompt == "d: x"
+    assert rows[5].prompt == "d: <ul></ul> profile"
+    assert rows[6].prompt == "no place"
+    plain = classify.build_prompts(typed, "t", templates.limit(0), "i").orderBy("i").collect()
+    assert [r.prompt for r in plain][:2] == ["x", "x"]

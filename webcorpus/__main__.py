@@ -40,6 +40,7 @@ def main(arguments: list[str] | None = None) -> int:
     from webcorpus.plans.pipeline import crawl_corpus
     from webcorpus.session import build_session
     from webcorpus.sources.readers import read_pages
+    from webcorpus.sources.sinks import stored_routes
 
     spark = build_session()
     seeds = spark.createDataFrame([(chosen.url,)], "url string")
@@ -48,7 +49,8 @@ def main(arguments: list[str] | None = None) -> int:
         return 1
     listed = chosen.blocklist and load_blocklist(spark.read.parquet(chosen.blocklist), "domain")
     pages = read_pages(spark, chosen.pages, chosen.input_format)
-    found = crawl_corpus(pages, seeds, chosen.depth, listed)
+    stored = stored_routes(spark, f"{chosen.output}/store")
+    found = crawl_corpus(pages, seeds, chosen.depth, listed, stored=stored)
     found.save(chosen.output, chosen.format)
     stats = crawl_stats(found.results).first()
     print(f"Success rate: {stats.success_rate or 0:.2f}%  Characters: {stats.total_size or 0}")

@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webcorpus.functions.urls import url_path
+from webcorpus.operators.joins import lookup_join
 
-# A pair of tags counts as structure when its body has at most this many characters.
-BODY_LIMIT = 5000
+# Tags whose pairs count as structure.
 STRUCTURES = {
     "structured": ("h[1-6]", "h[1-6]"),
     "list": ("(?:ul|ol)", "(?:ul|ol)"),
@@ -39,42 +39,26 @@ PAGE_TYPES = [
 GENERAL = ("general", ("standard", "descriptive", "general"))
 
 PLACEHOLDER = "{content}"
-
-# Wording of our own; callers may pass other templates.
-PROMPT_TEMPLATES = {
-    ("article", "narrative"): "Retell this article as a story. Name the main thread, keep notable"
-    " quotes and the writer's point of view.\n\n{content}",
-    ("article", "analytical"): "Examine this article. State its claims, the evidence for each,"
-    " the sources used and how sound the conclusions are.\n\n{content}",
-    ("article", "technical"): "Explain the technical substance of this article: terms, procedures,"
-    " requirements and formulas.\n\n{content}",
-    ("product", "descriptive"): "Describe this product for a buyer: features, figures, benefits"
-    " and typical uses.\n\n{content}",
-    ("product", "technical"): "Give the technical profile of this product: specifications,"
-    " performance and how it compares with common standards.\n\n{content}",
-    ("profile", "narrative"): "Tell this person's career as a short narrative: milestones,"
-    " strengths and important work.\n\n{content}",
-    ("profile", "descriptive"): "Summarise this person's background: qualifications, fields of"
-    " expertise and achievements.\n\n{content}",
-}
-DEFAULT_TEMPLATE = (
-    "Structure this text: list its topics, group related points, leave out repetition.\n\n{content}"
-)
+DEFAULT_TEMPLATE = "{content}"
 
 
-def content_signals(content: Column, scan_limit: int | None = None) -> Column:
+def content_signals(
+    content: Column, scan_limit: int | None = None, body_limit: int | None = None
+) -> Column:
     """Array of the signals a page shows.
 
-    The whole text is searched; ``scan_limit`` restricts the search for tag pairs to the first
-    characters (``SCAN_LIMIT`` is the usual bound for interactive use).
+    The whole text is searched, and any pair of tags counts. ``scan_limit`` restricts the search
+    for pairs to the first characters (``SCAN_LIMIT`` is the usual bound for interactive use),
+    ``body_limit`` the characters between the tags.
     """
     scanned = content if scan_limit is None else F.substring(content, 1, scan_limit)
     lowered = F.lower(content)
+    body = ".*" if body_limit is None else f".{{0,{body_limit}}}?"
 
     def pair(opened: str, closed: str) -> Column:
-        return scanned.rlike(
-            rf"(?is)<{opened}(?:\s[^>]*)?>.{{0,{BODY_LIMIT}}}?</{closed}>"
-        )
+        # Texts without an end tag are settled before any start tag is followed to the end.
+        ends = scanned.rlike(rf"(?i)</{closed}>")
+        return ends & scanned.rlike(rf"(?is)<{opened}(?:\s[^>]*)?>{body}</{closed}>")
 
     shapes = [F.when(pair(*tags), name) for name, tags in STRUCTURES.items()]
     words = [
@@ -119,20 +103,22 @@ def page_type_counts(classified: DataFrame) -> DataFrame:
 def build_prompts(
     classified: DataFrame,
     content: str,
-    templates: dict[tuple[str, str], str] = PROMPT_TEMPLATES,
+    templates: DataFrame,
+    row_id: str,
     default: str = DEFAULT_TEMPLATE,
 ) -> DataFrame:
-    """Add ``prompt``: the template of (page_type, structure_type) with the content inserted.
+    """Add ``prompt``: the template of the page's type and structure with the content inserted.
 
-    The templates are part of the plan, so no join is needed; the content goes in literally.
+    ``templates`` is (page_type, structure_type, template); pages without one get ``default``. The
+    content goes in literally, at the first placeholder.
     """
-    chosen = F.lit(default)
-    for (page_type, structure), template in templates.items():
-        fits = (F.col("page_type") == page_type) & (F.col("structure_type") == structure)
-        chosen = F.when(fits, template).otherwise(chosen)
+    keys = ["page_type", "structure_type"]
+    lookup = templates.select(*keys, F.col("template").alias("_template"))
+    joined = lookup_join(classified, lookup, keys, spread_by=row_id)
+    chosen = F.coalesce("_template", F.lit(default))
     head = F.substring_index(chosen, PLACEHOLDER, 1)
     tail = F.when(
         F.instr(chosen, PLACEHOLDER) > 0,
         F.concat(F.col(content), F.substr(chosen, F.length(head) + 1 + len(PLACEHOLDER))),
     ).otherwise("")
-    return classified.withColumn("prompt", F.concat(head, tail))
+    return joined.withColumn("prompt", F.concat(head, tail)).drop("_template")

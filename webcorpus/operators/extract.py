@@ -18,8 +18,8 @@ from webcorpus.operators.markup import page_blocks, records_column
 LANGUAGES = ["javascript", "typescript", "python", "java", "cpp", "css", "html"]
 NO_LANGUAGE = "plaintext"
 
-# Fixed value: error text of a page without any text block.
-NO_CONTENT = "Failed to scrape content after retries"
+# Fixed value: how the error text of a page without any text block begins; its URL follows.
+NO_CONTENT = "Failed to scrape content for "
 
 
 def code_language(class_name: Column) -> Column:
@@ -73,6 +73,18 @@ def distinct_blocks(parsed: Column) -> Column:
     return F.array_distinct(F.transform(_clean_blocks(parsed), lambda b: b["text"]))
 
 
+def no_content(url: Column) -> Column:
+    """Error text of a page without any text block."""
+    return F.concat(F.lit(NO_CONTENT), url)
+
+
+def all_text(html: Column, first_only: bool = False) -> Column:
+    """The distinct blocks of a page, masked, a line each; NULL when there is none."""
+    blocks = distinct_blocks(page_blocks(html))
+    masked = F.transform(blocks, lambda b: mask_phrases(b, first_only))
+    return F.when(F.size(blocks) > 0, F.array_join(masked, "\n"))
+
+
 def first_text(html: Column) -> Column:
     """The first cleaned block of a page that is not empty; NULL when there is none."""
     return F.get(distinct_blocks(page_blocks(html, first_only=True)), F.lit(0))
@@ -93,7 +105,7 @@ def primary_content(pages: DataFrame, first_only: bool = True) -> DataFrame:
         "page_id",
         "url",
         content.alias("content"),
-        F.when(F.col("first").isNull(), NO_CONTENT).alias("error"),
+        F.when(F.col("first").isNull(), no_content(F.col("url"))).alias("error"),
     )
 
 

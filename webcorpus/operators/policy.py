@@ -68,8 +68,8 @@ KEY_SHAPE = r"AIza[0-9A-Za-z\-_]{35}"
 
 
 def _lookup_key(domain: Column) -> Column:
-    """Join key of a domain; a text that is longer than any host name is hashed."""
-    return F.when(F.length(domain) > 255, F.sha2(domain, 256)).otherwise(domain)
+    """Join key of a domain; texts may be of any length, so the key is a hash."""
+    return F.sha2(domain, 256)
 
 
 def load_blocklist(entries: DataFrame, column: str) -> DataFrame:
@@ -86,24 +86,35 @@ def flag_restricted(
     df: DataFrame, text: str, blocklist: DataFrame, row_id: str, out: str = "restricted"
 ) -> DataFrame:
     """Add a flag: listed domain, restricted ending or restricted start."""
+    named = name_flags(df, domain_key(F.col(text)))
+    return flag_names(named, blocklist, row_id, out)
+
+
+def name_flags(df: DataFrame, name: Column) -> DataFrame:
+    """Reduce a domain key to a hash and what its form gives away."""
+    form = F.coalesce(restricted_name(name), F.lit(False))
+    return df.withColumns({"_key": _lookup_key(name), "_form": form})
+
+
+def flag_names(named: DataFrame, blocklist: DataFrame, row_id: str, out: str) -> DataFrame:
+    """Flag rows of ``name_flags`` that are listed or restricted by their form."""
     listed = blocklist.select(_lookup_key(F.col("domain")).alias("_key")).withColumn(
         "_listed", F.lit(True)
     )
-    keyed = df.withColumn("_name", domain_key(F.col(text))).withColumn(
-        "_key", _lookup_key(F.col("_name"))
-    )
-    joined = lookup_join(keyed, listed, "_key", spread_by=row_id)
-    flag = F.coalesce(F.col("_listed"), F.lit(False)) | F.coalesce(
-        restricted_name(F.col("_name")), F.lit(False)
-    )
-    return joined.withColumn(out, flag).drop("_key", "_name", "_listed")
+    joined = lookup_join(named, listed, "_key", spread_by=row_id)
+    flag = F.coalesce(F.col("_listed"), F.lit(False)) | F.col("_form")
+    return joined.withColumn(out, flag).drop("_key", "_form", "_listed")
 
 
 def restricted_redirects(
     visits: DataFrame, blocklist: DataFrame, row_id: str, requested: str, final: str
 ) -> DataFrame:
-    """Add an error where the requested or the final URL is restricted."""
-    flagged = flag_restricted(visits, requested, blocklist, row_id, "_first")
+    """Add an error where the requested or the final URL is restricted.
+
+    A visit without a known final URL ended where it was requested.
+    """
+    known = visits.withColumn(final, F.coalesce(final, requested))
+    flagged = flag_restricted(known, requested, blocklist, row_id, "_first")
     flagged = flag_restricted(flagged, final, blocklist, row_id, "_last")
     return flagged.withColumn(
         "error", F.when(F.col("_first") | F.col("_last"), RESTRICTED_ERROR)
@@ -252,16 +263,17 @@ def validate_content(
     its flags before anything is shuffled, so the joins move a few bytes per row.
     """
     content = F.col(text)
-    checked = flag_restricted(
-        texts.select(row_id, *keep, content.alias("_text")), "_text", blocklist, row_id
-    )
-    narrow = checked.select(
+    narrow = name_flags(texts, domain_key(content)).select(
         row_id,
         *keep,
-        is_blank(F.col("_text")).alias("_blank"),
-        F.when(F.col("restricted"), "restricted_domain").alias("_domain"),
-        F.when(is_suspicious(F.col("_text")), "suspicious_patterns").alias("_pattern"),
-        F.when(has_keyword_combination(F.col("_text")), "keyword_combinations").alias("_words"),
+        "_key",
+        "_form",
+        is_blank(content).alias("_blank"),
+        F.when(is_suspicious(content), "suspicious_patterns").alias("_pattern"),
+        F.when(has_keyword_combination(content), "keyword_combinations").alias("_words"),
+    )
+    narrow = flag_names(narrow, blocklist, row_id, "_listed_name").withColumn(
+        "_domain", F.when(F.col("_listed_name"), "restricted_domain")
     )
     scores = sentiment_scores(texts, row_id, text, lexicon)
     joined = narrow.join(scores, row_id, "left").join(verdicts, row_id, "left")

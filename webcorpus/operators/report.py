@@ -55,7 +55,9 @@ def route_url_lists(results: DataFrame, row_id: str, size: int = LIST_SIZE) -> D
         F.ceil(F.count("*") / F.lit(size)).cast("bigint").alias("_parts")
     )
     spread = lookup_join(routed, parts, "route", spread_by=row_id, settle=True)
-    slot = F.conv(F.substring(F.md5("url"), 1, 8), 16, 10).cast("bigint") % F.col("_parts")
+    # With the row id, or all copies of one URL would be in one list.
+    mark = F.md5(F.concat_ws("#", "url", F.col(row_id).cast("string")))
+    slot = F.conv(F.substring(mark, 1, 8), 16, 10).cast("bigint") % F.col("_parts")
     return spread.groupBy("route", slot.alias("part")).agg(
         F.array_sort(F.collect_list("url")).alias("urls")
     )

@@ -47,7 +47,7 @@ SELECT doc_id,
 FROM ({URLS}) u
 """
 
-# Document texts with one phrase each that some policy looks for.
+# Document texts with one phrase each that some policy looks for, and rows of edge cases.
 TEXTS = """
 SELECT doc_id, source,
   CASE doc_id % 16
@@ -59,16 +59,17 @@ SELECT doc_id, source,
     WHEN 6 THEN concat(text, ' Private show after payment')
     WHEN 7 THEN concat(text, ' go to market.onion for private  content today')
     WHEN 8 THEN concat(text, ' go to market.onion for the weather')
-    WHEN 9 THEN '   '
     WHEN 10 THEN concat('   ', text, ' caf', chr(233), chr(160), 'bar', chr(10), ' end', chr(233))
-    WHEN 11 THEN CASE WHEN doc_id % 3 = 0 THEN 'worst worst awful worst worst'
-      WHEN doc_id % 3 = 1 THEN 'awful worst bad awful' ELSE concat('awful  ', text) END
+    WHEN 11 THEN concat('awful  ', text)
     WHEN 12 THEN concat('xxx a XXX b p0rn c pornography escort service, cam girl ', text)
     WHEN 13 THEN concat('xxx.shop/', text)
     WHEN 14 THEN concat('https://www.casino-win.example.org/', text)
     WHEN 15 THEN concat(text, ' a camshow and adult-massageservice near adult material')
     ELSE text END AS text
 FROM {documents}
+UNION ALL
+SELECT CAST(id AS BIGINT), 'edge', text FROM (VALUES (-1, '   '), (-2, ''),
+  (-3, 'worst worst awful worst worst'), (-4, 'awful worst bad awful'), (-5, 'xxx')) AS e(id, text)
 """
 
 # Pages around the document texts: headings, lists, tables, code and many kinds of links.
@@ -80,7 +81,9 @@ SELECT d.doc_id AS page_id, u.url,
     '<a href="../up/./', d.doc_id % 11, '.html#sec">up</a>',
     '<a class="m" href=''mailto:x@example.org''>mail</a><a href="JavaScript:void(0)">run</a>',
     '<a href="http://www.h', d.doc_id % 13, '.example.org/b?x=1&amp;y=', d.doc_id, '">out</a>',
-    '<a href="/files/', d.doc_id, '.PDF">file</a><!-- <a href="/gone">gone</a> -->',
+    '<a href="/files/', d.doc_id, '.PDF">file</a>',
+    '<a title="a>b" href="/gt/', d.doc_id % 19, '">gt</a>',
+    '<a id=r href=/x?a=1&#038;b=caf&eacute;>ref</a><!-- <a href="/gone">gone</a> -->',
     CASE d.doc_id % 5
       WHEN 0 THEN '<ul><li>one</li><li>two</li></ul>'
       WHEN 1 THEN '<table><tr><td>cell</td></tr></table>'
@@ -109,7 +112,7 @@ EDGES = " UNION ALL ".join(
 )
 
 # One site with the given pages' markup: neighbours share a storage route, and each page links to
-# three others. Some pages carry a restricted phrase in their first block.
+# three others. Some pages carry a restricted phrase in their first block; some more pages are void.
 def _site_path(page: str) -> str:
     return (
         f"concat('/', CASE (({page}) - ({page}) % 2) % 3 WHEN 0 THEN 'news' WHEN 1 THEN 'shop'"
@@ -124,10 +127,13 @@ _ANCHORS = ", ".join(
 )
 SITE = f"""
 SELECT page_id, concat('http://corpus.example', {_site_path("page_id")}) AS url,
-  CASE WHEN page_id % 13 = 5 THEN '<p></p>' ELSE concat('<div>Page ', page_id,
-    CASE WHEN page_id % 7 = 0 THEN ' xxx' ELSE '' END, '</div>',
-    {_ANCHORS}, '<a href="/nowhere/', page_id % 5, '">gone</a>', html) END AS html
+  concat('<div>Page ', page_id, CASE WHEN page_id % 7 = 0 THEN ' xxx' ELSE '' END, '</div>',
+    {_ANCHORS}, '<a href="/nowhere/', page_id % 5, '">gone</a>',
+    '<a href="/void/', page_id - page_id % 13 + 5, '">void</a>', html) AS html
 FROM (SELECT *, (SELECT count(*) FROM {{pages}}) AS n FROM {{pages}}) p
+UNION ALL
+SELECT -1 - page_id, concat('http://corpus.example/void/', page_id), '<p></p>'
+FROM {{pages}} WHERE page_id % 13 = 5
 """
 
 # Routes stored by an earlier run: those of the labelled documents.
@@ -152,7 +158,18 @@ FROM (VALUES ('worst', -1.0), ('awful', -0.8), ('bad', -0.6), ('good', 0.7), ('b
 
 # A model's verdict per labelled document.
 VERDICTS = """
-SELECT doc_id, CASE WHEN toxic = 1 THEN 'unsafe' ELSE 'SAFE' END AS verdict FROM {labels}
+SELECT doc_id, CASE WHEN toxic = 1 AND doc_id % 3 = 0 THEN 'UNSAFE' WHEN toxic = 1 THEN 'unsafe'
+  ELSE 'SAFE' END AS verdict FROM {labels}
+"""
+
+# Prompt templates by page type and structure; other pages get the default.
+TEMPLATES = """
+SELECT page_type, structure_type, template FROM (VALUES
+  ('article', 'narrative', 'Article: {content} (end)'),
+  ('product', 'descriptive', 'Product. {content}'),
+  ('profile', 'narrative', 'unused'),
+  ('profile', 'descriptive', 'A profile without its text'))
+  AS t(page_type, structure_type, template)
 """
 
 # A model's response per document; some calls failed, some are missing.
@@ -176,11 +193,13 @@ SELECT p_partkey, p_brand AS family,
 FROM {part}
 """
 
-# Embeddings and a slightly shifted copy of each.
+# Embeddings with a close copy of each and one at a cosine between 0.91 and 0.99.
 VECTORS = """
-SELECT vec_id * 2 AS vec_id, vec_id AS origin, 0.0 AS shift, embedding FROM {embeddings}
+SELECT vec_id * 3 AS vec_id, vec_id AS origin, 0.0 AS shift, embedding FROM {embeddings}
+UNION ALL
+SELECT vec_id * 3 + 1, vec_id, 0.002, embedding FROM {embeddings}
 UNION ALL
-SELECT vec_id * 2 + 1, vec_id, 0.002, embedding FROM {embeddings}
+SELECT vec_id * 3 + 2, vec_id, 0.014 + 0.002 * (vec_id % 12), embedding FROM {embeddings}
 """
 
 
@@ -189,22 +208,22 @@ WIDE = ("documents", "pages", "embeddings")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; one with fewer splits than there are cores is spread over all of them.
+    """A given table. On a cluster it is read as it lies, without any shuffle.
 
-    A split holds at most ``spark.sql.files.maxPartitionBytes``, so what is moved is bounded by
-    that size per core. Tables of a large corpus have more splits and are read as they are.
+    In one local process, where a small file is a single row group that Spark cannot split, wide
+    rows are spread over the threads.
     """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in WIDE and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
+    context = spark.sparkContext
+    if name in WIDE and context.master.startswith("local["):
+        return df.repartition(context.defaultParallelism)
     return df
 
 
 def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Run a definition over the tables it names in braces."""
     names = [n for n in ("documents", "pages", "labels", "part", "embeddings") if f"{{{n}}}" in sql]
-    return spark.sql(sql, **{n: table(spark, sf_dir, n) for n in names})
+    return spark.sql(sql, **{n: table(spark, sf_dir, n) for n in names}) if names else spark.sql(sql)
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:

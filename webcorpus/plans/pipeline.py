@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webcorpus.functions.text import mask_phrases
-from webcorpus.functions.urls import absolute_url, canonical_link, route_of
+from webcorpus.functions.urls import absolute_url, canonical_link, route_of, site_key
 from webcorpus.operators import crawl, extract, links, policy, report
+from webcorpus.operators.joins import lookup_join
 from webcorpus.session import cut_lineage
 from webcorpus.sources import sinks
 from webcorpus.streaming.ingest import scratch
@@ -38,30 +39,42 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def parse_pages(pages: DataFrame, blocklist: DataFrame | None = None) -> DataFrame:
+def parse_pages(
+    pages: DataFrame,
+    blocklist: DataFrame | None = None,
+    first_block: bool = False,
+    first_only: bool = False,
+) -> DataFrame:
     """(node, page_id, route, links, content, error) of every page with a valid URL.
 
-    The markup is read once and never shuffled; what it yields is written down.
+    The content is all distinct blocks, masked everywhere; ``first_block`` keeps the first block
+    only, ``first_only`` masks the first hit of each phrase only. The markup is read once; what it
+    yields is written down, and only then are the sites looked up.
     """
-    if blocklist is None:
-        restricted = policy.restricted_name(policy.domain_key(F.col("url")))
-        flagged = pages.withColumn("restricted", F.coalesce(restricted, F.lit(False)))
+    if first_block:
+        content = mask_phrases(extract.first_text(F.col("html")), first_only)
     else:
-        flagged = policy.flag_restricted(pages, "url", blocklist, "page_id")
-    parsed = flagged.select(
+        content = extract.all_text(F.col("html"), first_only)
+    named = policy.name_flags(pages, policy.domain_key(F.col("url")))
+    parsed = named.select(
         canonical_link(absolute_url(F.col("url"))).alias("node"),
         "page_id",
         route_of(F.col("url")).alias("route"),
         links.page_links(F.col("html"), F.col("url")).alias("links"),
-        extract.first_text(F.col("html")).alias("first"),
-        "restricted",
+        content.alias("text"),
+        "_key",
+        "_form",
     ).filter("node IS NOT NULL")
+    parsed = _written(parsed, "parsed")
+    if blocklist is None:
+        flagged = parsed.withColumnRenamed("_form", "restricted").drop("_key")
+    else:
+        flagged = policy.flag_names(parsed, blocklist, "page_id", "restricted")
     error = F.when(F.col("restricted"), policy.RESTRICTED_ERROR).when(
-        F.col("first").isNull(), extract.NO_CONTENT
+        F.col("text").isNull(), extract.no_content(F.col("node"))
     )
-    content = F.when(~F.col("restricted"), mask_phrases(F.col("first")))
-    parsed = parsed.withColumns({"content": content, "error": error})
-    return _written(parsed.drop("first", "restricted"), "parsed")
+    found = F.when(~F.col("restricted"), F.col("text"))
+    return flagged.withColumns({"content": found, "error": error}).drop("text", "restricted")
 
 
 def page_nodes(parsed: DataFrame) -> DataFrame:
@@ -91,14 +104,22 @@ def crawl_corpus(
     responses: DataFrame | None = None,
     stored: DataFrame | None = None,
     expand_reused: bool = False,
+    first_block: bool = False,
+    first_only: bool = False,
 ) -> Crawl:
     """Crawl a corpus of (page_id, url, html) from the URLs in ``seeds`` (url).
 
+    Links are followed within a site only, so pages of other sites than the seeds' go before any
+    markup is read. ``first_block`` and ``first_only`` are those of :func:`parse_pages`.
     ``responses`` is a model's answer log (page_id, response, response_error, response_valid);
     without it the processed text is the masked content. ``stored`` lists (route, kind) of
     earlier runs.
     """
-    parsed = parse_pages(pages, blocklist)
+    sites = seeds.select(site_key(F.col("url")).alias("_site")).filter("_site IS NOT NULL")
+    near = lookup_join(
+        pages.withColumn("_site", site_key(F.col("url"))), sites.distinct(), "_site", "left_semi", "page_id"
+    )
+    parsed = parse_pages(near.drop("_site"), blocklist, first_block, first_only)
     nodes = page_nodes(parsed)
     edges = page_edges(parsed, nodes)
     status = F.when(F.col("error").isNull(), "ok").otherwise("no_content")
@@ -136,6 +157,8 @@ def crawl_corpus(
     if responses is None:
         texts = texts.withColumn("processed", F.col("content"))
     else:
-        texts = policy.processed_content(texts, "page_id", "content", responses)
+        texts = policy.processed_content(
+            texts, "page_id", "content", responses, first_only=first_only
+        )
     content = sinks.new_content(texts, [F.col("page_id")], "page_id", stored)
     return Crawl(results, content)

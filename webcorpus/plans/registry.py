@@ -113,6 +113,19 @@ def sink_content(spark, sf):
     return saved.select("route", "kind", "url", F.md5("body").alias("body_md5"))
 
 
+@query
+def sink_content_rerun(spark, sf):
+    """Routes and copies in a store that the same run was written to twice."""
+    pages = _urls(spark, sf).join(
+        table(spark, sf, "documents").select("doc_id", F.col("text").alias("content")), "doc_id"
+    ).withColumn("processed", F.lit(""))
+    store = ingest.scratch(spark, "store")
+    for _ in range(2):
+        known = sinks.stored_routes(spark, store)
+        sinks.save_content(sinks.new_content(pages, _by_url(), "doc_id", known), store)
+    return spark.read.parquet(store).groupBy("route", "kind").agg(F.count("*").alias("n"))
+
+
 @query
 def export_json(spark, sf):
     return report.json_lines(_results(spark, sf))
@@ -172,7 +185,7 @@ def restricted_urls(spark, sf):
 def restricted_redirects(spark, sf):
     urls = _urls(spark, sf)
     last = urls.select((F.col("doc_id") + 1).alias("doc_id"), F.col("url").alias("final_url"))
-    visits = urls.select("doc_id", "url").join(last, "doc_id")
+    visits = urls.select("doc_id", "url").join(last, "doc_id", "left")
     return policy.restricted_redirects(visits, _blocklist(spark, sf), "doc_id", "url", "final_url")
 
 
@@ -385,7 +398,9 @@ def page_type_counts(spark, sf):
 
 @query
 def build_prompts(spark, sf):
-    return classify.build_prompts(_typed(spark, sf), "content").select("doc_id", "prompt")
+    templates = derive(spark, sf, derived.TEMPLATES)
+    prompts = classify.build_prompts(_typed(spark, sf), "content", templates, "doc_id")
+    return prompts.select("doc_id", "prompt")
 
 
 # Graph, de-duplication, aggregation
@@ -550,9 +565,10 @@ def page_routes(spark, sf):
 
 @query
 def pretty_sizes(spark, sf):
-    sizes = table(spark, sf, "lineitem").select(
-        (F.col("l_orderkey") * F.col("l_orderkey") * F.col("l_partkey")).alias("n")
-    )
+    # Up to 1e17 at any scale.
+    digits = F.col("l_orderkey") * 7919 % 1_000_003
+    power = F.pow(F.lit(10), F.col("l_orderkey") % 12).cast("bigint")
+    sizes = table(spark, sf, "lineitem").select((digits * power + F.col("l_partkey") % 1000).alias("n"))
     return sizes.groupBy("n").count().select("n", pretty_bytes(F.col("n")).alias("size"))
 
 
@@ -602,36 +618,39 @@ def retry_schedule(spark, sf):
     return rates.retry_schedule(failures, "error", "attempt", "failed_ms")
 
 
-def _event_stream(spark, sf):
+def _replay(spark, sf, name, job):
+    """A streaming job over the whole event log, all windows closed."""
     schema = table(spark, sf, "events").schema
-    stream = ingest.stream_table(spark, sf, schema, "events.parquet")
-    return readers.utc_times(stream, "ts")
+    return ingest.replay(
+        spark, sf, schema, "events.parquet", "ts", lambda s: job(readers.utc_times(s, "ts")), name
+    )
 
 
 @query
 def throttle_stream(spark, sf):
-    counts = live.throttle_stream(
-        _event_stream(spark, sf), "event_type", "ts", capacity=5, rate=1 / 1800
+    return _replay(
+        spark,
+        sf,
+        "throttle",
+        lambda s: live.throttle_stream(s, "event_type", "ts", capacity=5, rate=1 / 1800),
     )
-    return ingest.drain(counts, "throttle")
 
 
 @query
 def rate_audit_stream(spark, sf):
-    audit = live.rate_audit_stream(_event_stream(spark, sf), "event_type", "ts", 3, "1 hour")
-    return ingest.drain(audit, "audit")
+    return _replay(
+        spark, sf, "audit", lambda s: live.rate_audit_stream(s, "event_type", "ts", 3, "1 hour")
+    )
 
 
 @query
 def session_stream(spark, sf):
-    sessions = live.session_stream(_event_stream(spark, sf), "user_id", "ts")
-    return ingest.drain(sessions, "sessions")
+    return _replay(spark, sf, "sessions", lambda s: live.session_stream(s, "user_id", "ts"))
 
 
 @query
 def stream_dedup(spark, sf):
-    first = live.dedup_stream(_event_stream(spark, sf), "user_id", "ts")
-    return ingest.drain(first.select("user_id"), "dedup")
+    return _replay(spark, sf, "dedup", lambda s: live.dedup_stream(s, "user_id", "ts"))
 
 
 @query

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webcorpus.functions.urls import route_of
 from webcorpus.operators.crawl import firsts
 from webcorpus.operators.joins import lookup_join
 from webcorpus.operators.report import csv_lines, header_lines, json_lines, markdown_lines
+from webcorpus.session import cut_lineage, path_exists
 
 EXPORTS = ("json", "csv", "markdown")
 
@@ -38,6 +39,13 @@ def save_content(content: DataFrame, path: str) -> None:
     content.write.mode("append").partitionBy("kind").parquet(path)
 
 
+def stored_routes(spark: SparkSession, path: str) -> DataFrame | None:
+    """(route, kind) of what earlier runs stored, written down; None without a store."""
+    if not path_exists(spark, path):
+        return None
+    return cut_lineage(spark.read.parquet(path).select("route", "kind").distinct())
+
+
 def export_results(results: DataFrame, fmt: str, path: str) -> None:
     """Write results as json, csv or markdown lines; the header stands in its own first file.
 
