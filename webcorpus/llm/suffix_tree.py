@@ -33,7 +33,7 @@ DEPTH = 5
 LEAST = 1e-5  # share of all positions that a candidate context needs
 GAIN = 1.0  # nats of divergence per seen next symbol that retain a context
 BACK_OFF = 10.0  # weight of the parent's distribution, in counts
-HEAD = 200_000  # most frequent words whose counts are broadcast
+HEAD = 100_000  # words whose counts are broadcast at most: the most frequent ones
 HEAD_BYTES = 64  # longer words are never in the head
 FLUSH = 300_000  # distinct words a task holds before it passes them on
 CHUNK = 512  # symbols walked in a row; chunks are walked side by side
@@ -189,7 +189,7 @@ def grow(edges: list[tuple[np.ndarray, ...]], depth: int = DEPTH, gain: float =
     smooth: list[np.ndarray] = []  # per level: distributions over classes
     kept: list[np.ndarray] = []
     for level, (context, symbol, n) in enumerate(edges[: depth + 1]):
-        codes, row = np.unique(context, return_inverse=True) if len(context) else (np.zeros(level == 0, np.int64), np.zeros(0, np.int64))
+        codes, row = np.unique(context, return_inverse=True) if len(context) else (np.zeros(int(level == 0), np.int64), np.zeros(0, np.int64))
         counts = np.zeros((len(codes), width))
         np.add.at(counts, (row, group[symbol]), n)
         total = counts.sum(axis=1, keepdims=True)
@@ -229,7 +229,7 @@ def grow(edges: list[tuple[np.ndarray, ...]], depth: int = DEPTH, gain: float =
             found, where = _find(states[j], after.ravel())
             part = target[:, :-1].ravel()
             part[found] = offsets[j] + where
-            target[:, :-1] = part.reshape(len(codes), -1)
+            target[:, :-1] = part.reshape(len(codes), len(usual))
         step[rows] = target
     start = 0
     for j in range(1, depth + 1):
@@ -255,6 +255,25 @@ def fit(counts: DataFrame, depth: int = DEPTH, least: float = LEAST) -> Tree:
     return grow([tuple(c[level == k] for c in columns) for k in range(depth + 1)], depth)
 
 
+def frequent_words(words: DataFrame) -> dict[bytes, int]:
+    """At most ``HEAD`` of the most frequent words that are not very long, with their counts.
+
+    Eighths of a doubling are counted first, at most 512 of them, so that no more rows are sent to
+    the driver than are kept.
+    """
+    short = words.filter(F.octet_length("word") <= HEAD_BYTES)
+    eighth = F.floor(F.log2("n") * 8)
+    room, least = HEAD, None
+    for r in sorted(short.groupBy(eighth.alias("eighth")).count().collect(), reverse=True):
+        if r["count"] > room:
+            break
+        room, least = room - r["count"], r["eighth"]
+    if least is None:
+        return {}
+    table = short.filter(eighth >= least).toArrow()
+    return dict(zip(table["word"].to_pylist(), table["n"].to_pylist()))
+
+
 def scores(docs: DataFrame, counts: DataFrame, tree: Tree) -> DataFrame:
     """Rows of ``docs`` (doc_id, held_out, text) with n_tokens, n_known, train_tokens and both scores.
 
@@ -264,10 +283,7 @@ def scores(docs: DataFrame, counts: DataFrame, tree: Tree) -> DataFrame:
     spark = docs.sparkSession
     words = counts.filter("word IS NOT NULL").select("word", "n")
     sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    head = dict(
-        words.filter(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("n"), "word").limit(HEAD).toPandas().itertuples(index=False, name=None)
-    )
-    head = {bytes(w): n for w, n in head.items()}
+    head = frequent_words(words)
     parts = (tree.depth, tree.group, tree.step, tree.gain, tree.start)
     model = spark.sparkContext.broadcast((parts, head))
 
