@@ -28,7 +28,7 @@ SHINGLE = 5
 CONTAINED = 0.8
 ROWS = 2  # minima per band
 RECALL = 0.999
-PART = 200_000  # words of a text hashed at once; parts overlap by the longest window
+PART = 60_000  # words hashed at once; parts of one row overlap by the longest window
 
 # Customary wordings of license notices.
 TEMPLATES = (
@@ -158,22 +158,56 @@ class Scanner:
                     for template in templates[place[k]]:
                         yield template, int(starts[k]), int(starts[k]) + size
 
+    def _windows(self, words: list[bytes]) -> Iterator[tuple[int, int, int]]:
+        """(template, first word, last shingle + 1) of all windows retrieved in a row of words."""
+        overlap = 2 * self.longest + SHINGLE
+        with np.errstate(over="ignore"):
+            for at in range(0, max(1, len(words) - SHINGLE + 1), PART):
+                for template, start, end in self._retrieved(shingle_hashes(words[at : at + PART + overlap])):
+                    yield template, at + start, at + end
+
     def find(self, text: str | None) -> list[tuple[str, float, int, int]]:
         """(license, containment, first word, last word) of each notice in a text.
 
         Of notices that overlap only the best contained one stays, ties to the longer.
         """
-        words = plain_words(text)
-        windows: dict[int, set[tuple[int, int]]] = defaultdict(set)
-        overlap = 2 * self.longest + SHINGLE
-        for at in range(0, max(1, len(words) - SHINGLE + 1), PART):
-            for template, start, end in self._retrieved(shingle_hashes(words[at : at + PART + overlap])):
-                windows[template].add((at + start, at + end))
+        return next(self.find_each([text]))
+
+    def find_each(self, texts: list[str | None]) -> Iterator[list[tuple[str, float, int, int]]]:
+        """The notices of each text. Texts are hashed one after the other in rows of many.
+
+        A window may lie over several texts; it proposes its template to each of them, and only
+        a text's own words are compared.
+        """
+        held: list[list[bytes]] = []
+        size = 0
+        for text in texts:
+            held.append(plain_words(text))
+            size += len(held[-1])
+            if size >= PART:
+                yield from self._row(held)
+                held, size = [], 0
+        yield from self._row(held)
+
+    def _row(self, texts: list[list[bytes]]) -> Iterator[list[tuple[str, float, int, int]]]:
+        ends = np.cumsum([len(words) for words in texts])
+        windows: dict[int, dict[int, set[tuple[int, int]]]] = defaultdict(lambda: defaultdict(set))
+        for template, start, end in self._windows([w for words in texts for w in words]):
+            first = int(np.searchsorted(ends, start, side="right"))
+            for own in range(first, len(texts)):
+                begin = int(ends[own]) - len(texts[own])
+                if begin >= end + SHINGLE - 1:
+                    break
+                windows[own][template].add((start - begin, end - begin))
+        for own, words in enumerate(texts):
+            yield self._verified(words, windows[own]) if own in windows else []
+
+    def _verified(self, words: list[bytes], windows: dict[int, set[tuple[int, int]]]) -> list[tuple[str, float, int, int]]:
         found = {}
         for template, own in windows.items():
             wanted = self.shingles[template]
             for first, last in _merged(sorted(own), len(wanted)):
-                region = words[max(0, first) : last + SHINGLE - 1]
+                region = words[max(0, first) : max(0, last + SHINGLE - 1)]
                 places = [k for k, s in enumerate(zip(*(region[j:] for j in range(SHINGLE)))) if s in wanted]
                 held = len({tuple(region[k : k + SHINGLE]) for k in places}) / len(wanted)
                 if held >= CONTAINED:
@@ -226,7 +260,7 @@ def notices(text: Column, templates: tuple[tuple[str, str], ...] = TEMPLATES) ->
         names = ("license", "containment", "first_word", "last_word")
         kind = pa.list_(pa.struct([(names[0], pa.string()), (names[1], pa.float64()), (names[2], pa.int32()), (names[3], pa.int32())]))
         for batch in batches:
-            yield pa.array([[dict(zip(names, hit)) for hit in scanner.find(t.as_py())] for t in batch], kind)
+            yield pa.array([[dict(zip(names, hit)) for hit in found] for found in scanner.find_each(batch.to_pylist())], kind)
 
     return of(text)
 
