@@ -120,3 +120,34 @@ def test_tables_without_training_texts(spark):
     (only,) = suffix_tree.op4(table(spark, [row(held, "ab c")])).collect()
     assert (only.n_tokens, only.n_known, only.train_tokens) == (3, 0, 0)
     assert only.base_score == 0 and abs(only.score - 5 * math.log10(1 / 256)) < 1e-3
+
+
+def test_tables_score_like_the_tree_in_memory(spark, monkeypatch):
+    monkeypatch.setattr(suffix_tree, "HEAD_WINDOWS", 50)
+    rows = corpus(60) + [r for r in ODD if r[1] is None or len(r[1]) < 1000]
+    texts = [b" ".join(words(r[1])[:-1]) for r in rows]
+    edges = edges_of([t for r, t in zip(rows, texts) if remainder(r[0], 10) not in (None, 0)], 5, 0)
+    levels = []
+    for context, symbol, n in edges:
+        totals = Counter()
+        for c, k in zip(context.tolist(), n.tolist()):
+            totals[c] += k
+        often = np.array([totals[c] >= suffix_tree.LEAST for c in context.tolist()], bool)
+        levels.append((context[often], symbol[often], n[often]))
+    expected = suffix_tree.grow(levels, 5).walk(texts)
+    found = suffix_tree.op4(table(spark, rows)).collect()
+    assert len(found) == len(rows)
+    got = sorted((str(r.doc_id), round(r.score, 2)) for r in found)
+    for (a, x), (b, y) in zip(got, sorted((str(r[0]), e) for r, e in zip(rows, expected))):
+        assert a == b and abs(x - y) < 0.02
+
+
+def test_contexts_seen_twice_are_learned_at_any_size(spark):
+    """A rare language's context stays a candidate however many other positions there are."""
+    grams = [(None, int.from_bytes(b"abcdez", "big"), 2), (None, int.from_bytes(b"     q", "big"), 10**9)]
+    counts = spark.createDataFrame(grams, "word binary, gram bigint, n bigint")
+    levels = suffix_tree.learned(counts)
+    rare = int.from_bytes(b"abcde", "big")
+    assert [(r.context, r.symbol, r.n) for r in levels[5].filter(f"context = {rare}").collect()] == [(rare, ord("z"), 2)]
+    (chance,) = suffix_tree.chances(counts.select("gram").filter(f"gram = {grams[0][1]}"), levels).collect()
+    assert chance.log > math.log10(1e-6)
