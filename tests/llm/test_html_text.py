@@ -102,3 +102,32 @@ def test_escaped_text_comes_back(parts):
     html = "<article>" + "".join(f"<p>{escape(p)}</p>" for p in parts) + "</article>"
     plain = [" ".join(unescape(escape(p)).split()) for p in parts]
     assert html_text.main_text(html) == "\n".join(p for p in plain if p)
+
+
+PARAS = [prose(k, 40).capitalize() for k in range(20, 24)]
+BODY = "".join(f"<p>{p}</p>" for p in PARAS)
+REST = '<nav><a href="/">Home</a></nav>{}<div class="sidebar"><p>Popular posts are listed over here, come and see them.</p></div><footer>Site 2024</footer>'
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        *(f'<article class="post {name}">{BODY}</article>' for name in "category-privacy tag-legal category-social comments-open post-search post-login post-share".split()),
+        f'<div class="layout right-sidebar"><article>{BODY}</article></div>',
+        f'<div class="layout right-sidebar"><div>{BODY}</div></div>',
+        f'<form id="aspnetForm"><main>{BODY}</main></form>',
+        f'<form id="aspnetForm"><div>{BODY}</div></form>',
+        f'<div class="sidebar"><div role="main">{BODY}</div></div>',
+        f'<article>{BODY}<div class="related"><article class="card"><p>Another story that one may like to read.</p></article></div></article>',
+        f'<main>{BODY}</main><aside><article><p>Another story that one may like to read.</p></article></aside>',
+        f'<main>{BODY}<div hidden><article><p>A hidden story that nobody is to read.</p></article></div></main>',
+    ],
+)
+def test_names_and_wrappers_do_not_drop_articles(page):
+    assert html_text.main_text(f"<body>{REST.format(page)}</body>") == "\n".join(PARAS)
+
+
+def test_shape_may_outweigh_a_name():
+    first, last = PARAS[0], PARAS[1]
+    page = f'<article><p>{first}</p><p class="teaser">{PARAS[2]}</p><p>{last}</p><p class="share">Share</p></article>'
+    assert html_text.main_text(page) == "\n".join([first, PARAS[2], last])

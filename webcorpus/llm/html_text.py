@@ -14,6 +14,7 @@ import re
 import sys
 from collections import defaultdict, deque
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -29,6 +30,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SAMPLE = 2_000  # pages whose blocks train the shape model, about
 EVIDENCE = 4.0  # log-odds that a telling container gives
+SOFT = 2.0  # log-odds that a class or id costs; shape and edges may outweigh them
+ADVERT = 3.0  # the same for a name that says nothing but advert or consent; shape and neighbours on both sides may
+MOST = 0.6  # share of a page's text from which a form or a named element is a wrapper that tells nothing
 SHAPE = 1.5  # most log-odds that the shape of a block gives
 ADJACENT = 0.7  # smoothness of neighbours with the same parent
 KIN = 0.4  # smoothness of consecutive blocks of one parent
@@ -61,62 +65,111 @@ REST_WORDS = frozenset(
     " sponsor sponsored subscribe subscription teaser toolbar topbar trending widget widgets".split()
 )
 
+ADVERT_WORDS = frozenset("ad ads adsbygoogle advert advertisement advertising adverts consent cookie cookies gdpr".split())
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 STATES = frozenset("has with no without is".split())
+TOPICS = frozenset("category cat tag topic taxonomy type format status".split())
+SETTINGS = frozenset("open closed enabled disabled on off active allowed".split())
 
 
-def _names(value: str) -> set[str]:
-    """Words of class names and ids; names of states such as has-sidebar tell nothing."""
-    words: set[str] = set()
-    for name in value.split():
-        parts = [p.lower() for p in NAME_PART.findall(name)]
-        if parts and parts[0] not in STATES:
-            words.update(parts)
-    return words
-
-
-def evidence_of(tag: str, attributes: str, above: float) -> float:
-    """Log-odds of content for what an element holds; ``above`` is that of its parent.
+def _telling(value: str) -> tuple[float, bool, bool]:
+    """What class names or ids say: the cost of boilerplate words, header words, content words.
 
-    What lies in boilerplate stays boilerplate. A header counts as one outside of content only.
+    Names of states and topics, such as has-sidebar, comments-open and category-privacy, tell nothing.
+    A boilerplate word within another name costs half, and nothing beside a name for content.
     """
-    if above < 0:
-        return above
-    words: set[str] = set()
-    if attributes:
-        for name, *values in ATTRIBUTE.findall(attributes):
-            name, value = name.lower(), unescape(values[0] or values[1] or values[2])
-            if name in ("class", "id"):
-                words |= _names(value)
-            elif name == "role":
-                role = value.strip().lower()
-                if role in REST_ROLES:
-                    return -EVIDENCE
-                if role in CONTENT_ROLES:
-                    return EVIDENCE
-            elif name == "hidden" or (name == "style" and "display:none" in value.replace(" ", "").lower()):
-                return -EVIDENCE
-    if tag in REST_TAGS:
-        return -EVIDENCE
-    if tag not in ("body", "html"):
-        if words & REST_WORDS:
-            return -EVIDENCE
-        if tag == "header" or "header" in words:
-            return EVIDENCE / 4 if above > 0 else -EVIDENCE
+    cost, header, likely = 0.0, False, False
+    for name in value.split():
+        parts = [p.lower() for p in NAME_PART.findall(name)]
+        if not parts or parts[0] in STATES or (len(parts) > 1 and (parts[0] in TOPICS or parts[-1] in SETTINGS)):
+            continue
+        if any(p in REST_WORDS for p in parts):
+            whole = ADVERT if any(p in ADVERT_WORDS for p in parts) else SOFT
+            cost = max(cost, whole if all(p in REST_WORDS for p in parts) else SOFT / 2)
+        elif "header" in parts:
+            header = True
+        elif any(p in CONTENT_WORDS for p in parts):
+            likely = True
+    return (0.0 if likely and cost < SOFT else cost), header, likely
+
+
+@lru_cache(4096)
+def effect_of(tag: str, attributes: str) -> tuple[str, float] | None:
+    """What an element says about the text in it, and the cost of its names."""
+    names, role, hidden = [], "", False
+    for name, *values in ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), unescape(values[0] or values[1] or values[2])
+        if name in ("class", "id"):
+            names.append(value)
+        elif name == "role":
+            role = value.strip().lower()
+        elif name == "hidden" or (name == "style" and "display:none" in value.replace(" ", "").lower()):
+            hidden = True
+    if hidden:
+        return "hidden", 0.0
+    cost, header, likely = _telling(" ".join(names)) if tag not in ("body", "html") else (0.0, False, False)
+    if role in CONTENT_ROLES:
+        return role, cost if cost >= SOFT else 0.0
+    if tag in ("form", "fieldset") or role == "form":
+        return "form", 0.0
+    if role in REST_ROLES or tag in REST_TAGS:
+        return "rest", 0.0
     if tag in CONTENT_TAGS:
-        return EVIDENCE
-    if tag not in ("body", "html") and words & CONTENT_WORDS:
-        return max(above, EVIDENCE / 2)
-    return above
+        return tag, cost if cost >= SOFT else 0.0
+    if cost:
+        return "named", cost
+    if tag == "header" or header:
+        return "header", EVIDENCE if tag == "header" else SOFT
+    return ("likely", 0.0) if likely else None
+
+
+def evidence_of(effects: list[tuple[int, str, float]], texts: list[int]) -> list[float]:
+    """Log-odds of content for what each telling element holds.
+
+    ``effects`` has (the telling element around it, kind, cost) in order, the first stands for the
+    page; ``texts`` has the text directly in each. What lies in boilerplate stays boilerplate, but
+    main, and article where no article or main lies outside of boilerplate, start anew. A form or a
+    named element around most of the text and all articles tells nothing. A header counts as
+    boilerplate outside of content only.
+    """
+    held, articles = list(texts), [int(kind in CONTENT_TAGS) for _, kind, _ in effects]
+    for k in range(len(effects) - 1, 0, -1):
+        held[effects[k][0]] += held[k]
+        articles[effects[k][0]] += articles[k]
+    wraps = [k > 0 and held[k] >= MOST * held[0] and articles[k] == articles[0] for k in range(len(effects))]
+    for anew in (False, True):
+        value, gone, clean = [0.0], [False], False
+        for k, (up, kind, cost) in enumerate(effects[1:], 1):
+            above, lost = value[up], gone[up]
+            if not lost and kind == "hidden":
+                above, lost = -EVIDENCE, True
+            elif lost or (kind in ("form", "named") and wraps[k]):
+                pass
+            elif kind == "main" or (kind == "article" and (anew or above >= 0)):
+                above, clean = EVIDENCE - cost, True
+            elif kind in ("rest", "form"):
+                above = -EVIDENCE
+            elif kind == "named":
+                above = min(-cost, above)
+            elif kind == "header" and above >= 0:
+                above = EVIDENCE / 4 if above > 0 else -cost
+            elif kind == "likely" and above >= 0:
+                above = max(above, EVIDENCE / 2)
+            value.append(above)
+            gone.append(lost)
+        if clean:
+            break
+    return value
 
 
 class Block:
-    __slots__ = ("text", "evidence", "said", "depth", "close", "parent", "tag", "linked")
+    __slots__ = ("text", "within", "evidence", "said", "depth", "close", "parent", "tag", "linked")
 
-    def __init__(self, text: str, evidence: float, said: bool, depth: int, close: float, parent: int, tag: str, linked: int) -> None:
-        self.text, self.evidence, self.said, self.depth = text, evidence, said, depth
+    def __init__(self, text: str, within: int, said: bool, depth: int, close: float, parent: int, tag: str, linked: int) -> None:
+        self.text, self.within, self.evidence, self.said, self.depth = text, within, 0.0, said, depth
         self.close, self.parent, self.tag, self.linked = close, parent, tag, linked
 
     def shape(self) -> list[float]:
@@ -135,8 +188,9 @@ class Block:
 def blocks_of(html: str) -> list[Block]:
     """The blocks of a page in order. Scripts, styles, comments and markup are not text."""
     found: list[Block] = []
-    # (tag, id, evidence, named by a semantic tag)
-    stack: list[tuple[str, int, float, bool]] = [("", 0, 0.0, False)]
+    effects: list[tuple[int, str, float]] = [(0, "", 0.0)]
+    # (tag, id, innermost telling element, named by a semantic tag)
+    stack: list[tuple[str, int, int, bool]] = [("", 0, 0, False)]
     pieces: list[str] = []
     linked, links, low, serial, at = 0, 0, 0, 0, 0
 
@@ -155,14 +209,10 @@ def blocks_of(html: str) -> list[Block]:
             if whole:
                 own = [k for k in range(len(stack) - 1, 0, -1) if stack[k][0] in BLOCKS][:1]
                 tag, parent = (stack[own[0]][0], stack[own[0] - 1][1] if own[0] else 0) if own else ("", 0)
-                _, _, evidence, said = stack[-1]
-                if evidence == EVIDENCE / 4 and tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-                    evidence = EVIDENCE / 2
-                elif evidence == EVIDENCE / 4:
-                    evidence = -EVIDENCE / 4
+                _, _, within, said = stack[-1]
                 depth = len(stack) - 1
                 close = min(low, depth) / max(1, depth, found[-1].depth) if found else 0.0
-                found.append(Block(whole, evidence, said, depth, close, parent, tag, min(linked, len(whole))))
+                found.append(Block(whole, within, said, depth, close, parent, tag, min(linked, len(whole))))
                 low = depth
             pieces.clear()
             linked = 0
@@ -219,13 +269,24 @@ def blocks_of(html: str) -> list[Block]:
                 if stack[k][0] in SCOPES:
                     break
         serial += 1
-        _, _, above, said = stack[-1]
-        evidence = evidence_of(name, token.group(3), above)
+        _, _, within, said = stack[-1]
+        effect = effect_of(name, token.group(3))
+        if effect:
+            effects.append((within, *effect))
+            within = len(effects) - 1
         if name in CONTENT_TAGS or name in REST_TAGS:
             said = True
-        stack.append((name, serial, evidence, said))
+        stack.append((name, serial, within, said))
         links += name == "a"
     end_block()
+    texts = [0] * len(effects)
+    for block in found:
+        texts[block.within] += len(block.text)
+    evidence = evidence_of(effects, texts)
+    for block in found:
+        block.evidence = evidence[block.within]
+        if block.evidence == EVIDENCE / 4:
+            block.evidence = EVIDENCE / 2 if block.tag in ("h1", "h2", "h3", "h4", "h5", "h6") else -EVIDENCE / 4
     return found
 
 
