@@ -142,6 +142,26 @@ def test_edited_notices_are_found_and_reported_exactly():
         assert abs(found[0][1] - len(shingles & own) / len(shingles)) < 1e-9
 
 
+def test_repeated_and_interleaved_notices_are_all_found():
+    scanner = licenses.Scanner()
+    mit = next(t for n, t in licenses.TEMPLATES if n == "MIT" and len(t) > 100)
+    gpl = next(t for n, t in licenses.TEMPLATES if n == "GPL-3.0")
+    cc = next(t for n, t in licenses.TEMPLATES if n == "CC-BY-4.0")
+    edited = mit.split()
+    edited[len(edited) // 2] = "changed"
+    names = {mit: "MIT", " ".join(edited): "MIT", gpl: "GPL-3.0", cc: "CC-BY-4.0"}
+    lists = [[mit, cc, mit], [gpl, cc, gpl], [gpl, gpl, gpl], [mit, mit], [" ".join(edited)] * 3, [cc] * 5, [mit, gpl, cc, gpl, mit]]
+    for texts, between in itertools.product(lists, ["", " and ", " " + prose(3, 12) + " "]):
+        found = sorted(scanner.find(f" {between} ".join([prose(1, 40), *texts, prose(2, 40)])), key=lambda f: f[2])
+        assert [f[0] for f in found] == [names[t] for t in texts]
+        assert [f[3] - f[2] + 1 for f in found] == [len(licenses.plain_words(t)) for t in texts]
+        assert all(f[1] == 1.0 or t == " ".join(edited) for f, t in zip(found, texts))
+    # Half a notice before a whole one does not widen it.
+    half = mit.split()[len(mit.split()) // 2 :]
+    ((_, held, first, last),) = scanner.find(" ".join(half) + " " + mit)
+    assert (held, first, last - first + 1) == (1.0, len(licenses.plain_words(" ".join(half))), len(licenses.plain_words(mit)))
+
+
 def test_half_a_notice_is_none():
     name, text = max(licenses.TEMPLATES, key=lambda t: len(t[1]))
     words = text.split()

@@ -4,7 +4,8 @@ A template is a set of five-word shingles. Windows of about a template's length
 steps of an eighth; a window that shares all minima of a band with a template retrieves it. The
 number of bands is derived from the least similarity that a window over a true notice can have, so
 that it is retrieved with probability ``RECALL``. The region of a retrieved window is then compared
-shingle by shingle: a notice is reported if it holds ``CONTAINED`` of the template's shingles.
+shingle by shingle and split into occurrences: each that holds ``CONTAINED`` of the template's
+shingles is a notice.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 import math
 import sys
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -121,7 +122,7 @@ class Scanner:
 
     def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> None:
         self.names: list[str] = []
-        self.shingles: list[frozenset[tuple[bytes, ...]]] = []
+        self.shingles: list[dict[tuple[bytes, ...], list[int]]] = []  # with their places
         by_size: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
         for name, text in templates:
             words = plain_words(text)
@@ -129,7 +130,10 @@ class Scanner:
             if len(hashes):
                 by_size[len(hashes)].append((len(self.names), hashes))
                 self.names.append(name)
-                self.shingles.append(frozenset(zip(*(words[k:] for k in range(SHINGLE)))))
+                places: dict[tuple[bytes, ...], list[int]] = defaultdict(list)
+                for k, shingle in enumerate(zip(*(words[k:] for k in range(SHINGLE)))):
+                    places[shingle].append(k)
+                self.shingles.append(dict(places))
         self.classes = []
         for size, own in sorted(by_size.items()):
             step = max(1, size // 8)
@@ -208,11 +212,8 @@ class Scanner:
             wanted = self.shingles[template]
             for first, last in _merged(sorted(own), len(wanted)):
                 region = words[max(0, first) : max(0, last + SHINGLE - 1)]
-                places = [k for k, s in enumerate(zip(*(region[j:] for j in range(SHINGLE)))) if s in wanted]
-                held = len({tuple(region[k : k + SHINGLE]) for k in places}) / len(wanted)
-                if held >= CONTAINED:
-                    begin = max(0, first) + places[0]
-                    key = self.names[template], begin, max(0, first) + places[-1] + SHINGLE - 1
+                for held, begin, end in _occurrences(zip(*(region[j:] for j in range(SHINGLE))), wanted):
+                    key = self.names[template], max(0, first) + begin, max(0, first) + end + SHINGLE - 1
                     found[key] = max(held, found.get(key, 0.0))
         best: list[tuple[str, float, int, int]] = []
         for (name, begin, end), held in sorted(found.items(), key=lambda x: (-x[1], x[0][1] - x[0][2], x[0])):
@@ -221,6 +222,34 @@ class Scanner:
         return sorted(best)
 
 
+def _occurrences(shingles: Iterable[tuple[bytes, ...]], wanted: dict[tuple[bytes, ...], list[int]]) -> Iterator[tuple[float, int, int]]:
+    """(containment, first shingle, last shingle) of each notice of a template in a region.
+
+    The template's shingles are cut into runs: where they step back in the template, and at long
+    gaps. As soon as the runs since the last notice hold enough, the fewest last of them are one.
+    """
+    need, gap, at = CONTAINED * len(wanted), len(wanted) // 4 + SHINGLE, -1
+    runs: list[list[tuple[int, tuple[bytes, ...]]]] = []
+    for k, shingle in enumerate(shingles):
+        if shingle in wanted:
+            at = next((i for i in wanted[shingle] if i > at), -1)
+            if not runs or at < 0 or k - runs[-1][-1][0] > gap:
+                runs.append([])
+                at = wanted[shingle][0]
+            runs[-1].append((k, shingle))
+    since: set[tuple[bytes, ...]] = set()
+    for last, run in enumerate(runs):
+        since.update(s for _, s in run)
+        if len(since) >= need:
+            held: set[tuple[bytes, ...]] = set()
+            first = last + 1
+            while len(held) < need:
+                first -= 1
+                held.update(s for _, s in runs[first])
+            yield len(held) / len(wanted), runs[first][0][0], run[-1][0]
+            since = set()
+
+
 def _key(minima: list) -> np.ndarray:
     key = minima[0]
     for more in minima[1:]:
