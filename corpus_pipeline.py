@@ -13,7 +13,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any letter have no language and go."""
+    """Documents without any letter have no language and go; all others stay, also where none is labelled."""
     return language.keep_identified(docs)
 
 

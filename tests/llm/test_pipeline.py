@@ -49,3 +49,14 @@ def test_stages_do_what_they_say(spark, tmp_path):
     assert all(r.text == after[r.doc_id] for r in seen["mix"])
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert Counter((r.doc_id, r.copy, r.shard) for r in whole.collect()) == Counter((r.doc_id, r.copy, r.shard) for r in seen["mix"])
+
+
+def test_unlabelled_corpora_keep_their_texts(spark):
+    rows = [(*r[:2], None, *r[3:]) for r in corpus(20) + ODD]
+    unlabelled = table(spark, rows)
+    letterless = unlabelled.unionAll(table(spark, [row(500, "12345 !!!", "en")]))
+    expected = Counter(r[0] for r in rows if r[1] and language.LETTER.search(r[1]))
+    for docs in (unlabelled, letterless):
+        found = corpus_pipeline.identify_language(spark, docs, "")
+        assert found.columns == docs.columns
+        assert Counter(r.doc_id for r in found.collect()) == expected

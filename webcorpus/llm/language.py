@@ -208,7 +208,23 @@ def op8(docs: DataFrame) -> DataFrame:
     ).select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 
+def has_letter(text: Column) -> Column:
+    """Whether a text has a letter; false for NULL."""
+
+    @F.arrow_udf("boolean")
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array([bool(t.is_valid and LETTER.search(t.as_py())) for t in texts], pa.bool_())
+
+    return of(text)
+
+
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents whose language is known: those without any letter go. Columns are kept."""
+    """The documents that have a language: NULL texts and those without any letter go. Columns are kept.
+
+    Where no language can be learned, because no row with a letter is labelled, every text with a
+    letter is kept.
+    """
     model = fit(docs.select("doc_id", "text", "lang"))
+    if not model.languages:
+        return docs.filter(has_letter(F.col("text")))
     return docs.filter(identify(model, F.col("text"))["lang_pred"] != UNKNOWN)
