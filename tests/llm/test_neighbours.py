@@ -54,6 +54,16 @@ def test_recall_over_several_shards(spark):
         assert near == sorted(near, key=lambda x: (-x[1], x[0]))
 
 
+def test_recall_with_lengths_over_many_powers_of_ten(spark):
+    rows = random_rows(2500, 24, 6)
+    # A few vectors are far longer or shorter than the rest, among them a query of either kind.
+    scaled = {**{7 + 300 * k: 1e5 for k in range(8)}, 20: 1e5, 40: 1e-6, 33: 1e-6, 34: 1e18}
+    rows = [(i, [float(np.float32(x * scaled.get(i, 1.0))) for x in v], *rest) for i, v, *rest in rows]
+    found = got(neighbours.nearest(vectors(spark, rows), "vec_id % 20 = 0", shard_rows=900, block_rows=60).collect())
+    truth = exact(rows)
+    assert set(found) == set(truth) and recall(found, truth) >= 0.95
+
+
 def test_recall_on_the_given_vectors(spark, sf):
     table = spark.read.parquet(f"{sf}/embeddings.parquet")
     rows = [(r.vec_id, r.embedding) for r in table.collect()]

@@ -1,7 +1,9 @@
 """Nearest neighbours by inner product on robust-pruned directed graphs, one per shard.
 
-Vectors are extended by one coordinate that gives all the same length, so the largest inner product
-is the smallest distance. Distinct vectors are dealt into shards by a hash. In a shard, points enter
+Distinct vectors are dealt into bands of lengths within a factor of 16, and these into shards by a
+hash. In a band vectors are scaled to its longest and extended by one coordinate that gives all the
+length 1, so the largest inner product is the smallest distance, and single precision is enough
+whatever lengths other bands have. In a shard, points enter
 the graph in growing batches: a greedy search proposes neighbours, relaxed pruning keeps those that
 are not much closer to a kept one, and edges run back. Every query is searched in every shard by a
 beam; blocks of queries meet whole shards, both of bounded size. Scores are exact.
@@ -24,6 +26,7 @@ from webcorpus.llm.common import stored
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 K = 20
+BAND = 8  # doublings of the squared length in a band
 SHARD = 8192  # distinct vectors per graph, about
 BLOCK = 1024  # queries that meet a shard at once, about
 DEGREE = 24
@@ -34,13 +37,16 @@ WIDTH = 4  # nodes expanded per query and step
 ENTRIES = 8
 
 
-def beam_search(points: np.ndarray, edges: np.ndarray, queries: np.ndarray, known: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, squared distances) of the beam of each query over the first ``known`` points, nearest first."""
+def beam_search(points: np.ndarray, edges: np.ndarray, queries: np.ndarray, known: int, beam: int, products: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, squared distances) of the beam of each query over the first ``known`` points, nearest first.
+
+    With ``products`` the inner product alone ranks, as it does for points of one length.
+    """
     entries = np.unique(np.linspace(0, known - 1, min(ENTRIES, known)).astype(np.int64))
     if known <= beam:
         entries = np.arange(known)
     n, held = len(queries), max(beam, len(entries))
-    norms = np.einsum("ij,ij->i", points[:known], points[:known])
+    norms = np.zeros(known, points.dtype) if products else np.einsum("ij,ij->i", points[:known], points[:known])
     ids = np.full((n, held), -1, np.int64)
     far = np.full((n, held), np.inf, np.float32)
     done = np.ones((n, held), bool)
@@ -146,8 +152,10 @@ def build(points: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, rela
 
 
 def _extended(vectors: np.ndarray, longest: float) -> np.ndarray:
-    rest = np.sqrt(np.maximum(0.0, longest - np.einsum("ij,ij->i", vectors, vectors)))
-    return np.concatenate([vectors, rest[:, None]], axis=1).astype(np.float32)
+    """Vectors scaled to the squared length ``longest``, with a coordinate that makes the length 1."""
+    scaled = vectors / np.sqrt(longest)
+    rest = np.sqrt(np.maximum(0.0, 1 - np.einsum("ij,ij->i", scaled, scaled)))
+    return np.concatenate([scaled, rest[:, None]], axis=1).astype(np.float32)
 
 
 def sound_vectors(vectors: DataFrame) -> DataFrame:
@@ -174,8 +182,11 @@ def nearest(vectors: DataFrame, wanted: str, k: int = K, shard_rows: int = SHARD
         .agg(F.first("dim").alias("dim"), F.min("vec_id").alias("point"), F.array_sort(F.collect_list("vec_id")).alias("members"))
     )
     size = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    stats = points.agg(F.count("*").alias("n"), F.coalesce(F.max(size), F.lit(0.0)).alias("longest")).first()
-    shards, longest = max(1, -(-stats["n"] // shard_rows)), stats["longest"] * (1 + 1e-9)
+    # Length 1 lies in the middle of a band.
+    points = points.withColumn("size", size).withColumn("band", F.floor(F.log2("size") / BAND + 0.5).cast("int"))
+    groups = stored(
+        points.groupBy("dim", "band").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"), (F.max("size") * (1 + 1e-9)).alias("longest"))
+    )
     queries = sound.filter(wanted)
     blocks = max(1, -(-queries.count() // block_rows))
 
@@ -184,25 +195,29 @@ def nearest(vectors: DataFrame, wanted: str, k: int = K, shard_rows: int = SHARD
         group = group.sort_values("point")
         group = group.iloc[np.random.default_rng(3).permutation(len(group))]
         own = np.stack(group["v"].to_numpy())
-        edges = build(_extended(own, longest))
-        return pd.DataFrame(
-            [{"dim": key[0], "shard": key[1], "ids": group["point"].to_numpy().tobytes(), "data": own.tobytes(), "edges": edges.astype(np.int32).tobytes()}]
-        )
+        longest = float(group["longest"].iloc[0])
+        edges = build(_extended(own, longest)).astype(np.int32).tobytes()
+        ids, data = group["point"].to_numpy().tobytes(), own.tobytes()
+        return pd.DataFrame([{"dim": key[0], "band": key[1], "shard": key[2], "longest": longest, "ids": ids, "data": data, "edges": edges}])
 
-    shard = F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int")
+    shard = F.pmod(F.xxhash64("v"), F.col("shards")).cast("int")
     graphs = stored(
-        points.select("dim", shard.alias("shard"), "point", "v")
-        .groupBy("dim", "shard")
-        .applyInPandas(index, "dim int, shard int, ids binary, data binary, edges binary")
+        points.join(groups, ["dim", "band"])
+        .select("dim", "band", shard.alias("shard"), "longest", "point", "v")
+        .groupBy("dim", "band", "shard")
+        .applyInPandas(index, "dim int, band int, shard int, longest double, ids binary, data binary, edges binary")
     )
     block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
     asked = (
         queries.groupBy("dim", block.alias("block"))
         .agg(F.collect_list(F.struct("vec_id", "v")).alias("asked"))
-        .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+        .join(groups.select("dim", "band", "shards"), "dim")
+        .withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+        .drop("shards")
     )
     # Whole shards against blocks of the stated queries, both bounded.
-    meets = graphs.join(asked, ["dim", "shard"]).repartition("dim", "shard", "block").select("ids", "data", "edges", "dim", "asked")
+    meets = graphs.join(asked, ["dim", "band", "shard"]).repartition("dim", "band", "shard", "block")
+    meets = meets.select("ids", "data", "edges", "dim", "asked", "longest")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,8 +228,11 @@ def nearest(vectors: DataFrame, wanted: str, k: int = K, shard_rows: int = SHARD
                 asked = batch.column(4)[r].values
                 names = asked.field(0).to_numpy()
                 ask = asked.field(1).flatten().to_numpy().reshape(-1, dim)
-                flat = np.concatenate([ask, np.zeros((len(ask), 1))], axis=1).astype(np.float32)
-                found, _ = beam_search(_extended(own, longest), graph, flat, len(ids), max(beam, k + 1))
+                # A query's length does not change its order.
+                flat = ask / np.sqrt(np.einsum("ij,ij->i", ask, ask))[:, None]
+                flat = np.concatenate([flat, np.zeros((len(ask), 1))], axis=1).astype(np.float32)
+                longest = batch.column(5)[r].as_py()
+                found, _ = beam_search(_extended(own, longest), graph, flat, len(ids), max(beam, k + 1), products=True)
                 # Exact scores decide; k + 1, as a query's own point is among them.
                 exact = np.matmul(own[np.maximum(found, 0)], ask[:, :, None])[:, :, 0]
                 exact[found < 0] = -np.inf
