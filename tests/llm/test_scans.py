@@ -267,3 +267,10 @@ def test_empty_benchmark_and_documents(spark):
     assert decontaminate.op7(table(spark, ODD), none).collect() == []
     assert decontaminate.drop_contaminated(table(spark, ODD), none).count() == len(ODD)
     assert decontaminate.op7(table(spark, []), spark.createDataFrame([(1, prose(1, 20))], "item_id bigint, text string")).collect() == []
+
+
+def test_items_without_an_id_contaminate_too(spark):
+    items = [(None, prose(900, 30)), (None, None), (1, prose(901, 30))]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    rows = [row(k, f"{prose(k, 40)} {passage} {prose(50 + k, 40)}") for k, passage in enumerate([items[0][1], "", items[2][1], ""])]
+    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(table(spark, rows), benchmark).collect()) == [1, 3]
