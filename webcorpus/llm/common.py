@@ -25,14 +25,15 @@ def plain_words(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "replace").translate(_PLAIN).split()
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, *by: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back; gone when the session ends.
 
-    The files outlive any executor, so later stages never recompute what made them.
+    With columns ``by`` each of their values has a folder of its own, so a filter on them reads only
+    that. The files outlive any executor, so later stages never recompute what made them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
     return spark.read.schema(df.schema).parquet(path)

@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webcorpus.llm import decontaminate, html_text, language, licenses, mixing, neighbours, quality, secrets, simhash, suffix_tree
+from webcorpus.llm import (
+    decontaminate,
+    fill_middle,
+    html_text,
+    language,
+    licenses,
+    mixing,
+    neighbours,
+    quality,
+    secrets,
+    simhash,
+    suffix_tree,
+    token_counts,
+    whitening,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +38,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": lambda s, d: language.op8(_table(s, d, "documents")),
     "op9_simhash": lambda s, d: simhash.op9(_table(s, d, "documents")),
     "op10_html_text": lambda s, d: html_text.op10(_table(s, d, "pages")),
+    "op11_whitening": lambda s, d: whitening.op11(_table(s, d, "embeddings")),
+    "op12_token_counts": lambda s, d: token_counts.op12(_table(s, d, "documents")),
+    "op13_fill_middle": lambda s, d: fill_middle.op13(_table(s, d, "documents")),
 }
 
 
@@ -62,4 +79,5 @@ l AS (
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN l ON d.rid = l.rid""",
+    "op13_fill_middle": fill_middle.SQL,
 }
