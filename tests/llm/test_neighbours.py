@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from webcorpus.llm import neighbours
 
@@ -42,6 +43,44 @@ def random_rows(n, dim, seed, scale=True):
     return [(i, [float(v) for v in row], 0, 1) for i, row in enumerate(x.astype(np.float32))]
 
 
+def shaped(kind, n, dim=64, seed=8):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, dim))
+    if kind == "lengths":
+        x *= rng.uniform(0.2, 3, size=(n, 1))
+    if kind == "clusters":
+        x = rng.normal(size=(40, dim))[rng.integers(0, 40, n)] + 0.3 * x
+    return x.astype(np.float32)
+
+
+@pytest.mark.parametrize("kind, n", [("normal", 8_000), ("lengths", 8_000), ("clusters", 8_000), ("normal", 24_000)])
+def test_recall_in_production(spark, kind, n):
+    """The query itself, at its own shard size and beam, on directions without any structure and with some."""
+    x = shaped(kind, n)
+    table = vectors(spark, [(i, v, 0, 1) for i, v in enumerate(x.tolist())])
+    found = got(neighbours.op3(table).collect())
+    x = x.astype(np.float64)
+    shares = []
+    for q in range(0, n, 20):
+        products = x @ x[q]
+        products[q] = -np.inf
+        near = np.lexsort((np.arange(n), -products))[:20]
+        shares.append(len(set(near.tolist()) & {c for c, _ in found[q]}) / 20)
+    assert np.mean(shares) >= 0.95 and min(shares) >= 0.5
+
+
+def test_beam_widens_until_it_finds_enough():
+    points = neighbours._extended(shaped("normal", 600), 1e9)
+    asks = neighbours._directions(shaped("normal", 30, seed=2).astype(float))
+    graph = neighbours.build(points)
+    width = neighbours.fitting_beam(points, graph, asks, 21, 24)
+    found, _ = neighbours.beam_search(points, graph, asks, 600, width, products=True)
+    best = np.argsort(-(asks @ points.T), axis=1)[:, :21]
+    assert np.mean([len(set(a) & set(b)) / 21 for a, b in zip(best.tolist(), found.tolist())]) >= 0.97
+    # A graph without edges finds nothing, so all points are taken.
+    assert neighbours.fitting_beam(points, np.full_like(graph, -1), asks, 21, 24) == 600
+
+
 def test_recall_over_several_shards(spark):
     rows = random_rows(3000, 24, 1)
     found = got(neighbours.nearest(vectors(spark, rows), "vec_id % 20 = 0", shard_rows=700, block_rows=40).collect())
