@@ -1,8 +1,13 @@
 import itertools
+import os
 import re
+import subprocess
+import sys
+import time
 from html import escape, unescape
 
 import pytest
+from pyspark import cloudpickle
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -131,3 +136,26 @@ def test_shape_may_outweigh_a_name():
     first, last = PARAS[0], PARAS[1]
     page = f'<article><p>{first}</p><p class="teaser">{PARAS[2]}</p><p>{last}</p><p class="share">Share</p></article>'
     assert html_text.main_text(page) == "\n".join([first, PARAS[2], last])
+
+
+def test_malformed_pages_take_linear_time():
+    for bad in ('<b "', "<div>text ", "<a", "<!", "</script ", "<b><b></i>", "<b '\">", "<script></script ", "<div><i><div><b></i>"):
+        for page in (bad * (1_000_000 // len(bad)), "<div><i><p>" + bad * (300_000 // len(bad)) + '"x>'):
+            start = time.process_time()
+            html_text.blocks_of(page)
+            assert time.process_time() - start < 8, bad
+
+
+def test_formulas_and_fallbacks_are_text():
+    page = "<article><p>We see that <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds for all of these cases, always.</p><object><p>An object shows this text where it can not be shown itself.</p></object></article>"
+    assert html_text.main_text(page) == "We see that x=2 holds for all of these cases, always.\nAn object shows this text where it can not be shown itself."
+
+
+def test_workers_need_no_package(tmp_path):
+    """What is sent to a worker works in a folder where the package can not be imported."""
+    sent = tmp_path / "sent"
+    sent.write_bytes(cloudpickle.dumps(html_text.main_text))
+    code = "import pickle, sys; print(pickle.load(open(sys.argv[1], 'rb'))('<article><p class=x>Some text of an article that is long enough.</p></article>')); assert not any(m.startswith('webcorpus') for m in sys.modules)"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code, str(sent)], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert done.stdout.strip() == "Some text of an article that is long enough.", done.stderr

@@ -14,7 +14,6 @@ import re
 import sys
 from collections import defaultdict, deque
 from collections.abc import Iterator
-from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -41,7 +40,7 @@ PRIOR = (-0.6, 0.6, -3.0, 0.8, 0.3, -0.6, 0.0)  # shape weights where no page te
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math object canvas".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg annotation annotation-xml".split())
 BLOCKS = frozenset(
     "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption"
     " figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section"
@@ -67,7 +66,8 @@ REST_WORDS = frozenset(
 
 ADVERT_WORDS = frozenset("ad ads adsbygoogle advert advertisement advertising adverts consent cookie cookies gdpr".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>", re.S)
+HEAD = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/<>]*))")
+TURN = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 STATES = frozenset("has with no without is".split())
@@ -96,9 +96,20 @@ def _telling(value: str) -> tuple[float, bool, bool]:
     return (0.0 if likely and cost < SOFT else cost), header, likely
 
 
-@lru_cache(4096)
+_KNOWN: dict[tuple[str, str], tuple[str, float] | None] = {}
+
+
 def effect_of(tag: str, attributes: str) -> tuple[str, float] | None:
-    """What an element says about the text in it, and the cost of its names."""
+    """What an element says about the text in it, and the cost of its names; remembered in each worker."""
+    key = (tag, attributes)
+    if key not in _KNOWN:
+        if len(_KNOWN) >= 4096:
+            _KNOWN.clear()
+        _KNOWN[key] = _effect_of(tag, attributes)
+    return _KNOWN[key]
+
+
+def _effect_of(tag: str, attributes: str) -> tuple[str, float] | None:
     names, role, hidden = [], "", False
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), unescape(values[0] or values[1] or values[2])
@@ -185,14 +196,62 @@ class Block:
         ]
 
 
+class Tags:
+    """The tags, comments and declarations of a page, in time linear in it, whatever it holds."""
+
+    def __init__(self, html: str):
+        self.html, self.last = html, html.rfind(">")
+        self.dead: set[int] = set()  # opening quotes after which no tag ends
+        self.seen: tuple[int, re.Match | None] = (len(html) + 1, None)  # from where the last turn was sought, and it
+
+    def turn(self, at: int) -> re.Match | None:
+        since, turn = self.seen
+        if at < since or (turn and at > turn.start()):
+            turn = TURN.search(self.html, at)
+            self.seen = at, turn
+        return turn
+
+    def end_of(self, at: int) -> int:
+        """Behind the > that ends a tag whose attributes begin at ``at``; -1 if none does."""
+        path = []
+        while turn := self.turn(at):
+            if turn[0] == ">":
+                return turn.end()
+            if turn.start() in self.dead:
+                break
+            path.append(turn.start())
+            close = self.html.find(turn[0], turn.end())
+            if close < 0:
+                break
+            at = close + 1
+        self.dead.update(path)
+        return -1
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """(begin, end, is it an end tag, name, attributes) of the first from ``at`` on; no name: nothing but markup."""
+        html = self.html
+        while head := HEAD.search(html, at):
+            begin, at = head.span()
+            if head[1]:
+                end = html.find("-->", at)
+                return begin, end + 3 if end >= 0 else len(html), False, "", ""
+            if at <= self.last:
+                end = html.find(">", at) + 1 if head[2] else self.end_of(at)
+                if end > 0:
+                    return begin, end, bool(head[3]), (head[4] or "").lower(), html[at : end - 1]
+        return None
+
+
 def blocks_of(html: str) -> list[Block]:
     """The blocks of a page in order. Scripts, styles, comments and markup are not text."""
     found: list[Block] = []
     effects: list[tuple[int, str, float]] = [(0, "", 0.0)]
-    # (tag, id, innermost telling element, named by a semantic tag)
-    stack: list[tuple[str, int, int, bool]] = [("", 0, 0, False)]
+    # (tag, id, innermost telling element, named by a semantic tag, place of the innermost block)
+    stack: list[tuple[str, int, int, bool, int]] = [("", 0, 0, False, 0)]
+    places: dict[str, list[int]] = defaultdict(lambda: [0])  # of the open elements of each name
     pieces: list[str] = []
     linked, links, low, serial, at = 0, 0, 0, 0, 0
+    tags = Tags(html)
 
     def text(piece: str) -> None:
         nonlocal linked
@@ -207,9 +266,8 @@ def blocks_of(html: str) -> list[Block]:
         if pieces:
             whole = " ".join("".join(pieces).split())
             if whole:
-                own = [k for k in range(len(stack) - 1, 0, -1) if stack[k][0] in BLOCKS][:1]
-                tag, parent = (stack[own[0]][0], stack[own[0] - 1][1] if own[0] else 0) if own else ("", 0)
-                _, _, within, said = stack[-1]
+                _, _, within, said, own = stack[-1]
+                tag, parent = (stack[own][0], stack[own - 1][1]) if own else ("", 0)
                 depth = len(stack) - 1
                 close = min(low, depth) / max(1, depth, found[-1].depth) if found else 0.0
                 found.append(Block(whole, within, said, depth, close, parent, tag, min(linked, len(whole))))
@@ -220,63 +278,55 @@ def blocks_of(html: str) -> list[Block]:
     def pop_to(size: int) -> None:
         nonlocal low, links
         while len(stack) > size:
-            links -= stack.pop()[0] == "a"
+            name = stack.pop()[0]
+            places[name].pop()
+            links -= name == "a"
         low = min(low, len(stack) - 1)
 
     while True:
-        token = TOKEN.search(html, at)
+        token = tags.next(at)
         if token is None:
             text(html[at:])
             break
-        text(html[at : token.start()])
-        at = token.end()
-        name = token.group(2)
-        if name is None:
+        begin, end, closes, name, attributes = token
+        text(html[at:begin])
+        at = end
+        if not name:
             continue
-        name = name.lower()
         if name in BLOCKS:
             end_block()
-        if token.group(1):
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    pop_to(k)
-                    break
-                # An inline end tag does not close blocks around it.
-                if name not in BLOCKS and stack[k][0] in BLOCKS:
-                    break
+        if closes:
+            # An inline end tag does not close blocks around it.
+            place = places[name][-1]
+            if place and (name in BLOCKS or place > stack[-1][4]):
+                pop_to(place)
             continue
         if name in RAW:
-            if not token.group(0).endswith("/>"):
-                close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(html, at)
-                at = close.end() if close else len(html)
+            if html[end - 2] != "/":
+                close = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(html, at)
+                stop = html.find(">", close.end()) if close else -1
+                at = stop + 1 if stop >= 0 else len(html)
             if name != "title":
                 pieces.append(" ")
             continue
         if name in VOID:
             continue
-        if name in ENDS_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
-                    pop_to(k)
-                    break
-                if stack[k][0] in BLOCKS:
-                    break
+        if name in ENDS_P and stack[stack[-1][4]][0] == "p":
+            pop_to(stack[-1][4])
         if name in SIBLINGS:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in SIBLINGS[name]:
-                    pop_to(k)
-                    break
-                if stack[k][0] in SCOPES:
-                    break
+            place = max(places[t][-1] for t in SIBLINGS[name])
+            if place > max(places[t][-1] for t in SCOPES):
+                pop_to(place)
         serial += 1
-        _, _, within, said = stack[-1]
-        effect = effect_of(name, token.group(3))
+        _, _, within, said, own = stack[-1]
+        effect = effect_of(name, attributes)
         if effect:
             effects.append((within, *effect))
             within = len(effects) - 1
         if name in CONTENT_TAGS or name in REST_TAGS:
             said = True
-        stack.append((name, serial, within, said))
+        places[name].append(len(stack))
+        stack.append((name, serial, within, said, len(stack) if name in BLOCKS else own))
         links += name == "a"
     end_block()
     texts = [0] * len(effects)
