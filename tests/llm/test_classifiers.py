@@ -1,5 +1,7 @@
 """Language identification and quality scores: held-out accuracy and the odd cases."""
 
+import unicodedata
+
 import numpy as np
 
 from tests.llm.data import ODD, corpus, prose, remainder, row, table
@@ -44,11 +46,51 @@ def test_few_or_no_languages(spark):
     assert {r.lang_pred for r in unknown} == {"und"}
 
 
+def test_letters_are_category_l():
+    for c in map(chr, [*range(0x3000), 0x1D7D8, 0x1F100, 0x20000, 0x10330]):
+        assert language.lettered(f"1 {c} _") == unicodedata.category(c).startswith("L")
+
+
+def test_query_against_a_plain_vote(spark):
+    """Predictions anew from the machines: every pair of families votes, then every pair of the family's languages."""
+    rows = corpus(160) + ODD + [row(9100, "\u00bd \u00b2"), row(9101, "\u2167 2")]
+    docs = table(spark, rows)
+    found = sorted((str(r.doc_id), r.lang_pred, round(r.score, 9)) for r in language.op8(docs).collect())
+    model = language.fit(docs.filter("pmod(crc32(cast(cast(doc_id as string) as binary)), 4) <> 2").select("doc_id", "text", "lang"))
+    families = {}
+    for name in sorted({r[2] for r in rows if r[2] and r[1] and remainder(r[0], 4) != 2 and any(c.isalpha() for c in r[1])} - {None}):
+        families.setdefault(language.family_of(name), []).append(name)
+
+    def vote(sides, x):
+        means = []
+        for a in sides:
+            chances = []
+            for b in sides:
+                if a != b:
+                    w, bias, slope = model.machines[min(a, b), max(a, b)]
+                    p = 1 / (1 + np.exp(-slope * (np.dot(x, w) + bias)))
+                    chances.append(p if a < b else 1 - p)
+            means.append(np.mean(chances) if chances else 1.0)
+        k = int(np.argmax(means))
+        return sides[k], means[k]
+
+    expected = []
+    for doc_id, text, *_ in rows:
+        if not text or not any(unicodedata.category(c).startswith("L") for c in text):
+            expected.append((str(doc_id), "und", 0.0))
+            continue
+        x = language.features(text)
+        family, first = vote(sorted(families), x)
+        name, second = vote(sorted(families[family]), x)
+        expected.append((str(doc_id), name, round(float(first * second), 9)))
+    assert found == sorted(expected)
+
+
 def test_the_stage_keeps_all_with_a_letter(spark):
     rows = corpus(80) + ODD
     kept = language.keep_identified(table(spark, rows))
     assert kept.columns == table(spark, rows).columns
-    expected = [str(r[0]) for r in rows if r[1] and language.LETTER.search(r[1])]
+    expected = [str(r[0]) for r in rows if r[1] and language.lettered(r[1])]
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(expected)
 
 

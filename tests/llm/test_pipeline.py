@@ -33,7 +33,7 @@ def test_stages_do_what_they_say(spark, tmp_path):
             assert docs.columns == columns
         seen[name] = docs.collect()
 
-    lettered = [r for r in rows if r[1] and language.LETTER.search(r[1])]
+    lettered = [r for r in rows if r[1] and language.lettered(r[1])]
     assert Counter(r.doc_id for r in seen["language_id"]) == Counter(r[0] for r in lettered)
     label = brute_components([brute_fingerprint(r[1]) for r in lettered])
     low = {}
@@ -55,7 +55,7 @@ def test_unlabelled_corpora_keep_their_texts(spark):
     rows = [(*r[:2], None, *r[3:]) for r in corpus(20) + ODD]
     unlabelled = table(spark, rows)
     letterless = unlabelled.unionAll(table(spark, [row(500, "12345 !!!", "en")]))
-    expected = Counter(r[0] for r in rows if r[1] and language.LETTER.search(r[1]))
+    expected = Counter(r[0] for r in rows if r[1] and language.lettered(r[1]))
     for docs in (unlabelled, letterless):
         found = corpus_pipeline.identify_language(spark, docs, "")
         assert found.columns == docs.columns

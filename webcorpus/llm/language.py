@@ -29,7 +29,7 @@ BUCKETS = 4096
 SAMPLE = 500  # texts per language that train the machines, about
 EPOCHS = 30
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+WORD_CHARACTER = re.compile(r"[^\W\d_]+")
 
 # Families of ISO 639-1 codes. Any other code is a family of its own.
 FAMILIES = {
@@ -49,6 +49,11 @@ FAMILIES = {
 }
 
 
+def lettered(text: str) -> bool:
+    """Has the text a letter, of Unicode's category L? Numerals such as a half or a square are none."""
+    return any(c.isalpha() for run in WORD_CHARACTER.finditer(text) for c in run[0])
+
+
 def family_of(code: str) -> str:
     return next((name for name, codes in FAMILIES.items() if code in codes.split()), f"={code}")
 
@@ -58,7 +63,7 @@ _BLANKS = bytes(c if c >= 0x80 or chr(c).isalpha() else 0x20 for c in range(256)
 
 def features(text: str) -> np.ndarray | None:
     """Unit vector of square-rooted n-gram counts (1 to 3 bytes); None without a letter."""
-    if not LETTER.search(text):
+    if not lettered(text):
         return None
     data = b" ".join(text.lower().encode("utf-8", "replace").translate(_BLANKS).split())
     codes = np.frombuffer(b" " + data + b" ", np.uint8).astype(np.uint32)
@@ -213,7 +218,7 @@ def has_letter(text: Column) -> Column:
 
     @F.arrow_udf("boolean")
     def of(texts: pa.Array) -> pa.Array:
-        return pa.array([bool(t.is_valid and LETTER.search(t.as_py())) for t in texts], pa.bool_())
+        return pa.array([bool(t.is_valid and lettered(t.as_py())) for t in texts], pa.bool_())
 
     return of(text)
 
