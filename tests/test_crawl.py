@@ -2,7 +2,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from webcorpus.operators import catalog, crawl, joins, report, similar
+from webcorpus.operators import catalog, crawl, joins, layout, report, similar
+from webcorpus.session import cut_lineage
 from webcorpus.sources import readers, sinks
 
 graphs = st.lists(st.tuples(st.integers(0, 14), st.integers(0, 14)), min_size=1, max_size=40)
@@ -246,6 +247,39 @@ def test_components_match_brute_force(spark, pairs):
     assert {r.node: r.component for r in found} == expected
 
 
+def moved(frame, column):
+    """Exchanges by a column in the plan, and whether a bucketed table is read in it."""
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    return plan.count(f"Exchange hashpartitioning({column}#"), "Bucketed: true" in plan
+
+
+def test_levels_move_neither_links_nor_visited_nodes(spark, monkeypatch):
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
+    pairs = [(i % 50, (i * 7) % 60) for i in range(400)]
+    graph = layout.LinkGraph(edges(spark, pairs, "src bigint, dst bigint"))
+    sources = cut_lineage(spark.createDataFrame([(i,) for i in range(5)], "node bigint"))
+    reached = graph.targets(sources)
+    assert moved(reached, "src") == (1, True)  # the sources
+    seen = layout.Visited(sources)
+    for _ in range(2):
+        fresh = seen.unseen(cut_lineage(reached))
+        assert moved(fresh, "node") == (1, True)  # what was reached
+        fresh = cut_lineage(fresh)
+        seen.add(fresh)
+        found = {r.node for r in fresh.collect()}
+        assert found == {d for s, d in pairs if s < 5} - set(range(5)) or not found
+    assert {r.node for r in seen.whole.collect()} >= set(range(5))
+
+
+def test_a_laid_out_table_grows_by_appends(spark):
+    table = layout.Bucketed(spark, ["k"], 8)
+    table.append(spark.range(100).select((F.col("id") % 10).alias("k"), "id"))
+    whole = table.append(spark.range(100, 150).select((F.col("id") % 10).alias("k"), "id"))
+    assert whole.count() == 150
+    assert moved(whole.groupBy("k").count(), "k") == (0, True)
+    assert {r["count"] for r in whole.groupBy("k").count().collect()} == {15}
+
+
 def test_similar_vectors_match_brute_force(spark, sf):
     import numpy as np
 
@@ -256,7 +290,7 @@ def test_similar_vectors_match_brute_force(spark, sf):
     copies = vectors.filter("vec_id < 20").withColumn("vec_id", F.col("vec_id") + 100_000)
     vectors = vectors.union(zero).union(copies)
     rows = {r.vec_id: np.array(r.embedding) for r in vectors.collect()}
-    found = {r.vec_id: r.cluster for r in similar.cosine_dedup(vectors, "vec_id", "embedding", 64).collect()}
+    found = {r.vec_id: r.cluster for r in similar.cosine_dedup(vectors, "vec_id", "embedding").collect()}
     ids = sorted(i for i in rows if i >= 0)
     units = np.array([rows[i] / np.linalg.norm(rows[i]) for i in ids])
     close = np.argwhere(units @ units.T >= 0.9)

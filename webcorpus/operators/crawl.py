@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import cache
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webcorpus.functions.urls import route_of
-from webcorpus.operators import joins
-from webcorpus.operators.joins import hot_keys, lookup_join
+from webcorpus.operators.joins import lookup_join
+from webcorpus.operators.layout import LinkGraph, Visited
 from webcorpus.session import cut_lineage
 
 MAX_DEPTH = 3
@@ -26,41 +24,29 @@ def firsts(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
 
 
-def hub_pages(edges: DataFrame):
-    """The hub pages of a link graph, looked for at most once and only when they are needed."""
-    return cache(lambda: hot_keys(edges, ["src"], joins.HOT_ROWS))
-
-
 def crawl_bfs(
     edges: DataFrame, seeds: DataFrame, max_depth: int = MAX_DEPTH, expand: DataFrame | None = None
 ) -> DataFrame:
     """(node, depth): nodes within ``max_depth`` links of the seeds, at their smallest depth.
 
     ``edges`` is (src, dst), ``seeds`` (node). ``expand``, when given, lists the only nodes whose
-    links are followed. Each level is written to the shared checkpoint folder, which bounds the
-    plan and survives lost executors.
+    links are followed. Links are not moved from level to level (see ``LinkGraph``). Each level is
+    written to the shared checkpoint folder, which bounds the plan and survives lost executors.
     """
-    hubs = hub_pages(edges)
+    graph = LinkGraph(edges)
     frontier = cut_lineage(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
-    visited = frontier
+    visited, seen = frontier, Visited(frontier)
     for depth in range(1, max_depth + 1):
         sources = frontier if expand is None else frontier.join(expand, "node", "left_semi")
-        reached = _targets(edges, sources, hubs)
-        fresh = reached.join(visited, "node", "left_anti")
+        fresh = seen.unseen(graph.targets(sources))
         frontier = cut_lineage(fresh.withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
+        seen.add(frontier)
         visited = visited.unionByName(frontier)
     return visited
 
 
-def _targets(edges: DataFrame, sources: DataFrame, hubs) -> DataFrame:
-    """Distinct nodes one link away; hub pages are spread by their targets."""
-    lookup = sources.select(F.col("node").alias("src"))
-    found = lookup_join(edges, lookup, "src", "inner", spread_by="dst", hot=hubs)
-    return found.select(F.col("dst").alias("node")).distinct()
-
-
 def crawl_routes(
     edges: DataFrame,
     seeds: DataFrame,
@@ -77,11 +63,11 @@ def crawl_routes(
     ``expand_reused``, their links are not followed. A page without content is still expanded,
     a page that could not be opened is not. Links to nodes that are not listed are ``missing``.
     """
-    hubs = hub_pages(edges)
+    graph = LinkGraph(edges)
     schema = nodes.select("route")
     taken = schema.limit(0) if stored is None else stored.select("route").distinct()
     level = cut_lineage(seeds.select("node").distinct())
-    seen, results = level, None
+    seen, results = Visited(level), None
     for depth in range(max_depth + 1):
         pages = level.join(nodes, "node", "left").withColumn(
             "status", F.coalesce("status", F.lit("missing"))
@@ -112,10 +98,10 @@ def crawl_routes(
         taken = taken.unionByName(done.filter("outcome = 'stored'").select("route"))
         followed = ["stored", "no_content"] + (["reused"] if expand_reused else [])
         sources = done.filter(F.col("outcome").isin(followed))
-        level = cut_lineage(_targets(edges, sources, hubs).join(seen, "node", "left_anti"))
+        level = cut_lineage(seen.unseen(graph.targets(sources)))
         if level.isEmpty():
             break
-        seen = seen.unionByName(level)
+        seen.add(level)
     return results.select("node", "depth", "outcome")
 
 

@@ -1,22 +1,24 @@
-"""Near-duplicate vectors by cosine similarity.
-
-Signatures are signs of random projections, cut into tables of a fixed number of bits. Vectors that
-share a bucket of any table are compared exactly, all members with all; full buckets are split over
-a grid of blocks. The number of tables follows from the threshold and the wanted recall, so the
-share of similar pairs that is found depends on neither the collection nor the buckets' sizes.
+"""Near-duplicate vectors by cosine similarity, exactly.
+
+Unit vectors are dealt into cells around pivots, each to its most similar one. Another vector within
+the threshold may have another pivot; by the triangle inequality it then lies no farther than the
+threshold's distance from the plane between the two cells. Whoever lies that close to a plane is
+also put into the cell behind it, so every similar pair meets in the cell of each of the two. Large
+cells are dealt again around pivots of their own. Where no pivots part the vectors, as where all lie
+far apart in all directions, a cell is left whole and compared in tiles. Nothing depends on chance
+but the time it takes.
 """
 
 from __future__ import annotations
 
-import hashlib
-import math
 import sys
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from webcorpus.operators.joins import lookup_join
@@ -24,43 +26,17 @@ from webcorpus.session import cut_lineage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-BITS = 16
-RECALL = 0.999  # chance that a pair at the threshold shares a bucket
-BLOCK = 2048  # vectors of a bucket that are compared in one task, on either side
-
-
-def hyperplanes(dim: int, count: int) -> np.ndarray:
-    """(dim, count) matrix of signs: + where md5("plane:dim") starts below 8 in hex."""
-    signs = [
-        [1.0 if hashlib.md5(f"{p}:{d}".encode()).hexdigest()[0] < "8" else -1.0 for p in range(count)]
-        for d in range(dim)
-    ]
-    return np.array(signs)
-
-
-def table_count(threshold: float, recall: float = RECALL, bits: int = BITS) -> int:
-    """Tables for which a pair at the threshold shares a bucket with probability ``recall``."""
-    same = (1 - math.acos(min(1.0, threshold)) / math.pi) ** bits
-    return 1 if same >= 1 else max(1, math.ceil(math.log(1 - recall) / math.log(1 - same)))
-
-
-def _matrix(vectors: pa.Array, dim: int) -> np.ndarray:
-    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-
+PIVOTS = 128
+LEAF = 8192  # a cell is dealt on if it has more pairs than this squared
+GAIN = 2.0  # times by which dealing must lessen the pairs
+PACK = 1024  # vectors that meet their cell's pivots at once, about
+BLOCK = 8192  # vectors of a cell that are compared in one task, on either side
 
-def buckets(vector: Column, dim: int, tables: int, bits: int = BITS) -> Column:
-    """Array of one bucket number per table: the sides of the table's hyperplanes."""
-    weights = (2 ** np.arange(bits)).astype("int64")
-    planes = hyperplanes(dim, tables * bits)
 
-    @F.arrow_udf("array<bigint>")
-    def sign(vectors: pa.Array) -> pa.Array:
-        sides = (_matrix(vectors, dim) @ planes > 0).reshape(-1, tables, bits)
-        return pa.FixedSizeListArray.from_arrays(
-            pa.array((sides @ weights).ravel()), tables
-        ).cast(pa.list_(pa.int64()))
-
-    return sign(vector)
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    """Rows of one length from a list array."""
+    flat = vectors.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(vectors), -1)
 
 
 def unit_vectors(vectors: DataFrame, row_id: str, embedding: str) -> DataFrame:
@@ -73,59 +49,170 @@ def unit_vectors(vectors: DataFrame, row_id: str, embedding: str) -> DataFrame:
     return normed.select("id", F.transform("v", lambda x: x / F.col("norm")).alias("v"))
 
 
-def bucket_blocks(units: DataFrame, dim: int, tables: int, bits: int, block: int) -> DataFrame:
-    """(members): what one task compares, an array of (part, id, v) of one or two parts of a bucket.
+def cells_of(own: np.ndarray, pivots: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """(the home cell of each vector, which cells it must be in) for links no longer than ``reach``."""
+    near = own @ pivots.T
+    home = near.argmax(axis=1)
+    apart = np.sqrt(np.maximum(0.0, 2 - 2 * pivots @ pivots.T))
+    # (p - q) . x is the distance of x from the plane between p and q, times |p - q|.
+    ahead = near[np.arange(len(own)), home][:, None] - near
+    return home, ahead <= reach * apart[home] + 1e-9
+
+
+def metric_cells(
+    units: DataFrame, threshold: float, pivots: int = PIVOTS, leaf: int = LEAF, pack: int = PACK
+) -> DataFrame:
+    """(cell, id, v, home): vectors by cell; each pair at the threshold meets in both home cells.
 
-    Buckets of one vector go before any vector moves. A bucket of n vectors is dealt into about
-    n / ``block`` parts, and each pair of parts is a row, so no task holds more than two parts.
+    Only members that are at home in a cell need to be compared with all of its members. Pivots
+    are the members at home with the smallest hashes; packs of vectors meet the pivots of their
+    cell, so a cell of any size is dealt by many tasks. Vectors of one length make up the first cells.
     """
-    signed = units.select("id", F.posexplode(buckets(F.col("v"), dim, tables, bits)).alias("band", "bucket"))
-    placed = cut_lineage(signed)
-    counts = placed.groupBy("band", "bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    parts = counts.select("band", "bucket", F.ceil(F.col("n") / block).alias("parts"))
-    dealt = placed.join(parts, ["band", "bucket"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
+    rows = cut_lineage(units.select(F.size("v").cast("string").alias("cell"), "id", "v", F.lit(True).alias("home")))
+    done = []
+
+    def dealt(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for cell, members, chosen in zip(*(batch.column(c) for c in ("cell", "members", "pivots"))):
+            own = members.values
+            home, inside = cells_of(_matrix(own.field("v")), _matrix(chosen.values), reach)
+            at_home = own.field("home").to_numpy(zero_copy_only=False)
+            yield cell.as_py(), own, home, inside, at_home
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cell, _, home, inside, at_home in dealt(batch):
+                n = inside.shape[1]
+                homes = np.bincount(home[at_home], minlength=n)
+                columns = [pa.array([cell] * n), pa.array(range(n), pa.int32()), pa.array(homes), pa.array(inside.sum(axis=0))]
+                yield pa.RecordBatch.from_arrays(columns, ["cell", "sub", "homes", "n"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            live = batch.column("live")
+            for k, (cell, own, home, inside, at_home) in enumerate(dealt(batch)):
+                for sub in live[k].as_py():
+                    rows = np.flatnonzero(inside[:, sub])
+                    if len(rows):
+                        taken = own.take(pa.array(rows))
+                        stays = at_home[rows] & (home[rows] == sub)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([f"{cell}.{sub}"] * len(rows)), taken.field("id"), taken.field("v"), pa.array(stays)],
+                            ["cell", "id", "v", "home"],
+                        )
+
+    while True:
+        sizes = rows.groupBy("cell").agg(F.count("*").alias("n"), F.count_if("home").alias("homes"))
+        large = cut_lineage(sizes.filter(F.col("n") * F.col("homes") > leaf * leaf))
+        if large.isEmpty():
+            return reduce(DataFrame.unionByName, [*done, rows])
+        marked = lookup_join(rows, large, "cell", spread_by="id")
+        done.append(marked.filter("n IS NULL").select("cell", "id", "v", "home"))
+        opened = marked.filter("n IS NOT NULL").withColumn("draw", F.xxhash64("id"))
+        # A few times as many as are wanted, by their hash, so that no task ranks a whole cell.
+        thin = F.pmod(F.col("draw"), F.lit(1 << 30)) < F.lit(4.0 * pivots * (1 << 30)) / F.col("homes")
+        ranked = opened.filter("home").filter(thin).withColumn("k", F.row_number().over(Window.partitionBy("cell").orderBy("draw", "id")))
+        chosen = ranked.filter(F.col("k") <= pivots).groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("k", "v")))["v"].alias("pivots"))
+        salt = F.pmod(F.col("draw"), F.ceil(F.col("n") / pack)).alias("salt")
+        packs = opened.groupBy("cell", salt).agg(F.collect_list(F.struct("id", "v", "home")).alias("members"))
+        packs = cut_lineage(lookup_join(packs, chosen, "cell", spread_by="salt", settle=True))
+        counted = packs.filter("pivots IS NOT NULL").mapInArrow(count, "cell string, sub int, homes bigint, n bigint")
+        subs = cut_lineage(counted.groupBy("cell", "sub").agg(F.sum("homes").alias("homes"), F.sum("n").alias("n")))
+        worth = subs.groupBy("cell").agg(
+            F.sum(F.col("homes") * F.col("n")).alias("left"),
+            F.collect_list(F.when((F.col("homes") > 0) & (F.col("n") > 1), F.col("sub"))).alias("live"),
+        )
+        parted = worth.join(large, "cell").filter(F.col("left") * GAIN <= F.col("n") * F.col("homes")).select("cell", "live")
+        judged = lookup_join(packs, parted, "cell", spread_by="salt", settle=True)
+        whole = judged.filter("live IS NULL").select("cell", F.inline("members"))
+        done.append(whole.select("cell", "id", "v", "home"))
+        rows = cut_lineage(judged.filter("live IS NOT NULL").mapInArrow(deal, "cell string, id bigint, v array<double>, home boolean"))
+
+
+def tiles(cells: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(members): what one task compares, an array of (part, id, v, home) of one or two parts of a cell.
+
+    A cell of n vectors is dealt into about n / ``block`` parts, and each pair of parts is a row, so
+    no task holds more than two parts. Cells of one vector go.
+    """
+    sizes = cells.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
+    parts = sizes.select("cell", F.ceil(F.col("n") / block).alias("parts"))
+    placed = lookup_join(cells, parts, "cell", "inner", spread_by="id", settle=True)
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
     others = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("other")
-    cells = dealt.select("id", "band", "bucket", "part", others).select(
-        "id", "band", "bucket", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high")
-    )
-    return (
-        cells.join(units, "id")
-        .groupBy("band", "bucket", "low", "high")
-        .agg(F.collect_list(F.struct("part", "id", "v")).alias("members"))
-    )
+    low, high = F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high")
+    met = placed.select("cell", "id", "v", "home", "part", others).groupBy("cell", low, high)
+    return met.agg(F.collect_list(F.struct("part", "id", "v", "home")).alias("members"))
+
+
+def merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels after the links (a, b): all that hang together have the smallest label among them."""
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return label
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            jumped = label[label]
+            if (jumped == label).all():
+                break
+            label = jumped
+
+
+def _linked(own: np.ndarray, label: np.ndarray, rows: np.ndarray, columns: np.ndarray, threshold: float) -> np.ndarray:
+    """Labels after comparing all ``rows`` with all ``columns``.
+
+    Single precision settles all pairs but those nearer to the threshold than its error.
+    """
+    slack = 1.2e-7 * (own.shape[1] + 8)
+    single = own.astype(np.float32)
+    right = single[columns].T
+    for at in range(0, len(rows), 256):
+        some = rows[at : at + 256]
+        near = single[some] @ right
+        i, j = np.nonzero(near >= threshold - slack)
+        sure = near[i, j] >= threshold + slack
+        a, b = some[i], columns[j]
+        unsure = np.flatnonzero(~sure)
+        sure[unsure] = np.einsum("ij,ij->i", own[a[unsure]], own[b[unsure]]) >= threshold
+        label = merged(label, a[sure], b[sure])
+    return label
 
 
 def similar_links(
-    units: DataFrame, dim: int, threshold: float, recall: float = RECALL, bits: int = BITS, block: int = BLOCK
+    units: DataFrame,
+    threshold: float,
+    pivots: int = PIVOTS,
+    leaf: int = LEAF,
+    block: int = BLOCK,
 ) -> DataFrame:
     """(a, b): links that connect the vectors as all pairs of at least ``threshold`` do.
 
-    Within a block a chain through each class replaces its pairs: a group of n copies yields n
-    rows, not n squared.
+    Within a tile a link to the first of its class replaces a vector's pairs: a group of n copies
+    yields n rows, not n squared.
     """
-    blocks = bucket_blocks(units, dim, table_count(threshold, recall, bits), bits, block)
+    cells = cut_lineage(metric_cells(units, threshold, pivots, leaf))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for members in batch.column(0):
                 rows = members.values
-                ids = rows.field("id").to_numpy()
-                own = _matrix(rows.field("v"), dim)
+                ids, own = rows.field("id").to_numpy(), _matrix(rows.field("v"))
+                part = rows.field("part").to_numpy()
+                home = rows.field("home").to_numpy(zero_copy_only=False)
+                first = part == part.min()
+                second = ~first if not first.all() else first
                 label = np.arange(len(ids))
-                for at in range(0, len(ids), 256):
-                    near = own[at : at + 256] @ own.T >= threshold
-                    for row, k in zip(near, range(at, at + 256)):
-                        classes = np.unique(label[row])
-                        if len(classes) > 1 or (len(classes) and classes[0] != label[k]):
-                            low = min(int(classes[0]), int(label[k]))
-                            label[np.isin(label, np.append(classes, label[k]))] = low
+                label = _linked(own, label, np.flatnonzero(first & home), np.flatnonzero(second), threshold)
+                if second is not first:
+                    label = _linked(own, label, np.flatnonzero(second & home), np.flatnonzero(first & ~home), threshold)
                 moved = label != np.arange(len(ids))
                 if moved.any():
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[moved]), pa.array(ids[label[moved]])], ["a", "b"]
-                    )
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]])], ["a", "b"])
 
-    spread = blocks.select("members").repartition(F.xxhash64("members.id"))
+    spread = tiles(cells, block).select("members").repartition(F.xxhash64("members.id"))
     return spread.mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
@@ -164,18 +251,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def cosine_dedup(
-    vectors: DataFrame,
-    row_id: str,
-    embedding: str,
-    dim: int,
-    threshold: float = 0.9,
-    recall: float = RECALL,
-    bits: int = BITS,
-) -> DataFrame:
+def cosine_dedup(vectors: DataFrame, row_id: str, embedding: str, threshold: float = 0.9) -> DataFrame:
     """(row_id, cluster, is_duplicate): clusters of similar vectors, named by their smallest id.
 
-    Exact copies are merged before anything is compared; they meet on a 128-bit hash.
+    Every pair of at least ``threshold`` is found. Exact copies are merged before anything is
+    compared; they meet on a 128-bit hash. Vectors of different lengths are never similar.
     """
     units = unit_vectors(vectors, row_id, embedding)
     hashes = F.struct(F.xxhash64("v", F.lit(1)).alias("h"), F.xxhash64("v", F.lit(2)).alias("g"))
@@ -184,7 +264,7 @@ def cosine_dedup(
     members = keyed.select(F.col("id").alias("member"), "key")
     heads = copies.select("key", F.col("one.id").alias("head"))
     copy_links = members.join(heads, "key").filter("member <> head")
-    links = similar_links(copies.select("one.*"), dim, threshold, recall, bits)
+    links = similar_links(copies.select("one.*"), threshold)
     edges = links.union(copy_links.select("member", "head"))
     components = connected_components(edges)
     ids = vectors.select(F.col(row_id).alias("node"))

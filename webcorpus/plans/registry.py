@@ -24,6 +24,7 @@ from webcorpus.operators import (
     rates,
     report,
     similar,
+    topics,
 )
 from webcorpus.plans import derived, pipeline
 from webcorpus.plans.derived import derive, requests, table
@@ -694,9 +695,15 @@ def semantic_chunks(spark, sf):
     return _long(rows, "chunk", "n_sentences")
 
 
+@query
+def topic_segments(spark, sf):
+    rows = topics.topic_segments(table(spark, sf, "documents"), "doc_id", "text")
+    return _long(rows, "segment", "n_sentences")
+
+
 @query
 def cosine_dedup(spark, sf):
-    return similar.cosine_dedup(derived.vectors(spark, sf), "vec_id", "embedding", dim=64)
+    return similar.cosine_dedup(derived.vectors(spark, sf), "vec_id", "embedding")
 
 
 # Flagship: what kinds of pages does the corpus hold, and how many are restricted
