@@ -82,6 +82,17 @@ def test_memory_starts_anew(library, monkeypatch, counter):
     assert len(counter.tables) <= 3 and len(counter.fits) <= 3
 
 
+def test_neighbours_suit_as_plain_merging_says(counter):
+    rng = random.Random(3)
+    tokens = sorted(counter.parts)
+    pairs = [(rng.choice(tokens), rng.choice(tokens)) for _ in range(20_000)]
+    pairs += [(t[:k], t[k:]) for t in rng.sample(tokens, 3000) for k in range(1, len(t)) if t[:k] in counter.parts and t[k:] in counter.parts]
+    pairs += [("a" * i, "a" * j) for i in (1, 2, 4, 8) for j in (1, 2, 4, 8)] + [(" " * i, " " * j) for i in range(1, 9) for j in range(1, 9)]
+    for a, b in pairs:
+        if counter.merged(a) == [a] and counter.merged(b) == [b]:
+            assert counter.suits(a, b) == (counter.merged(a + b) == [a, b]), (a, b)
+
+
 def test_other_vocabularies_are_refused():
     with pytest.raises(ValueError):
         PrefixCounter('{"model": {"type": "WordPiece"}}')

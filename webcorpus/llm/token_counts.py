@@ -16,6 +16,8 @@ import json
 import re
 import sys
 import unicodedata
+from array import array
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -33,6 +35,7 @@ LIMIT = 1024
 PIECES = 400_000  # distinct pieces a worker remembers; beyond that it starts anew
 SHORT = 64  # code points of the longest piece it remembers
 PAIRS = 400_000  # the same for pairs of tokens
+NEVER = 1 << 30  # the rank of no merge
 
 # Fixed values of the byte-level splitting rule.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -61,6 +64,21 @@ def settled_characters() -> str:
     return "\x00-\x7f" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans)
 
 
+class Tables(dict):
+    """Tables of pieces, worked out when first asked for; those of short pieces are kept."""
+
+    def __init__(self, counter: PrefixCounter):
+        self.counter = counter
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.counter.table(piece)
+        if len(piece) <= SHORT:
+            if len(self) >= PIECES:
+                self.clear()
+            self[piece] = found
+        return found
+
+
 class PrefixCounter:
     """Counts of one vocabulary, which is the content of a byte-level BPE file of ``tokenizers``."""
 
@@ -81,6 +99,9 @@ class PrefixCounter:
 
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         self.rank = {(plain(a), plain(b)): k for k, (a, b) in enumerate(pairs)}
+        self.parts = {a + b: (a, b, k) for (a, b), k in self.rank.items()}
+        if len(self.parts) < len(self.rank):
+            raise ValueError("two merges make the same token")
         self.automaton = ahocorasick.Automaton()
         for token in model["vocab"]:
             if token not in own:
@@ -90,59 +111,87 @@ class PrefixCounter:
         self.split = regex.compile(SPLIT)
         self.unsettled = re.compile(f"[^{settled_characters()}]")
         self.library = content
-        self.tables: dict[str, bytes] = {}
+        self.tables = Tables(self)
         self.fits: dict[tuple[str, str], bool] = {}
+        self.edges: dict[tuple[str, bool], list[tuple[str, int]]] = {}
 
     def merged(self, text: str) -> list[str]:
         """Plain BPE: the pair of the lowest rank is merged, the leftmost first."""
         parts = list(text)
         while len(parts) > 1:
-            ranks = [self.rank.get(p, 1 << 30) for p in zip(parts, parts[1:])]
+            ranks = [self.rank.get(p, NEVER) for p in zip(parts, parts[1:])]
             k = min(range(len(ranks)), key=ranks.__getitem__)
-            if ranks[k] == 1 << 30:
+            if ranks[k] == NEVER:
                 break
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
         return parts
 
+    def edge(self, token: str, right: bool) -> list[tuple[str, int]]:
+        """What stands at an end of a token while it is merged, and the rank of the merge that takes it in."""
+        found = self.edges.get((token, right))
+        if found is None:
+            found, part, rank = [], token, NEVER
+            while True:
+                found.append((part, rank))
+                if part not in self.parts:
+                    break
+                a, b, rank = self.parts[part]
+                part = b if right else a
+            found.reverse()
+            self.edges[token, right] = found
+        return found
+
     def suits(self, before: str, token: str) -> bool:
-        """Are the two the encoding of their text? With nothing before: is the token that of its own?"""
-        key = (before, token)
-        known = self.fits.get(key)
-        if known is None:
-            if len(self.fits) >= PAIRS:
-                self.fits.clear()
-            known = self.fits[key] = self.merged(before + token) == [t for t in key if t]
-        return known
+        """Are the two the encoding of their text? With nothing before: is the token that of its own?
+
+        A pair that holds a token ranks after the merge that made it, so merges happen by rising rank,
+        in both tokens as if each were alone, until one of what meets at the border comes first.
+        """
+        if not before:
+            return self.merged(token) == [token]
+        left, right = self.edge(before, True), self.edge(token, False)
+        i = j = 0
+        while True:
+            (x, x_goes), (y, y_goes) = left[i], right[j]
+            rank = self.rank.get((x, y), NEVER)
+            # Of equal ranks the leftmost goes first.
+            if rank < x_goes and rank <= y_goes and rank < NEVER:
+                return False
+            if x_goes == y_goes == NEVER:
+                return True
+            if x_goes <= y_goes:
+                i += 1
+            else:
+                j += 1
 
     def unit_counts(self, data: str) -> list[int]:
         """Tokens of each prefix of a text that is one piece, given as Latin-1 of its bytes."""
-        last, count = [""] + [None] * len(data), [0] * (len(data) + 1)
+        last, count, fits = [""] + [None] * len(data), [0] * (len(data) + 1), self.fits
         for end, token in self.automaton.iter(data):
-            start = end + 1 - len(token)
-            if last[end + 1] is None and self.suits(last[start], token):
-                last[end + 1], count[end + 1] = token, count[start] + 1
+            end += 1
+            if last[end] is None:
+                start = end - len(token)
+                pair = last[start], token
+                known = fits.get(pair)
+                if known is None:
+                    if len(fits) >= PAIRS:
+                        fits.clear()
+                    known = fits[pair] = self.suits(*pair)
+                if known:
+                    last[end], count[end] = token, count[start] + 1
         return count
 
     def table(self, piece: str) -> bytes:
         """Tokens of each prefix of a piece, a 32-bit number per code point."""
         if piece in CONTRACTIONS:  # its prefixes are split otherwise
             counts = [sum(self.unit_counts(q)[-1] for q in self.split.findall(piece[:k])) for k in range(1, len(piece) + 1)]
-            return np.array(counts, "<i4").tobytes()
+            return array("i", counts).tobytes()
+        if piece.isascii():
+            return array("i", self.unit_counts(piece)[1:]).tobytes()
         data = piece.encode("utf-8", "replace")
-        counts = np.array(self.unit_counts(data.decode("latin-1")), "<i4")
-        if len(data) == len(piece):
-            return counts[1:].tobytes()
-        raw = np.frombuffer(data, np.uint8)
-        return counts[np.append(np.flatnonzero((raw & 0xC0) != 0x80)[1:], len(raw))].tobytes()
-
-    def learned(self, piece: str) -> bytes:
-        """The table of a piece, kept for its next occurrence if it is short."""
-        found = self.table(piece)
-        if len(piece) <= SHORT:
-            if len(self.tables) >= PIECES:
-                self.tables.clear()
-            self.tables[piece] = found
-        return found
+        counts = self.unit_counts(data.decode("latin-1"))
+        ends = accumulate(len(c.encode("utf-8", "replace")) for c in piece)
+        return array("i", [counts[e] for e in ends]).tobytes()
 
     def pieces(self, text: str) -> list[str]:
         """The text split by the vocabulary's pattern, as the library splits it."""
@@ -156,9 +205,8 @@ class PrefixCounter:
 
     def plain_counts(self, text: str) -> np.ndarray:
         """Tokens of each prefix of a text without special strings."""
-        known = self.tables
-        tables = [known.get(piece) or self.learned(piece) for piece in self.pieces(text)]
-        counts = np.frombuffer(b"".join(tables), "<i4")
+        tables = list(map(self.tables.__getitem__, self.pieces(text)))
+        counts = np.frombuffer(b"".join(tables), np.int32)
         if not len(counts):
             return counts
         ends = np.cumsum(np.fromiter(map(len, tables), np.int64, len(tables))) // 4
@@ -168,8 +216,7 @@ class PrefixCounter:
         # White space before a word is split, but is one piece of the prefix that ends in it.
         for run in RUNS.finditer(text):
             a, b = run.span()
-            table = known.get(run[0]) or self.learned(run[0])
-            out[b - 1] = (out[a - 1] if a else 0) + int.from_bytes(table[-4:], "little")
+            out[b - 1] = (out[a - 1] if a else 0) + np.frombuffer(self.tables[run[0]], np.int32)[-1]
         return out
 
     def counts(self, text: str) -> np.ndarray:
