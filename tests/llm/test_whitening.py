@@ -110,6 +110,11 @@ def test_given_vectors(spark, sf):
     check(op11(table).collect(), [(r.vec_id, r.embedding) for r in table.collect()])
 
 
+def test_parts_fill_panels():
+    assert whitening.panels_of([(0, 5), (2, 5), (3, 1), (7, 20), (8, 2)], 10) == [[(0, 5), (2, 5)], [(3, 1)], [(7, 20)], [(8, 2)]]
+    assert whitening.panels_of([], 10) == []
+
+
 @pytest.mark.parametrize("most", [3, 1 << 61, 1 << 80])
 def test_sums_stay_exact(most):
     assert whitening._most(np.array([most, -1], object if most > 1 << 62 else np.int64)) == most

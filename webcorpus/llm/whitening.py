@@ -17,7 +17,7 @@ from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import StorageLevel, cloudpickle
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.common import callMLlibFunc
 from pyspark.mllib.linalg import Matrices
@@ -97,51 +97,81 @@ def sums_of(numbered: DataFrame, dim: int) -> list[int]:
     return [int(r.total) for r in parts.groupBy("at").agg(F.sum("total").alias("total")).orderBy("at").collect()]
 
 
-def centred_rows(numbered: DataFrame, first: dict[int, int], n: int, sums: list[int], panel_rows: int) -> DataFrame:
-    """(panel, place, vec_id, deviation, deviation_exact, centred): each row against the mean.
-
-    ``first`` has the index of the first row of each written part. deviation_exact is the sum of
-    (n*x-S)^2 with up to 38 digits, deviation the same where it fits a long; both NULL beyond.
-    """
-    dim, shift = len(sums), np.array(sums, object)
+def deviations(x: np.ndarray, n: int, sums: list[int]) -> np.ndarray:
+    """n*x-S for rows of whole numbers, exactly: as longs where they fit, else as Python's numbers."""
     small = max(map(abs, sums), default=0)
-    fits = np.array(sums, np.int64) if small < _EXACT else None
+    if small < _EXACT and n * _most(x) + small < _EXACT:
+        return n * x - np.array(sums, np.int64)
+    return n * x.astype(object) - np.array(sums, object)
+
+
+def centred_rows(numbered: DataFrame, first: dict[int, int], n: int, sums: list[int]) -> DataFrame:
+    """(place, vector): the rows less the mean, numbered from what ``first`` says of their part."""
+    dim = len(sums)
 
     def centre(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column, part, place = batch.columns
+            y = (deviations(_matrix(column, dim), n, sums) / n).astype(np.float64)
+            at = np.array([first[p] for p in part.to_pylist()], np.int64) + place.to_numpy()
+            ends = np.arange(0, y.size + 1, dim, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.ListArray.from_arrays(ends, pa.array(y.ravel()))], ["place", "v"])
+
+    rows = numbered.select("x", "part", "place").mapInArrow(centre, "place bigint, v array<double>")
+    return MLUtils.convertVectorColumnsFromML(rows.select("place", array_to_vector("v").alias("vector")), "vector")
+
+
+def row_facts(numbered: DataFrame, panel: dict[int, tuple[int, int]], n: int, sums: list[int]) -> DataFrame:
+    """(panel, place, vec_id, deviation, deviation_exact); ``panel`` has each part's panel and first place.
+
+    deviation_exact is the sum of (n*x-S)^2 with up to 38 digits, deviation the same where it fits a
+    long; both are NULL beyond.
+    """
+    dim = len(sums)
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vec_id, column, part, place = batch.columns
-            x = _matrix(column, dim)
-            if fits is not None and n * _most(x) + small < _EXACT:
-                y = n * x - fits
-            else:
-                y = n * x.astype(object) - shift
+            y = deviations(_matrix(column, dim), n, sums)
             square = (y if _most(y) ** 2 * max(1, dim) < _EXACT else y.astype(object)) ** 2
             total = [int(t) for t in square.sum(axis=1)]
-            index = np.array([first[p] for p in part.to_pylist()], np.int64) + place.to_numpy()
-            centred = (y / n).astype(np.float64)
+            parts = [panel[p] for p in part.to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(index // panel_rows, pa.int32()),
-                    pa.array(index % panel_rows),
+                    pa.array([k for k, _ in parts], pa.int32()),
+                    pa.array(np.array([at for _, at in parts], np.int64) + place.to_numpy()),
                     vec_id,
                     pa.array([t if t < 1 << 63 else None for t in total], pa.int64()),
                     pa.array([Decimal(t) if t < 10**38 else None for t in total], pa.decimal128(38, 0)),
-                    pa.ListArray.from_arrays(np.arange(0, centred.size + 1, dim, np.int32), pa.array(centred.ravel())),
                 ],
-                ["panel", "place", "vec_id", "deviation", "deviation_exact", "centred"],
+                ["panel", "place", "vec_id", "deviation", "deviation_exact"],
             )
 
-    kind = numbered.schema["vec_id"].dataType
-    schema = T.StructType.fromDDL("panel int, place bigint, vec_id bigint, deviation bigint, deviation_exact decimal(38,0), centred array<double>")
-    schema["vec_id"].dataType = kind
-    return numbered.select("vec_id", "x", "part", "place").mapInArrow(centre, schema)
+    schema = T.StructType.fromDDL("panel int, place bigint, vec_id bigint, deviation bigint, deviation_exact decimal(38,0)")
+    schema["vec_id"].dataType = numbered.schema["vec_id"].dataType
+    return numbered.select("vec_id", "x", "part", "place").mapInArrow(tell, schema)
+
+
+def panels_of(parts: list[tuple[int, int]], most: int) -> list[list[tuple[int, int]]]:
+    """Consecutive parts (number, rows) in groups of at most ``most`` rows; a larger part is alone."""
+    groups: list[list[tuple[int, int]]] = []
+    held = most + 1
+    for part in parts:
+        if held + part[1] > most:
+            groups.append([])
+            held = 0
+        groups[-1].append(part)
+        held += part[1]
+    return groups
 
 
 def block_matrix(rows: DataFrame, n: int, dim: int, block_rows: int) -> BlockMatrix:
-    """Blocks of the rows (place, centred) of one panel; the rows stay in the JVM."""
-    vectors = rows.select("place", array_to_vector("centred").alias("vector"))
-    indexed = IndexedRowMatrix(MLUtils.convertVectorColumnsFromML(vectors, "vector"), n, dim)
-    return indexed.toBlockMatrix(block_rows, dim)
+    """Blocks of the rows (place, vector) of one panel; the rows stay in the JVM.
+
+    They are used several times, so they are kept where there is room; what an executor takes with
+    it is made again from the shuffled rows.
+    """
+    return IndexedRowMatrix(rows, n, dim).toBlockMatrix(block_rows, dim).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _times(left: BlockMatrix, right: BlockMatrix, splits: int) -> BlockMatrix:
@@ -167,6 +197,7 @@ def whitened_rows(spark: SparkSession, panels: list[BlockMatrix], axes: Axes) ->
         product = panel.multiply(weights).toIndexedRowMatrix()
         rows = callMLlibFunc("getIndexedRows", product._java_matrix_wrapper._java_model)
         part = stored(rows.select(F.lit(k).alias("panel"), F.col("index").alias("place"), vector_to_array("vector").alias("y")))
+        panel._java_matrix_wrapper._java_model.blocks().unpersist(False)
         found = part if found is None else found.unionAll(part)
     return found
 
@@ -196,9 +227,9 @@ def whiten(
     A component without variance has y = 0 here. Without rows or dimensions there are no axes.
     """
     spark = vectors.sparkSession
-    # A row's number is written with it, so that reading the table in other parts changes nothing.
+    # A row's number is written with it, so that reading the table in other splits changes nothing.
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    numbered = stored(whole_numbers(vectors, vec_id, embedding).select("*", F.spark_partition_id().alias("part"), place.alias("place")))
+    numbered = stored(whole_numbers(vectors, vec_id, embedding).select("*", F.spark_partition_id().alias("part"), place.alias("place")), "part")
     # One row per written part comes to the driver.
     parts = numbered.groupBy("part").agg(F.count("*").alias("rows"), F.max(F.size("x")).alias("dim")).orderBy("part").collect()
     n, dim = sum(p.rows for p in parts), max((p.dim for p in parts), default=0)
@@ -206,20 +237,22 @@ def whiten(
         none = F.lit(None)
         empty = numbered.select("vec_id", none.cast("bigint").alias("deviation"), none.cast("decimal(38,0)").alias("deviation_exact"), F.array().cast("array<double>").alias("y"))
         return empty, Axes(np.zeros((0, 0)), np.zeros(0), 0.0), n, None
-    first = dict(zip([p.part for p in parts], np.cumsum([0, *(p.rows for p in parts)]).tolist()))
+    sums = sums_of(numbered, dim)
     block_rows = max(1, block // dim)
-    panel_rows = block_rows * panel_blocks
-    rows = stored(centred_rows(numbered, first, n, sums_of(numbered, dim), panel_rows), "panel")
-    panels, scatter = [], np.zeros((dim, dim))
-    for k in range(-(-n // panel_rows)):
-        size = min(panel_rows, n - k * panel_rows)
-        panels.append(block_matrix(rows.filter(F.col("panel") == k), size, dim, block_rows))
+    panels, scatter, where = [], np.zeros((dim, dim)), {}
+    for k, group in enumerate(panels_of([(p.part, p.rows) for p in parts], block_rows * panel_blocks)):
+        first = dict(zip([p for p, _ in group], np.cumsum([0, *(r for _, r in group)]).tolist()))
+        where.update((p, (k, at)) for p, at in first.items())
+        size = sum(r for _, r in group)
+        rows = centred_rows(numbered.filter(F.col("part").between(group[0][0], group[-1][0])), first, n, sums)
+        panels.append(block_matrix(rows, size, dim, block_rows))
         scatter += _times(panels[-1].transpose(), panels[-1], -(-size // block_rows)).toLocalMatrix().toArray()
     axes = axes_of(scatter, n, keep)
     white = whitened_rows(spark, panels, axes)
     sound = [i for i, e in enumerate(axes.values) if e > NO_VARIANCE * axes.trace]
     error = identity_error(white, n, sound)
-    out = rows.join(white, ["panel", "place"]).select("vec_id", "deviation", "deviation_exact", "y")
+    facts = row_facts(numbered, where, n, sums)
+    out = facts.join(white, ["panel", "place"]).select("vec_id", "deviation", "deviation_exact", "y")
     return out, axes, n, error
 
 
