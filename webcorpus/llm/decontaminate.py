@@ -149,8 +149,8 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) ->
     """(doc_id, item_id, edits, budget, word) per document row and item found in it.
 
     ``word`` is where the passage begins, counted in words of letters and digits. Items or texts that are NULL
-    or hold no word are found nowhere; items that share an id are reported with their fewest edits;
-    repeated document rows give repeated hits.
+    or hold no word are found nowhere; of items that share an id each text is sought, and each found is a
+    row; repeated document rows give repeated hits.
     """
     parts = []
     for block in blocks(benchmark):
@@ -163,6 +163,10 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) ->
 
 
 def op7(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id, edits, budget, word) of every benchmark item found in every whole document.
+
+    Odd rows are as in ``find_passages``; an empty table on either side gives no rows.
+    """
     return find_passages(docs, benchmark)
 
 

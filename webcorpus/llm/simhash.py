@@ -217,6 +217,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
 
 def op9(docs: DataFrame) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every row; NULL and wordless texts share fingerprint zero.
+
+    Rows that repeat an id each have their fingerprint. Ties of bits count as 0, as over half must be set.
+    """
     return near_duplicates(docs).select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
