@@ -249,6 +249,17 @@ FROM events GROUP BY 1
 """,
     "cache_hits": f"""
 WITH {_gaps('user_id')} SELECT event_id, k AS user_id, NOT opens AS hit FROM gaps
+""",
+    "reuse_asof": """
+WITH asked AS (SELECT event_id, user_id, epoch_us(ts) // 1000 AS ms FROM events WHERE event_type IN ('view', 'click')),
+shots AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, max(event_id) AS id FROM events WHERE event_type = 'signup' GROUP BY ALL),
+served AS (
+  SELECT a.event_id, a.user_id, s.id, a.ms - s.ms AS age
+  FROM asked a ASOF LEFT JOIN shots s ON a.user_id = s.user_id AND a.ms >= s.ms
+)
+SELECT event_id, user_id, CASE WHEN age < 48 * 3600000 THEN id END AS snapshot_id,
+  CASE WHEN age < 48 * 3600000 THEN age END AS age_ms
+FROM served
 """,
     "cache_capacity": """
 WITH last AS (

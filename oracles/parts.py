@@ -19,6 +19,8 @@ SITE = view(derived.SITE)
 PRIOR = view(derived.PRIOR)
 BLOCKLIST = view(derived.BLOCKLIST)
 LEXICON = view(derived.LEXICON)
+RULES = view(derived.RULES)
+ENGLISH = view(derived.ENGLISH)
 VERDICTS = view(derived.VERDICTS)
 TEMPLATES = derived.TEMPLATES
 RESPONSES = view(derived.RESPONSES)

@@ -1,11 +1,15 @@
 """Checks for masks, flags, classification and prompts."""
 
+from webcorpus.functions.stems import STEP_2, STEP_3, STEP_4
+
 from oracles.parts import (
     BLOCKLIST,
+    ENGLISH,
     LEXICON,
     MIXED,
     RESPONSES,
     RESULTS,
+    RULES,
     SPACE,
     TEMPLATES,
     TEXTS,
@@ -16,6 +20,57 @@ from oracles.parts import (
     route_of,
 )
 
+_C, _V = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
+
+
+def stems_of(words: str) -> str:
+    """CTE stems(word, stem) of the column word: Porter's steps, each a subquery over the one before."""
+
+    def case(table: dict[str, str], column: str = "suffix") -> str:
+        return f"CASE {column} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in table.items()) + " END"
+
+    def cut(source: str, suffixes) -> str:
+        pattern = f"^(.+?)({'|'.join(suffixes)})$"
+        return (
+            f"(SELECT word, w, regexp_extract(w, '{pattern}', 1) AS stem, regexp_extract(w, '{pattern}', 2) AS suffix FROM {source})"
+        )
+
+    def has(pattern: str, column: str = "stem") -> str:
+        return f"regexp_matches({column}, '{pattern}')"
+
+    one, two = has(f"^({_C})?{_V}{_C}"), has(f"^({_C})?{_V}{_C}{_V}{_C}")
+    vowel, short = has(f"^({_C})?[aeiouy]"), has(f"^{_C}[aeiouy][^aeiouwxy]$")
+    double = has("(" + "|".join(c * 2 for c in "bcdfghjkmnpqrtvwx") + ")$")
+    mend = (
+        f"CASE WHEN {has('(at|bl|iz)$')} THEN stem || 'e' WHEN {double} THEN left(stem, -1)"
+        f" WHEN {short} THEN stem || 'e' ELSE stem END"
+    )
+    last = f"({two} OR ({has(f'^({_C})?{_V}{_C}({_V})?$')} AND NOT {short}))"
+    return f"""
+stem0 AS (SELECT word, regexp_replace(word, '^y', 'Y') AS w FROM {words} WHERE regexp_full_match(word, '[a-z]{{3,}}')),
+stem1 AS (SELECT word, regexp_replace(regexp_replace(w, '^(.+?)(ss|i)es$', '\\1\\2'), '^(.+?[^s])s$', '\\1') AS w FROM stem0),
+stem2 AS (
+  SELECT word, CASE WHEN suffix = '' THEN w WHEN suffix = 'eed' THEN CASE WHEN {one} THEN stem || 'ee' ELSE w END
+    WHEN {vowel} THEN {mend} ELSE w END AS w
+  FROM {cut('stem1', ['eed', 'ed', 'ing'])}
+),
+stem3 AS (SELECT word, CASE WHEN suffix <> '' AND {vowel} THEN stem || 'i' ELSE w END AS w FROM {cut('stem2', ['y'])}),
+stem4 AS (SELECT word, CASE WHEN suffix <> '' AND {one} THEN stem || {case(STEP_2)} ELSE w END AS w FROM {cut('stem3', STEP_2)}),
+stem5 AS (SELECT word, CASE WHEN suffix <> '' AND {one} THEN stem || {case(STEP_3)} ELSE w END AS w FROM {cut('stem4', STEP_3)}),
+stem6 AS (
+  SELECT word, CASE WHEN suffix = '' THEN w WHEN {two} THEN stem ELSE w END AS w
+  FROM (
+    SELECT word, w, CASE WHEN suffix <> 'ion' OR regexp_matches(stem, '[st]$') THEN suffix ELSE '' END AS suffix, stem
+    FROM {cut('stem5', [*STEP_4, 'ion'])}
+  )
+),
+stem7 AS (SELECT word, CASE WHEN suffix <> '' AND {last} THEN stem ELSE w END AS w FROM {cut('stem6', ['e'])}),
+stems AS (
+  SELECT word, lower(CASE WHEN w LIKE '%ll' AND {has(f"^({_C})?{_V}{_C}{_V}{_C}", 'w')} THEN left(w, -1) ELSE w END) AS stem FROM stem7
+  UNION ALL SELECT word, word FROM {words} WHERE NOT regexp_full_match(word, '[a-z]{{3,}}')
+)"""
+
+
 _WORDS = [
     r"\b(?:www\.)?[a-z0-9-]+\.(?:xxx|adult|porn)\b",
     r"\.onion\b",
@@ -184,9 +239,31 @@ WITH texts AS ({TEXTS}), {_SUSPICIOUS}
 SELECT doc_id, doc_id IN (SELECT doc_id FROM suspects) AS suspicious FROM texts
 """,
     "keyword_combo_flag": f"SELECT doc_id, {_COMBO} AS combination FROM ({TEXTS}) t",
+    "rule_matches": f"""
+SELECT doc_id, rule_id FROM ({TEXTS}) t JOIN ({RULES}) r
+  ON concat(a, b, c) <> '' AND contains(lower(text), a) AND contains(lower(text), b) AND contains(lower(text), c)
+""",
     "sentiment_score": f"""
 WITH texts AS ({TEXTS}), {_SCORES}
 SELECT doc_id, n_tokens, round(score, 8) AS score FROM scores
+""",
+    "sentiment_stemmed": f"""
+WITH texts AS ({TEXTS}), lexicon AS ({ENGLISH}),
+spoken AS (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS word FROM texts),
+words AS (SELECT DISTINCT word FROM spoken UNION SELECT lower(word) FROM lexicon),
+{stems_of('words')},
+vocabulary AS (
+  SELECT stem, max_by(polarity, lower(l.word)) AS polarity FROM lexicon l JOIN stems s ON s.word = lower(l.word) GROUP BY stem
+),
+known AS (
+  SELECT s.word, coalesce(d.polarity, v.polarity, 0) AS polarity
+  FROM stems s LEFT JOIN vocabulary d ON d.stem = s.word LEFT JOIN vocabulary v ON v.stem = s.stem
+),
+scores AS (
+  SELECT doc_id, count(*) AS n_tokens, CAST(sum(CAST(polarity AS DECIMAL(9, 4))) AS DOUBLE) / count(*) AS score
+  FROM spoken JOIN known USING (word) GROUP BY doc_id
+)
+SELECT doc_id, n_tokens, round(score, 8) AS score FROM scores
 """,
     "sentiment_flags": f"""
 WITH texts AS ({TEXTS}), {_SCORES}

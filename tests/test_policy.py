@@ -1,9 +1,11 @@
+import random
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
-from webcorpus.operators import classify, policy
+from webcorpus.functions.stems import porter_stem
+from webcorpus.operators import classify, policy, rules
 
 
 def texts(spark, values, expression):
@@ -210,3 +212,72 @@ def test_page_types_and_prompts(spark):
     assert rows[6].prompt == "no place"
     plain = classify.build_prompts(typed, "t", templates.limit(0), "i").orderBy("i").collect()
     assert [r.prompt for r in plain][:2] == ["x", "x"]
+
+
+def brute_rules(texts, table):
+    out = []
+    for i, t in texts:
+        for r, words in table:
+            words = [w.lower() for w in words or [] if w]
+            if words and t is not None and all(w in t.lower() for w in words):
+                out.append((i, r))
+    return sorted(out)
+
+
+def test_many_rules_match_as_one_by_one(spark):
+    rng = random.Random(4)
+    syllables = ["ka", "to", "mi", "re", "su", "no"]
+
+    def word():
+        return "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4)))
+
+    texts = [(i, " ".join(word().upper() if rng.random() < 0.2 else word() for _ in range(60))) for i in range(150)] + [(900, None), (901, "")]
+    table = [(r, [word() for _ in range(rng.randint(1, 4))]) for r in range(10_000)]
+    table += [(20_000, []), (20_001, None), (20_002, ["", None]), (20_003, ["KATO", "kato"]), (20_004, ["zzz", "ka"]), (20_005, ["o n"])]
+    docs = spark.createDataFrame(texts, "row bigint, t string")
+    frame = spark.createDataFrame(table, "rule bigint, words array<string>")
+    found = rules.rule_matches(docs, "row", "t", frame, "rule", "words")
+    assert sorted(map(tuple, found.collect())) == brute_rules(texts, table)
+    few = frame.filter("rule < 300 OR rule >= 20000")
+    parts = rules.rule_matches(docs, "row", "t", few, "rule", "words", block=50)
+    assert sorted(map(tuple, parts.collect())) == brute_rules(texts, [r for r in table if r[0] < 300 or r[0] >= 20_000])
+
+
+def test_rules_or_texts_may_be_missing(spark):
+    docs = spark.createDataFrame([(1, "a b")], "row bigint, t string")
+    none = spark.createDataFrame([], "rule bigint, words array<string>")
+    assert rules.rule_matches(docs, "row", "t", none, "rule", "words").collect() == []
+    one = spark.createDataFrame([(1, ["a"])], "rule bigint, words array<string>")
+    assert rules.rule_matches(docs.limit(0), "row", "t", one, "rule", "words").collect() == []
+
+
+# From the paper that describes the algorithm.
+STEMS = """caresses caress ponies poni ties ti caress caress cats cat feed feed agreed agre plastered plaster bled bled
+motoring motor sing sing conflated conflat troubled troubl sized size hopping hop tanned tan falling fall hissing hiss
+fizzed fizz failing fail filing file happy happi sky sky relational relat conditional condit rational ration valenci valenc
+hesitanci hesit digitizer digit conformabli conform radicalli radic differentli differ vileli vile analogousli analog
+vietnamization vietnam predication predic operator oper feudalism feudal decisiveness decis hopefulness hope callousness callous
+formaliti formal sensitiviti sensit sensibiliti sensibl triplicate triplic formative form formalize formal electriciti electr
+electrical electr hopeful hope goodness good revival reviv allowance allow inference infer airliner airlin gyroscopic gyroscop
+adjustable adjust defensible defens irritant irrit replacement replac adjustment adjust dependent depend adoption adopt
+homologou homolog communism commun activate activ angulariti angular homologous homolog effective effect bowdlerize bowdler
+probate probat rate rate cease ceas controll control roll roll by by y y yes ye youth youth saying sai a1ing a1ing""".split()
+
+
+def test_stems(spark):
+    words = dict(zip(STEMS[::2], STEMS[1::2]))
+    found = spark.createDataFrame([(w,) for w in words], "w string").select("w", porter_stem(F.col("w")).alias("s"))
+    assert {r.w: r.s for r in found.collect()} == words
+
+
+def test_tokens_count_by_themselves_or_their_stem(spark):
+    docs = spark.createDataFrame([(1, "He hopes hoping HOPED hope"), (2, "ponies poni pony"), (3, None), (4, "none")], "row bigint, t string")
+    lexicon = spark.createDataFrame([("hope", Decimal("0.5")), ("hoping", Decimal("0.25")), ("Ponies", Decimal("-1"))], "word string, polarity decimal(9,4)")
+    found = policy.stemmed_lexicon(docs, "t", lexicon)
+    assert {r.word: float(r.polarity) for r in found.collect()} == {
+        "hopes": 0.25, "hoping": 0.25, "hoped": 0.25, "hope": 0.25, "ponies": -1.0, "poni": -1.0, "pony": -1.0
+    }
+    # A token is stemmed in what the grouping of equal tokens returns, so once.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert any("regexp_extract" in line for line in plan.split("\n") if "Aggregate [word" in line)
+    assert not any("regexp" in line for line in plan.split("\n") if "Generate" in line)

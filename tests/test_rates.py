@@ -182,22 +182,90 @@ def test_long_histories_fold_linearly(spark):
     assert seconds[1] < 6 * seconds[0] + 2
 
 
+def served(asked, shots, ttl):
+    out = {}
+    for i, k, ms in asked:
+        before = [(m, n) for n, key, m in shots if key == k and m <= ms]
+        m, n = max(before, default=(None, None))
+        out[i] = (n, ms - m) if before and ms - m < ttl else (None, None)
+    return out
+
+
+@SPARK
+@given(logs, logs, st.sampled_from([1, 700, 5_000, 10**7]), st.sampled_from([1, 3, 16]))
+def test_reuse_as_of_matches_one_by_one(spark, asked, stored, ttl, splits):
+    shots = log(spark, stored).select("k", "ts", F.col("id").alias("shot"))
+    found = rates.reuse_asof(log(spark, asked).withColumn("shot", F.lit("own")), shots, "k", "ts", "shot", ttl, splits)
+    assert found.columns == ["id", "k", "ts", "shot", "age_ms"]
+    assert {r.id: (r.shot, r.age_ms) for r in found.collect()} == served(asked, stored, ttl)
+
+
+def test_reuse_as_of_with_one_hot_key(spark):
+    asked = [(i, "hot", i * 50) for i in range(3000)] + [(9000, None, 5)]
+    stored = [(i, "hot", i * 9_000) for i in range(10)] + [(77, None, 1)]
+    shots = log(spark, stored).select("k", "ts", F.col("id").alias("shot"))
+    found = rates.reuse_asof(log(spark, asked), shots, "k", "ts", "shot", 8_000)
+    expected = served([a for a in asked if a[1]], [x for x in stored if x[1]], 8_000)
+    assert {r.id: (r.shot, r.age_ms) for r in found.collect()} == {**expected, 9000: (None, None)}
+    # The key is spread over its time buckets.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_key#" in plan and "_bucket#" in plan.split("hashpartitioning(_key#")[1][:40]
+
+
+def test_sessions_run_across_runs_of_slots(spark, monkeypatch):
+    monkeypatch.setattr(rates, "RUN", 4)
+    rows = [(i, "ab"[i % 2], i * 400 + (i // 7) * 3_000) for i in range(200)]
+    found = rates.cache_sessions(log(spark, rows), "k", "ts", "id", 1_000).collect()
+    expected = []
+    for key in "ab":
+        runs = []
+        for i, k, ms in rows:
+            if k == key:
+                if not runs or ms - runs[-1][1] > 1_000:
+                    runs.append([ms, ms, 0])
+                runs[-1][1:] = [ms, runs[-1][2] + 1]
+        start = int(START.timestamp() * 1000)
+        expected += [(key, start + a, start + b, n) for a, b, n in runs]
+    assert sorted((r.k, r.start_ms, r.end_ms, r.n_requests) for r in found) == sorted(expected)
+
+
 def test_ingest_stores_a_route_once(spark, tmp_path):
     schema = "page_id bigint, url string, html string"
     source, store = tmp_path / "pages", str(tmp_path / "store")
 
     def arrive(name, rows, state="state"):
+        return sorted(arrive_all(name, rows, state))
+
+    def arrive_all(name, rows, state="state"):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(source / name))
         pages = ingest.stream_table(spark, str(source / "*"), spark.createDataFrame([], schema).schema)
         ingest.ingest_pages(pages, store, str(tmp_path / state)).awaitTermination()
-        return sorted(r.page_id for r in spark.read.parquet(store).collect())
+        return sorted((r.page_id for r in spark.read.parquet(store).collect()), key=str)
 
     assert arrive("1", [(2, "https://a.org/x", "h"), (1, "https://b.org/x", "h")]) == [1]
     assert arrive("2", [(3, "https://c.org/x/", "h"), (4, "https://c.org/y", "h")]) == [1, 4]
     # Another query with a state of its own adds to the store and takes nothing away.
     assert arrive("3", [(5, "https://d.org/z", "h"), (6, "https://a.org/x", "h")], "other") == [1, 4, 5]
-    # A repeated batch overwrites its own folder.
-    again = spark.createDataFrame([(7, "https://c.org/w", "h"), (4, "https://c.org/y", "h")], schema)
-    for _ in range(2):
-        ingest.add_pages(again, 1, store)
-    assert sorted(r.page_id for r in spark.read.parquet(store).collect()) == [1, 4, 5, 7]
+    # What the other query stored is known to the first one when it goes on.
+    assert arrive("4", [(8, "https://e.org/z", "h"), (7, "https://c.org/w", "h")]) == [1, 4, 5, 7]
+    assert arrive("5", [(9, "https://c.org/w", "h")], "other") == [1, 4, 5, 7]
+    # Odd pages: no id, no address, ids beyond what a double holds.
+    big = 2**62 + 1
+    found = arrive_all("6", [(None, "https://a.org/v", "h"), (big, "https://a.org/u", "h"), (big + 1, "https://b.org/u", "h"), (3, None, None)])
+    assert found == sorted([1, 4, 5, 7, None, big, 3], key=str)
+
+
+def test_ingest_costs_what_arrives(spark, tmp_path):
+    """Many small batches over a growing store: the last take no longer than the first ones."""
+    schema = "page_id bigint, url string, html string"
+    source, store = str(tmp_path / "pages"), str(tmp_path / "store")
+    for k in range(14):
+        rows = [(1000 * k + i, f"https://a.org/p{500 * k + i}", "h") for i in range(1000)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{source}/{k:02d}")
+    pages = ingest.stream_table(spark, f"{source}/*", spark.createDataFrame([], schema).schema, files_per_trigger=1)
+    query = ingest.ingest_pages(pages, store, str(tmp_path / "state"))
+    query.awaitTermination()
+    stored = spark.read.parquet(store)
+    assert stored.count() == stored.select("route").distinct().count() == 13 * 500 + 1000
+    seconds = [p["batchDuration"] / 1000 for p in query.recentProgress if p["numInputRows"]]
+    assert len(seconds) == 14 and sum(seconds[-4:]) < 2 * sum(seconds[3:7])

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webcorpus.functions.common import SPACE, WORD_EDGE, is_blank, let
+from webcorpus.functions.stems import porter_stem
 from webcorpus.functions.text import mask_phrases
 from webcorpus.functions.urls import domain_key
 from webcorpus.operators.joins import lookup_join
@@ -227,6 +228,25 @@ def sentiment_scores(
     return sums.select(row_id, "n_tokens", (F.col("_sum") / F.col("n_tokens")).alias("score"))
 
 
+def stemmed_lexicon(texts: DataFrame, text: str, lexicon: DataFrame) -> DataFrame:
+    """(word, polarity) of the tokens of ``texts`` that a lexicon knows by themselves or by their stem.
+
+    The lexicon's words are stemmed; of words with one stem the last in order counts. A token that
+    is such a stem itself counts as that, any other by its own stem. Each distinct token is stemmed
+    once, whatever number of texts hold it.
+    """
+    stems = (
+        lexicon.select(F.lower("word").alias("_word"), "polarity")
+        .groupBy(porter_stem(F.col("_word")).alias("_stem"))
+        .agg(F.max_by("polarity", "_word").alias("polarity"))
+    )
+    tokens = texts.select(F.explode(F.split(F.lower(F.col(text)), " ")).alias("word")).distinct()
+    stemmed = tokens.withColumn("_own", porter_stem(F.col("word")))
+    direct = stems.select(F.col("_stem").alias("word"), F.col("polarity").alias("_direct"))
+    known = lookup_join(lookup_join(stemmed, direct, "word"), stems.withColumnRenamed("_stem", "_own"), "_own")
+    return known.select("word", F.coalesce("_direct", "polarity").alias("polarity")).filter("polarity IS NOT NULL")
+
+
 def sentiment_flag(score: Column) -> Column:
     return F.when(score < EXTREMELY_NEGATIVE, "extremely_negative_sentiment").when(
         score < NEGATIVE, "negative_sentiment"

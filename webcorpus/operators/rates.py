@@ -17,6 +17,8 @@ CAPACITY = 5
 RATE = 1.0
 # Spans in which a key's requests are folded, each about a thousand of the one before.
 SPANS_MS = (1_000, 1_000_000, 1_000_000_000)
+RUN = 4096  # slots that are ordered in one task
+SPLITS = 16  # time buckets in a time to live, for joins as of a time
 
 
 def _ms(ts: Column) -> Column:
@@ -62,13 +64,69 @@ def cache_hits(
     )
 
 
+def reuse_asof(
+    requests: DataFrame,
+    snapshots: DataFrame,
+    key: str,
+    ts: str,
+    snapshot_id: str,
+    ttl_ms: int = TTL_MS,
+    splits: int = SPLITS,
+) -> DataFrame:
+    """Add the snapshot of the key that was the latest at the time of each request, and its age.
+
+    ``snapshots`` is (key, ts, snapshot_id); of several at one time the largest id counts, and one
+    stored at the very time of a request is there for it. A snapshot serves for less than the time
+    to live; requests without one have NULL in ``snapshot_id`` and ``age_ms``.
+
+    Time is cut into buckets of a part of the time to live. The last snapshot of a bucket is
+    carried to the buckets in which it may still serve; the rest happens within (key, bucket), so
+    a key with most of the requests is spread over its buckets, and every row moves once.
+    """
+    width = max(1, -(-ttl_ms // splits))
+    bucket = F.floor(F.col("_ms") / width)
+    columns = [c for c in requests.columns if c not in (snapshot_id, "age_ms")]
+    asked = requests.select(
+        F.col(key).alias("_key"), _ms(F.col(ts)).alias("_ms"), F.lit(None).alias("_shot"), F.struct(*columns).alias("_row")
+    ).withColumn("_bucket", bucket)
+    shots = snapshots.select(F.col(key).alias("_key"), _ms(F.col(ts)).alias("_ms"), F.col(snapshot_id).alias("_id"))
+    shots = shots.filter("_key IS NOT NULL AND _ms IS NOT NULL")
+    shots = shots.withColumn("_bucket", bucket).groupBy("_key", "_bucket", "_ms").agg(F.max("_id").alias("_id"))
+    shots = shots.select("_key", "_ms", F.struct("_ms", "_id").alias("_shot"), "_bucket")
+    last = shots.groupBy("_key", "_bucket").agg(F.max("_shot").alias("_shot"))
+    reach = -(-ttl_ms // width)
+    carried = (
+        last.select("_key", F.explode(F.sequence(F.col("_bucket") + 1, F.col("_bucket") + reach)).alias("_bucket"), "_shot")
+        .groupBy("_key", "_bucket")
+        .agg(F.max("_shot").alias("_shot"))
+        .select("_key", F.col("_shot._ms").alias("_ms"), "_shot", "_bucket")
+    )
+    none = F.lit(None).cast(asked.schema["_row"].dataType).alias("_row")
+    asked = asked.withColumn("_shot", F.lit(None).cast(shots.schema["_shot"].dataType))
+    both = asked.unionByName(shots.unionByName(carried).select("*", none))
+    order = Window.partitionBy("_key", "_bucket").orderBy("_ms", F.col("_row").isNotNull())
+    seen = both.withColumn("_last", F.last("_shot", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    age = F.col("_ms") - F.col("_last._ms")
+    found = seen.filter("_row IS NOT NULL").withColumn("_age", F.when(age < ttl_ms, age))
+    return found.select(
+        "_row.*", F.when(F.col("_age").isNotNull(), F.col("_last._id")).alias(snapshot_id), F.col("_age").alias("age_ms")
+    )
+
+
 def cache_sessions(
     requests: DataFrame, key: str, ts: str, row_id: str, ttl_ms: int = TTL_MS
 ) -> DataFrame:
     """(key, start_ms, end_ms, n_requests) of runs of requests no further apart than the TTL."""
-    slots = _slots(requests, key, ts, row_id, ttl_ms)
-    so_far = Window.partitionBy(key).orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = slots.withColumn("_session", F.sum(F.col("opens").cast("int")).over(so_far))
+    slots = _slots(requests, key, ts, row_id, ttl_ms).withColumn("_run", F.floor(F.col("slot") / RUN))
+    # Sessions are numbered within runs of slots; what runs before hold is added to them, so no
+    # task orders all slots of a key.
+    opened = F.sum(F.col("opens").cast("bigint"))
+    so_far = Window.partitionBy(key, "_run").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(key).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = slots.groupBy(key, "_run").agg(opened.alias("_opened"))
+    offsets = runs.select(key, "_run", F.coalesce(F.sum("_opened").over(earlier), F.lit(0)).alias("_before"))
+    numbered = slots.withColumn("_own", opened.over(so_far)).join(offsets, [key, "_run"])
+    numbered = numbered.withColumn("_session", F.col("_own") + F.col("_before"))
     return (
         numbered.groupBy(key, "_session")
         .agg(

@@ -156,6 +156,22 @@ FROM (VALUES ('worst', -1.0), ('awful', -0.8), ('bad', -0.6), ('good', 0.7), ('b
   ('nicht', -0.4), ('para', 0.1), ('los', -0.05)) AS t(word, polarity)
 """
 
+# Polarities of English words, some of which share a stem with each other or with words of the texts.
+ENGLISH = """
+SELECT word, CAST(polarity AS DECIMAL(9, 4)) AS polarity
+FROM (VALUES ('worst', -1.0), ('awful', -0.8), ('private', -0.2), ('needed', 0.2), ('markets', 0.1),
+  ('weathered', -0.3), ('end', 0.05), ('ended', -0.05), ('prices', -0.1), ('paying', 0.3), ('shows', 0.15),
+  ('onions', 0.02), ('things', 0.01), ('services', 0.4), ('adults', -0.5), ('reading', 0.6), ('thing', 0.03),
+  ('ationing', 0.07), ('ering', -0.07), ('ented', 0.11), ('ons', 0.13), ('les', -0.11)) AS t(word, polarity)
+"""
+
+# A rule per labelled document, of three of its words; and the fixed combinations are rules of their own.
+RULES = """
+SELECT l.doc_id AS rule_id, split_part(lower(text), ' ', 2) AS a, split_part(lower(text), ' ', 4) AS b,
+  split_part(lower(text), ' ', 7) AS c
+FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id
+"""
+
 # A model's verdict per labelled document.
 VERDICTS = """
 SELECT doc_id, CASE WHEN toxic = 1 AND doc_id % 3 = 0 THEN 'UNSAFE' WHEN toxic = 1 THEN 'unsafe'

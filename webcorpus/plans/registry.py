@@ -23,6 +23,7 @@ from webcorpus.operators import (
     policy,
     rates,
     report,
+    rules,
     similar,
     topics,
 )
@@ -287,12 +288,26 @@ def keyword_combo_flag(spark, sf):
     )
 
 
+@query
+def rule_matches(spark, sf):
+    wanted = derive(spark, sf, derived.RULES).select("rule_id", F.array("a", "b", "c").alias("keywords"))
+    return rules.rule_matches(_texts(spark, sf), "doc_id", "text", wanted, "rule_id", "keywords")
+
+
 @query
 def sentiment_score(spark, sf):
     scores = policy.sentiment_scores(_texts(spark, sf), "doc_id", "text", _lexicon(spark, sf))
     return scores.withColumn("score", F.round("score", 8))
 
 
+@query
+def sentiment_stemmed(spark, sf):
+    texts = _texts(spark, sf)
+    lexicon = policy.stemmed_lexicon(texts, "text", derive(spark, sf, derived.ENGLISH))
+    scores = policy.sentiment_scores(texts, "doc_id", "text", lexicon)
+    return scores.withColumn("score", F.round("score", 8))
+
+
 @query
 def sentiment_flags(spark, sf):
     scores = policy.sentiment_scores(_texts(spark, sf), "doc_id", "text", _lexicon(spark, sf))
@@ -463,6 +478,16 @@ def cache_hits(spark, sf):
     )
 
 
+@query
+def reuse_asof(spark, sf):
+    """Which stored page serves each view or click: users stand for routes, their signups for fetches."""
+    log = requests(spark, sf)
+    asked = log.filter("event_type IN ('view', 'click')").select("event_id", "user_id", "ts")
+    fetched = log.filter("event_type = 'signup'").select("user_id", "ts", F.col("event_id").alias("snapshot_id"))
+    found = rates.reuse_asof(asked, fetched, "user_id", "ts", "snapshot_id", ttl_ms=48 * rates.TTL_MS)
+    return found.select("event_id", "user_id", "snapshot_id", "age_ms")
+
+
 @query
 def cache_capacity(spark, sf):
     kept = crawl.cache_capacity(requests(spark, sf), "user_id", "ts", "event_id", size=100)

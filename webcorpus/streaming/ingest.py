@@ -3,23 +3,28 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
+import sys
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from webcorpus.functions.urls import route_of
-from webcorpus.operators.crawl import firsts
-from webcorpus.operators.joins import lookup_join
-from webcorpus.session import cut_lineage, path_exists, shared_dir
+from webcorpus.session import shared_dir
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 FAR = dt.datetime(9000, 1, 1)
-BUCKETS = 64  # folders of a page store per batch
+NO_ROUTE = "\0"  # the key of pages without an address
 
 
 def stream_table(
@@ -113,41 +118,95 @@ def replay(
     return run()
 
 
-def bucket_of(route: Column) -> Column:
-    return F.pmod(F.xxhash64(route), F.lit(BUCKETS)).cast("int")
+def first_pages(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The page of the smallest id of a route that has no page yet; its state says that it has one."""
+    held, best = state.exists, None
+    for part in parts:
+        held = held or bool(part["known"].any())
+        new = part[~part["known"]]
+        if not held and len(new):
+            both = new if best is None else pd.concat([best, new])
+            least = both[both["page_id"] == both["page_id"].min()]
+            best = least.sort_values(["url", "html"]).iloc[:1]
+    if not state.exists:
+        state.update((True,))
+    if not held and best is not None:
+        yield best[["route", "page_id", "named", "url", "html"]]
 
 
-def add_pages(batch: DataFrame, batch_id: int, store: str) -> None:
-    """Add the pages of one micro-batch whose route is not stored yet.
+def seed_routes(spark: SparkSession, store: str, seeds: str, own: str) -> None:
+    """Copy the routes of finished batches of other queries to ``seeds``, those not copied before.
 
-    Each batch of each query owns one folder, which a repeated batch overwrites; whatever else the
-    store holds, from this query or another, stays and is looked up. The store is laid out by a
-    hash of the route, so a batch reads the routes of its own buckets only.
+    A batch is copied once in the life of a state folder, so a restart reads only what is new.
     """
-    spark = batch.sparkSession
-    query = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
-    own = f"{query}-{batch_id}"
-    routed = cut_lineage(batch.withColumn("route", route_of(F.col("url"))))
-    fresh = firsts(routed, ["route"], [F.col("page_id").asc()])
-    fresh = fresh.withColumn("bucket", bucket_of(F.col("route")))
-    if path_exists(spark, store):
-        wanted = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # at most BUCKETS
-        layout = T.StructType(
-            [T.StructField("route", T.StringType()), T.StructField("batch", T.StringType()), T.StructField("bucket", T.IntegerType())]
-        )
-        known = spark.read.schema(layout).parquet(store)
-        known = known.filter((F.col("batch") != own) & F.col("bucket").isin(wanted)).select("route")
-        routes = routed.select("route").distinct()
-        present = lookup_join(known, routes, "route", "left_semi").distinct()
-        fresh = fresh.join(present, "route", "left_anti")
-    fresh.write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/batch={own}")
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+
+    def listed(folder: str) -> dict[str, bool]:
+        """Batches in a folder, which is made if there is none, and whether their writing ended."""
+        place = files.Path(folder)
+        system = place.getFileSystem(conf)
+        system.mkdirs(place)
+        found = [f.getPath() for f in system.listStatus(place)]
+        return {f.getName(): system.exists(files.Path(f, "_SUCCESS")) for f in found if f.getName().startswith("batch=")}
+
+    copied = listed(seeds)
+    new = sorted(b for b, ended in listed(store).items() if ended and b not in copied and not b.startswith(f"batch={own}-"))
+    if new:
+        layout = "route string, batch string"
+        rows = spark.read.schema(layout).option("basePath", store).parquet(*[f"{store}/{b}" for b in new])
+        rows.distinct().write.mode("append").partitionBy("batch").parquet(seeds)
 
 
 def ingest_pages(pages: DataFrame, store: str, state: str) -> StreamingQuery:
-    """Store arriving pages once per route; ``pages`` is a stream of (page_id, url, html)."""
-    return (
-        pages.writeStream.foreachBatch(lambda batch, batch_id: add_pages(batch, batch_id, store))
-        .option("checkpointLocation", state)
-        .trigger(availableNow=True)
-        .start()
+    """Store arriving pages once per route; ``pages`` is a stream of (page_id, url, html).
+
+    Which routes are stored is keyed state, one value per route, so a batch costs what arrives in
+    it, however large the store is. When the query starts, routes that other queries have stored
+    since this state last learned of them arrive first, as rows of their own; the store is not read
+    again. Pages that two queries take at the same time may both be stored. Each batch of each
+    state folder owns one folder of the store, which a repeated batch overwrites.
+    """
+    spark = pages.sparkSession
+    own = hashlib.md5(state.encode()).hexdigest()[:16]
+    seeds = f"{state}-routes"
+    seed_routes(spark, store, seeds, own)
+    known = stream_table(spark, seeds, T.StructType.fromDDL("route string, batch string"), "*.parquet")
+    nothing = F.lit(None).cast("string")
+
+    def keyed(route: Column) -> Column:
+        # Never NULL on either side: a state's key keeps its type when one side is empty.
+        return F.coalesce(route, F.lit(NO_ROUTE)).alias("route")
+
+    stored = known.select(
+        keyed(F.col("route")), F.lit(True).alias("known"), F.lit(0).cast("bigint").alias("page_id"), F.lit(False).alias("named"), nothing.alias("url"), nothing.alias("html")
     )
+    # Ids stay whole numbers on their way through pandas: a missing one is the smallest.
+    arrived = pages.select(
+        keyed(route_of(F.col("url"))),
+        F.lit(False).alias("known"),
+        F.coalesce(F.col("page_id").cast("bigint"), F.lit(-(1 << 63))).alias("page_id"),
+        F.col("page_id").isNotNull().alias("named"),
+        "url",
+        "html",
+    )
+    first = (
+        arrived.unionByName(stored)
+        .groupBy("route")
+        .applyInPandasWithState(
+            first_pages, "route string, page_id bigint, named boolean, url string, html string", "seen boolean", "append", GroupStateTimeout.NoTimeout
+        )
+    )
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        route = F.nullif(F.col("route"), F.lit(NO_ROUTE)).alias("route")
+        rows = batch.select(F.when(F.col("named"), F.col("page_id")).alias("page_id"), "url", "html", route)
+        rows.write.mode("overwrite").parquet(f"{store}/batch={own}-{batch_id}")
+
+    with settings(spark, spark__sql__streaming__stateStore__providerClass=STATE_STORE):
+        return (
+            first.writeStream.foreachBatch(save)
+            .option("checkpointLocation", state)
+            .trigger(availableNow=True)
+            .start()
+        )
