@@ -260,12 +260,13 @@ def test_levels_move_neither_links_nor_visited_nodes(spark, monkeypatch):
     sources = cut_lineage(spark.createDataFrame([(i,) for i in range(5)], "node bigint"))
     reached = graph.targets(sources)
     assert moved(reached, "src") == (1, True)  # the sources
-    seen = layout.Visited(sources)
+    seen = layout.Visited()
+    seen.add(sources, 40)
     for _ in range(2):
         fresh = seen.unseen(cut_lineage(reached))
         assert moved(fresh, "node") == (1, True)  # what was reached
         fresh = cut_lineage(fresh)
-        seen.add(fresh)
+        seen.add(fresh, 8)
         found = {r.node for r in fresh.collect()}
         assert found == {d for s, d in pairs if s < 5} - set(range(5)) or not found
     assert {r.node for r in seen.whole.collect()} >= set(range(5))

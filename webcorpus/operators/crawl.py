@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webcorpus.functions.urls import route_of
-from webcorpus.operators.joins import lookup_join
+from webcorpus.operators.joins import lookup_join, measured_bytes
 from webcorpus.operators.layout import LinkGraph, Visited
 from webcorpus.session import cut_lineage
 
@@ -35,14 +35,15 @@ def crawl_bfs(
     """
     graph = LinkGraph(edges)
     frontier = cut_lineage(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
-    visited, seen = frontier, Visited(frontier)
+    visited, seen = frontier, Visited()
     for depth in range(1, max_depth + 1):
+        size = measured_bytes(frontier.select("node"))
+        if not size:
+            break
+        seen.add(frontier, size)
         sources = frontier if expand is None else frontier.join(expand, "node", "left_semi")
-        fresh = seen.unseen(graph.targets(sources))
+        fresh = seen.unseen(graph.targets(sources, size))
         frontier = cut_lineage(fresh.withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
-            break
-        seen.add(frontier)
         visited = visited.unionByName(frontier)
     return visited
 
@@ -67,7 +68,7 @@ def crawl_routes(
     schema = nodes.select("route")
     taken = schema.limit(0) if stored is None else stored.select("route").distinct()
     level = cut_lineage(seeds.select("node").distinct())
-    seen, results = Visited(level), None
+    seen, results = Visited(), None
     for depth in range(max_depth + 1):
         pages = level.join(nodes, "node", "left").withColumn(
             "status", F.coalesce("status", F.lit("missing"))
@@ -98,10 +99,11 @@ def crawl_routes(
         taken = taken.unionByName(done.filter("outcome = 'stored'").select("route"))
         followed = ["stored", "no_content"] + (["reused"] if expand_reused else [])
         sources = done.filter(F.col("outcome").isin(followed))
-        level = cut_lineage(seen.unseen(graph.targets(sources)))
+        size = measured_bytes(level)
+        seen.add(level, size)
+        level = cut_lineage(seen.unseen(graph.targets(sources, size)))
         if level.isEmpty():
             break
-        seen.add(level)
     return results.select("node", "depth", "outcome")
 
 

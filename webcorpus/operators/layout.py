@@ -63,10 +63,10 @@ class LinkGraph:
         rows = self.edges.join(F.broadcast(self.hubs), "src", "left").select("src", salt.alias("salt"), "dst")
         return Bucketed(spark, ["src", "salt"], buckets_for(spark, self.edges.count())).append(rows)
 
-    def targets(self, sources: DataFrame) -> DataFrame:
-        """(node): distinct nodes one link away from ``sources`` (node)."""
+    def targets(self, sources: DataFrame, size: int | None = None) -> DataFrame:
+        """(node): distinct nodes one link away from ``sources`` (node), which take ``size`` bytes at most."""
         lookup = sources.select(F.col("node").alias("src"))
-        if measured_bytes(lookup) <= joins.BROADCAST_BYTES:
+        if (measured_bytes(lookup) if size is None else size) <= joins.BROADCAST_BYTES:
             found = self.edges.join(F.broadcast(lookup), "src")
         else:
             every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
@@ -78,17 +78,18 @@ class LinkGraph:
 class Visited:
     """Nodes seen so far; once they are too many to be broadcast they lie by node, and only new ones move."""
 
-    def __init__(self, nodes: DataFrame) -> None:
-        self.levels, self.stored, self.whole = [nodes], None, None
+    def __init__(self) -> None:
+        self.levels, self.size, self.stored, self.whole = [], 0, None, None
 
-    def add(self, nodes: DataFrame) -> None:
-        self.levels.append(nodes)
+    def add(self, nodes: DataFrame, size: int) -> None:
+        self.levels.append(nodes.select("node"))
+        self.size += size
 
     def unseen(self, reached: DataFrame) -> DataFrame:
         """Those of ``reached`` (node), which are distinct, that were not seen."""
         if self.levels:
-            new = reduce(DataFrame.unionByName, [level.select("node") for level in self.levels])
-            if self.stored is None and measured_bytes(new) <= joins.BROADCAST_BYTES:
+            new = reduce(DataFrame.unionByName, self.levels)
+            if self.stored is None and self.size <= joins.BROADCAST_BYTES:
                 return reached.join(F.broadcast(new), "node", "left_anti")
             if self.stored is None:
                 self.stored = Bucketed(new.sparkSession, ["node"], buckets_for(new.sparkSession, new.count()))

@@ -13,9 +13,7 @@ from pyspark.sql import functions as F
 from webcorpus.sources.readers import read_requests
 
 # One URL per document: 13 hosts, 4 top-level domains, 5 sections, 8 endings.
-URLS = """
-SELECT doc_id, source, n_chars,
-  concat(
+_URL = """concat(
     CASE WHEN doc_id % 7 = 3 THEN 'http://' ELSE 'https://' END,
     CASE WHEN doc_id % 2 = 0 THEN 'www.' ELSE '' END,
     'h', doc_id % 13, '.example.',
@@ -27,8 +25,11 @@ SELECT doc_id, source, n_chars,
     CASE CAST(floor(doc_id / 7) AS BIGINT) % 8 WHEN 0 THEN '' WHEN 1 THEN '/'
       WHEN 2 THEN '.html' WHEN 3 THEN '?a=1' WHEN 4 THEN '#top' WHEN 5 THEN '.pdf'
       WHEN 6 THEN '.JPG' ELSE '.php' END
-  ) AS url
-FROM {documents}
+  )"""
+URLS = f"""
+SELECT doc_id, source, n_chars,
+  {_URL} AS url
+FROM {{documents}}
 """
 
 # The same URLs, some of them no longer valid ones.
@@ -48,9 +49,7 @@ FROM ({URLS}) u
 """
 
 # Document texts with one phrase each that some policy looks for, and rows of edge cases.
-TEXTS = """
-SELECT doc_id, source,
-  CASE doc_id % 16
+_TEXT = """CASE doc_id % 16
     WHEN 1 THEN concat(text, ' the PRICE is low')
     WHEN 2 THEN concat(text, ' only $5 today')
     WHEN 3 THEN concat(text, ' Posted By Anna')
@@ -65,17 +64,18 @@ SELECT doc_id, source,
     WHEN 13 THEN concat('xxx.shop/', text)
     WHEN 14 THEN concat('https://www.casino-win.example.org/', text)
     WHEN 15 THEN concat(text, ' a camshow and adult-massageservice near adult material')
-    ELSE text END AS text
-FROM {documents}
+    ELSE text END"""
+TEXTS = f"""
+SELECT doc_id, source,
+  {_TEXT} AS text
+FROM {{documents}}
 UNION ALL
 SELECT CAST(id AS BIGINT), 'edge', text FROM (VALUES (-1, '   '), (-2, ''),
   (-3, 'worst worst awful worst worst'), (-4, 'awful worst bad awful'), (-5, 'xxx')) AS e(id, text)
 """
 
 # Pages around the document texts: headings, lists, tables, code and many kinds of links.
-PAGES = f"""
-SELECT d.doc_id AS page_id, u.url,
-  concat(
+_HTML = """concat(
     '<html><body><div class="main"><h2>Item ', d.doc_id, ' &amp; more</h2>',
     '<a href="/docs/', d.doc_id % 17, '/">in</a>',
     '<a href="../up/./', d.doc_id % 11, '.html#sec">up</a>',
@@ -91,10 +91,19 @@ SELECT d.doc_id AS page_id, u.url,
       WHEN 3 THEN '<div class="highlight Python">print(1) </div>'
       ELSE '<p>see <code>x</code></p>' END,
     '</div><p>', replace(replace(d.text, '&', '&amp;'), '<', '&lt;'), '</p></body></html>'
-  ) AS html
+  )"""
+PAGES = f"""
+SELECT d.doc_id AS page_id, u.url,
+  {_HTML} AS html
 FROM {{documents}} d JOIN ({URLS}) u ON d.doc_id = u.doc_id
 """
 
+# Every document with its URL, text and page, in one reading of the documents.
+ADDRESSED = f"""
+SELECT doc_id, source, url, {_TEXT} AS text, {_HTML} AS html
+FROM (SELECT *, {_URL} AS url FROM {{documents}}) d
+"""
+
 # One crawl result per document.
 RESULTS = f"""
 SELECT doc_id, url,

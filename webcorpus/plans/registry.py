@@ -58,8 +58,12 @@ def _texts(spark, sf):
     return derive(spark, sf, derived.TEXTS)
 
 
+def _addressed(spark, sf):
+    return derive(spark, sf, derived.ADDRESSED)
+
+
 def _mixed(spark, sf):
-    return derive(spark, sf, derived.PAGES)
+    return _addressed(spark, sf).select(F.col("doc_id").alias("page_id"), "url", "html")
 
 
 def _results(spark, sf):
@@ -103,8 +107,8 @@ def reuse_existing(spark, sf):
 
 @query
 def sink_content(spark, sf):
-    texts = _texts(spark, sf).select("doc_id", F.col("text").alias("content"))
-    pages = texts.join(_urls(spark, sf), "doc_id").withColumn(
+    texts = _addressed(spark, sf).select("doc_id", "source", "url", F.col("text").alias("content"))
+    pages = texts.withColumn(
         "processed", F.when(F.col("doc_id") % 4 == 0, "").otherwise(text.mask_phrases(F.col("content")))
     )
     stored = _prior(spark, sf).select("route", F.lit("content").alias("kind"))
@@ -244,7 +248,7 @@ def primary_content(spark, sf):
 
 @query
 def markdown_corpus(spark, sf):
-    rows = _texts(spark, sf).join(_urls(spark, sf).select("doc_id", "url"), "doc_id")
+    rows = _addressed(spark, sf).select("doc_id", "url", "text")
     title = F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("Page "), F.col("doc_id")))
     body = F.concat(F.lit("Heading One\n  \n"), F.col("text"))
     return rows.select(
@@ -382,10 +386,8 @@ def processed_responses(spark, sf):
 
 def _typed(spark, sf):
     """Documents with a URL, some as text and some as markup, classified."""
-    texts = _texts(spark, sf).select("doc_id", "text")
-    mixed = _mixed(spark, sf).select(F.col("page_id").alias("doc_id"), "url", "html")
     content = F.when(F.col("doc_id") % 3 == 0, F.col("html")).otherwise(F.col("text"))
-    pages = texts.join(mixed, "doc_id").select("doc_id", "url", content.alias("content"))
+    pages = _addressed(spark, sf).select("doc_id", "url", content.alias("content"))
     return classify.classify_pages(pages, "url", "content")
 
 
