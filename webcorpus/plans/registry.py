@@ -25,6 +25,7 @@ from webcorpus.operators import (
     report,
     rules,
     similar,
+    summaries,
     topics,
 )
 from webcorpus.plans import derived, pipeline
@@ -521,6 +522,26 @@ def report_totals(spark, sf):
     return report.report_totals(_results(spark, sf))
 
 
+@query
+def report_merged(spark, sf):
+    """The report after three runs, one of them repeated; sketches only say whether they are close."""
+    results, store = _results(spark, sf), ingest.scratch(spark, "summaries")
+    for run in (0, 1, 2, 1):
+        summaries.add_run(results.filter(F.col("doc_id") % 3 == run), f"r{run}", store)
+    found = summaries.report(summaries.summaries(spark, store)).first()
+    size, median = F.col("content_size"), found["size_quantiles"][0]
+    exact = {c: F.lit(found[c]).alias(c) for c in ("total", "successful", "failed", "total_size")}
+    distinct = F.countDistinct(route_of(F.col("url")))
+    return results.agg(
+        *exact.values(),
+        F.round(F.lit(found["success_rate"]), 6).alias("success_rate"),
+        F.round(F.lit(found["avg_processing_ms"]), 6).alias("avg_processing_ms"),
+        (F.abs(found["routes"] - distinct) <= 0.04 * distinct).alias("routes_close"),
+        ((F.avg((size < median).cast("int")) <= 0.53) & (F.avg((size <= median).cast("int")) >= 0.47)).alias("median_close"),
+    ).selectExpr("CAST(total AS BIGINT) AS total", "CAST(successful AS BIGINT) AS successful", "CAST(failed AS BIGINT) AS failed",
+                 "CAST(total_size AS BIGINT) AS total_size", "success_rate", "avg_processing_ms", "routes_close", "median_close")
+
+
 @query
 def failed_urls(spark, sf):
     return report.failed_urls(_results(spark, sf))
