@@ -1,4 +1,5 @@
 import random
+import time
 from decimal import Decimal
 
 import pytest
@@ -243,6 +244,30 @@ def test_many_rules_match_as_one_by_one(spark):
     assert sorted(map(tuple, parts.collect())) == brute_rules(texts, [r for r in table if r[0] < 300 or r[0] >= 20_000])
 
 
+def test_a_rule_costs_no_more_for_a_text_of_many_keywords(spark):
+    """Texts that hold all keywords, and rules that all match them."""
+    names = [f"w{i:04d}x" for i in range(3000)]
+    docs = spark.range(300).repartition(8).select(F.col("id").alias("row"), F.lit(" ".join(names)).alias("t"))
+    frame = spark.createDataFrame([(r, [names[r % 3000], names[r * 7 % 2999], names[r * 13 % 2998]]) for r in range(12_000)], "rule bigint, words array<string>")
+    start = time.time()
+    found = rules.rule_matches(docs, "row", "t", frame, "rule", "words")
+    assert found.agg(F.count("*"), F.count_distinct("row", "rule")).first()[:] == (300 * 12_000, 300 * 12_000)
+    assert time.time() - start < 30
+
+
+def test_sets_of_several_passes_match_alike(spark):
+    rng = random.Random(8)
+    texts = [(i, " ".join(rng.choice("abcdefgh") + rng.choice("xyz") for _ in range(9))) for i in range(60)] + [(None, "ax by"), (None, "ax by")]
+    table = [(r % 50, [rng.choice("abcdefgh") + rng.choice("xyz") for _ in range(rng.randint(1, 3))]) for r in range(100)]
+    table = list({(r, tuple(dict.fromkeys(w))) for r, w in table}) + [(None, ("ax",))]
+    docs = spark.createDataFrame(texts, "row bigint, t string")
+    frame = spark.createDataFrame([(r, list(w)) for r, w in table] * 2, "rule bigint, words array<string>")
+    found = rules.rule_matches(docs, "row", "t", frame, "rule", "words", block=20)
+    key = lambda pair: tuple(-1 if x is None else x for x in pair)
+    expected = [(i, r) for i, t in texts for r, words in table if all(w in t for w in words)]
+    assert sorted(map(tuple, found.collect()), key=key) == sorted(expected, key=key)
+
+
 def test_rules_or_texts_may_be_missing(spark):
     docs = spark.createDataFrame([(1, "a b")], "row bigint, t string")
     none = spark.createDataFrame([], "rule bigint, words array<string>")
