@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from webcorpus.operators import rates
+from webcorpus.plans.registry import QUERIES
 from webcorpus.streaming import ingest, requests as live
 
 START = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
@@ -255,6 +256,23 @@ def test_ingest_stores_a_route_once(spark, tmp_path):
     assert found == sorted([1, 4, 5, 7, None, big, 3], key=str)
 
 
+def test_given_tables_stream_from_one_file_or_a_folder(spark, tmp_path):
+    pages = [(i, f"https://a.org/p{i % 7}", "h") for i in range(40)]
+    events = [(i, "ab"[i % 2], i * 700) for i in range(60)]
+    asked = log(spark, events).select(F.lit(1).alias("user_id"), F.col("k").alias("event_type"), "ts", F.col("id").alias("event_id"))
+    found = []
+    for name in ("folder", "file"):
+        for table, rows in (("pages", spark.createDataFrame(pages, "page_id bigint, url string, html string")), ("events", asked)):
+            parts = tmp_path / f"{name}-{table}"
+            rows.repartition(3 if name == "folder" else 1).write.parquet(str(parts))
+            at = tmp_path / name / f"{table}.parquet"
+            at.parent.mkdir(exist_ok=True)
+            (parts if name == "folder" else next(parts.glob("*.parquet"))).rename(at)
+        found.append([sorted(map(tuple, QUERIES[q](spark, str(tmp_path / name)).collect())) for q in ("stream_ingest", "throttle_stream")])
+    assert found[0] == found[1]
+    assert len(found[0][0]) == 7 and sum(n for _, _, n, _ in found[0][1]) == 60
+
+
 def test_ingest_costs_what_arrives(spark, tmp_path):
     """Many small batches over a growing store: the last take no longer than the first ones."""
     schema = "page_id bigint, url string, html string"

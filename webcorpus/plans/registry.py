@@ -671,7 +671,7 @@ def _replay(spark, sf, name, job):
     """A streaming job over the whole event log, all windows closed."""
     schema = table(spark, sf, "events").schema
     return ingest.replay(
-        spark, sf, schema, "events.parquet", "ts", lambda s: job(readers.utc_times(s, "ts")), name
+        spark, ingest.given(sf, "events.parquet"), schema, "*", "ts", lambda s: job(readers.utc_times(s, "ts")), name
     )
 
 
@@ -704,7 +704,7 @@ def stream_dedup(spark, sf):
 
 @query
 def stream_ingest(spark, sf):
-    pages = ingest.stream_table(spark, sf, readers.PAGES, "pages.parquet")
+    pages = ingest.stream_table(spark, ingest.given(sf, "pages.parquet"), readers.PAGES, "*")
     store, state = ingest.scratch(spark, "pages"), ingest.scratch(spark, "pages-state")
     ingest.ingest_pages(pages, store, state).awaitTermination()
     return spark.read.parquet(store).select("page_id", "route", "url")

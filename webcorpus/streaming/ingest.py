@@ -41,6 +41,14 @@ def stream_table(
     return reader.parquet(folder)
 
 
+def given(folder: str, name: str) -> str:
+    """A given table as a path to stream from, be it one file or a folder of files.
+
+    A plain path of a stream must be a folder; a pattern, which matches just this name, may be either.
+    """
+    return f"{folder}/{{{name}}}"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder name in the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
