@@ -1,5 +1,6 @@
 from html.parser import HTMLParser
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from webcorpus.functions.text import clean_text, heading_line, mask_phrases
 from webcorpus.operators import chunks, extract
+from webcorpus.operators import markup
 from webcorpus.operators.markup import walk
 
 
@@ -15,6 +17,23 @@ def texts(spark, values, expression):
     return [r.v for r in df.select("i", expression.alias("v")).orderBy("i").collect()]
 
 
+def test_results_of_a_large_batch_are_sent_back_in_pieces(spark):
+    seen = []
+
+    def of(html):
+        seen.append(html)
+        return [html]
+
+    batch = pa.array([str(i) for i in range(2000)] + [None])
+    pieces = markup.page_by_page(iter([batch, batch[:0], batch[:3]]), of, pa.list_(pa.string()))
+    assert len(next(pieces)) == len(seen) == markup.PAGES_AT_ONCE < 1000
+    assert sum(map(len, pieces)) + markup.PAGES_AT_ONCE == 2004 == len(seen)
+    pages = spark.range(1500).coalesce(1).select(F.col("id").alias("page_id"), F.when(F.col("id") % 5 > 0, F.concat(F.lit("<p>t"), "id", F.lit("</p><pre>c</pre>"))).alias("html"))
+    found = extract.text_blocks(pages).collect()
+    assert sorted((r.page_id, r.text) for r in found) == [(i, f"t{i}") for i in range(1500) if i % 5]
+    assert extract.code_blocks(pages).count() == 1200
+
+
 def page(spark, html):
     return spark.createDataFrame([(1, "https://a.org/", html)], "page_id long, url string, html string")
 
