@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from webcorpus.operators import similar
 
@@ -87,6 +88,21 @@ def test_work_grows_slower_than_pairs(spark):
     assert power < 1.6, work
 
 
+def test_what_is_moved_grows_with_the_vectors(spark):
+    """A cell left whole: a vector goes to as many tiles, whatever the number of vectors."""
+    copies = {}
+    for n in (30_000, 300_000):
+        cell = spark.range(n).select(F.lit("2").alias("cell"), "id", F.array(F.lit(0.6), F.lit(0.8)).alias("v"), F.lit(True).alias("home"))
+        rows = similar.tiles(cell)
+        copies[n] = rows.count() / n
+        largest = rows.groupBy("cell", "low", "high").count().agg(F.max("count")).first()[0]
+        assert largest < 2.2 * n / copies[n]
+    assert copies[30_000] == copies[300_000] == similar.PARTS
+    # Wide vectors take more parts, so that two of them still fit a task.
+    wide = cell.limit(500).withColumn("v", F.array_repeat(F.lit(0.1), similar.PART_BYTES // 800))
+    assert similar.tiles(wide).count() == 500 * 5
+
+
 def test_clusters_of_many_vectors(spark):
     x = np.concatenate([groups(30_000, dim=64, latent=5, seed=6), scattered(20_000, seed=7)])
     found = {r.vec_id: r.cluster for r in similar.cosine_dedup(frame(spark, x), "vec_id", "embedding", 0.99).collect()}

@@ -5,8 +5,9 @@ the threshold may have another pivot; by the triangle inequality it then lies no
 threshold's distance from the plane between the two cells. Whoever lies that close to a plane is
 also put into the cell behind it, so every similar pair meets in the cell of each of the two. Large
 cells are dealt again around pivots of their own. Where no pivots part the vectors, as where all lie
-far apart in all directions, a cell is left whole and compared in tiles. Nothing depends on chance
-but the time it takes.
+far apart in all directions, a cell is left whole and compared in tiles: time then grows with the
+square of the cell, but what is moved grows with the cell, as the number of its parts is fixed until
+a part no longer fits a task. Nothing depends on chance but the time it takes.
 """
 
 from __future__ import annotations
@@ -30,7 +31,9 @@ PIVOTS = 128
 LEAF = 8192  # a cell is dealt on if it has more pairs than this squared
 GAIN = 2.0  # times by which dealing must lessen the pairs
 PACK = 1024  # vectors that meet their cell's pivots at once, about
-BLOCK = 8192  # vectors of a cell that are compared in one task, on either side
+PARTS = 12  # a cell too large for one task is dealt into this many parts, and each vector sent once a part
+PART = 2048  # vectors that are worth a part of their own
+PART_BYTES = 64 << 20  # a task holds two parts, so only larger ones call for more of them
 
 
 def _matrix(vectors: pa.Array) -> np.ndarray:
@@ -129,20 +132,21 @@ def metric_cells(
         rows = cut_lineage(judged.filter("live IS NOT NULL").mapInArrow(deal, "cell string, id bigint, v array<double>, home boolean"))
 
 
-def tiles(cells: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(members): what one task compares, an array of (part, id, v, home) of one or two parts of a cell.
+def tiles(cells: DataFrame, block: int | None = None) -> DataFrame:
+    """(cell, low, high, part, id, v, home): rows of one (cell, low, high) are what one task compares.
 
-    A cell of n vectors is dealt into about n / ``block`` parts, and each pair of parts is a row, so
-    no task holds more than two parts. Cells of one vector go.
+    A cell is dealt into parts, and each pair of parts is a tile, so no task holds more than two
+    parts and a vector is sent as often as there are parts. ``block`` bounds the vectors of a part;
+    by default their bytes do. Cells of one vector go.
     """
-    sizes = cells.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
-    parts = sizes.select("cell", F.ceil(F.col("n") / block).alias("parts"))
-    placed = lookup_join(cells, parts, "cell", "inner", spread_by="id", settle=True)
+    sizes = cells.groupBy("cell").agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).filter("n > 1")
+    most = F.lit(block) if block else F.greatest(F.lit(1), F.floor(F.lit(PART_BYTES) / (8 * F.col("width"))))
+    parts = F.greatest(F.ceil(F.col("n") / most), F.least(F.lit(PARTS), F.ceil(F.col("n") / PART)))
+    placed = lookup_join(cells, sizes.select("cell", parts.alias("parts")), "cell", "inner", spread_by="id", settle=True)
     placed = placed.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
     others = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("other")
-    low, high = F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high")
-    met = placed.select("cell", "id", "v", "home", "part", others).groupBy("cell", low, high)
-    return met.agg(F.collect_list(F.struct("part", "id", "v", "home")).alias("members"))
+    met = placed.select("cell", "id", "v", "home", "part", others)
+    return met.select("cell", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "id", "v", "home")
 
 
 def merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -168,16 +172,18 @@ def _linked(own: np.ndarray, label: np.ndarray, rows: np.ndarray, columns: np.nd
     """
     slack = 1.2e-7 * (own.shape[1] + 8)
     single = own.astype(np.float32)
-    right = single[columns].T
-    for at in range(0, len(rows), 256):
-        some = rows[at : at + 256]
-        near = single[some] @ right
-        i, j = np.nonzero(near >= threshold - slack)
-        sure = near[i, j] >= threshold + slack
-        a, b = some[i], columns[j]
-        unsure = np.flatnonzero(~sure)
-        sure[unsure] = np.einsum("ij,ij->i", own[a[unsure]], own[b[unsure]]) >= threshold
-        label = merged(label, a[sure], b[sure])
+    for left in range(0, len(columns), 8192):
+        across = columns[left : left + 8192]
+        right = single[across].T
+        for at in range(0, len(rows), 256):
+            some = rows[at : at + 256]
+            near = single[some] @ right
+            i, j = np.nonzero(near >= threshold - slack)
+            sure = near[i, j] >= threshold + slack
+            a, b = some[i], across[j]
+            unsure = np.flatnonzero(~sure)
+            sure[unsure] = np.einsum("ij,ij->i", own[a[unsure]], own[b[unsure]]) >= threshold
+            label = merged(label, a[sure], b[sure])
     return label
 
 
@@ -186,7 +192,7 @@ def similar_links(
     threshold: float,
     pivots: int = PIVOTS,
     leaf: int = LEAF,
-    block: int = BLOCK,
+    block: int | None = None,
 ) -> DataFrame:
     """(a, b): links that connect the vectors as all pairs of at least ``threshold`` do.
 
@@ -195,25 +201,19 @@ def similar_links(
     """
     cells = cut_lineage(metric_cells(units, threshold, pivots, leaf))
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for members in batch.column(0):
-                rows = members.values
-                ids, own = rows.field("id").to_numpy(), _matrix(rows.field("v"))
-                part = rows.field("part").to_numpy()
-                home = rows.field("home").to_numpy(zero_copy_only=False)
-                first = part == part.min()
-                second = ~first if not first.all() else first
-                label = np.arange(len(ids))
-                label = _linked(own, label, np.flatnonzero(first & home), np.flatnonzero(second), threshold)
-                if second is not first:
-                    label = _linked(own, label, np.flatnonzero(second & home), np.flatnonzero(first & ~home), threshold)
-                moved = label != np.arange(len(ids))
-                if moved.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]])], ["a", "b"])
-
-    spread = tiles(cells, block).select("members").repartition(F.xxhash64("members.id"))
-    return spread.mapInArrow(compare, "a bigint, b bigint").distinct()
+    def compare(rows: pa.Table) -> pa.Table:
+        ids, own = rows["id"].to_numpy(), _matrix(rows["v"].combine_chunks())
+        part, home = rows["part"].to_numpy(), rows["home"].to_numpy()
+        first = part == part.min()
+        second = ~first if not first.all() else first
+        label = np.arange(len(ids))
+        label = _linked(own, label, np.flatnonzero(first & home), np.flatnonzero(second), threshold)
+        if second is not first:
+            label = _linked(own, label, np.flatnonzero(second & home), np.flatnonzero(first & ~home), threshold)
+        moved = label != np.arange(len(ids))
+        return pa.table({"a": ids[moved], "b": ids[label[moved]]})
+
+    return tiles(cells, block).groupBy("cell", "low", "high").applyInArrow(compare, "a bigint, b bigint").distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
