@@ -1,5 +1,8 @@
 import datetime as dt
+import math
+import random
 
+import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -157,6 +160,43 @@ def test_stream_dedup_has_an_exact_ttl(spark, arrivals):
     assert {(r.k, r.ms - start) for r in out.collect()} == expected
 
 
+def test_closed_milliseconds_are_replayed_as_they_arrive():
+    """A million of one key, unsorted and in two batches, with the bucket as the only state."""
+
+    class Value:
+        held = None
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held = value
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return Value()
+
+    rng = random.Random(3)
+    counts = [(7 * i, rng.randint(1, 3)) for i in range(1_000_000)]
+    processor, found = live.TokenBucket(5, 200.0), []
+    processor.init(Handle())
+    for batch in (counts[:400_000], counts[400_000:]):
+        rng.shuffle(batch)
+        parts = [pd.DataFrame(batch[at : at + 9_999], columns=["ms", "n"]) for at in range(0, len(batch), 9_999)]
+        for out in processor.handleInputRows(("k",), iter(parts), None):
+            assert len(out) <= live.SENT and set(out["key"]) == {"k"}
+            found += zip(out["ms"].tolist(), out["n_requests"].tolist(), out["n_admitted"].tolist())
+    tokens, last, expected = 5, 0, []
+    for ms, n in sorted(counts[:400_000]) + sorted(counts[400_000:]):
+        tokens = min(5, tokens + math.floor((ms - last) * 200.0 / 1000))
+        expected.append((ms, n, min(tokens, n)))
+        tokens, last = tokens - min(tokens, n), ms
+    assert found == expected
+
+
 def test_replay_leaves_nothing_in_the_state(spark, tmp_path):
     minute = 60_000
     rows = [(i, "abc"[i % 3], i * 7 * minute) for i in range(40)]

@@ -6,6 +6,7 @@ import math
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -16,53 +17,41 @@ from webcorpus.operators import rates
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+SENT = 100_000  # milliseconds sent back at once
+
 
 class TokenBucket(StatefulProcessor):
     """Counts admitted requests per key and millisecond, in event-time order.
 
-    Milliseconds wait in the state until the watermark has passed them, so late arrivals within
-    the watermark delay are placed where they belong.
+    What arrives are milliseconds that the watermark has closed: none of them comes again, and those
+    of a later batch lie after them. So a batch is sorted and replayed, and only the bucket is state.
     """
 
     def __init__(self, capacity: int, rate: float):
         self.capacity, self.rate = capacity, rate
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
         self.bucket = handle.getValueState("bucket", "tokens bigint, last_ms bigint")
-        self.waiting = handle.getListState("waiting", "ms bigint, n bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            self.waiting.appendList(list(zip(batch["ms"].tolist(), batch["n"].tolist())))
-            self.handle.registerTimer(int(batch["ms"].min()))
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        watermark = timerValues.getCurrentWatermarkInMs()
-        counts: dict[int, int] = {}
-        for ms, n in self.waiting.get():
-            counts[ms] = counts.get(ms, 0) + n
-        ready = sorted(ms for ms in counts if ms <= watermark)
-        if not ready:
-            return
+        closed = [(batch["ms"].to_numpy(), batch["n"].to_numpy()) for batch in rows]
+        ms, counts = (np.concatenate(column) for column in zip(*closed))
+        order = np.argsort(ms, kind="stable")
+        ms, counts = ms[order], counts[order]
         tokens, last = self.bucket.get() if self.bucket.exists() else (self.capacity, None)
-        rows = []
-        for ms in ready:
-            n = counts.pop(ms)
-            if last is not None:
-                gained = max(0, math.floor((ms - last) * self.rate / 1000))
-                tokens = min(self.capacity, tokens + gained)
-            admitted = min(tokens, n)
-            tokens, last = tokens - admitted, ms
-            rows.append((key[0], ms, n, admitted))
-        self.bucket.update((tokens, last))
-        if counts:
-            self.waiting.put(sorted(counts.items()))
-            self.handle.registerTimer(min(counts))
-        else:
-            self.waiting.clear()
-        yield pd.DataFrame(rows, columns=["key", "ms", "n_requests", "n_admitted"])
+        for low in range(0, len(ms), SENT):
+            at, n = ms[low : low + SENT], counts[low : low + SENT]
+            admitted = []
+            for now, wanted in zip(at.tolist(), n.tolist()):
+                if last is not None:
+                    gained = max(0, math.floor((now - last) * self.rate / 1000))
+                    tokens = min(self.capacity, tokens + gained)
+                taken = min(tokens, wanted)
+                tokens, last = tokens - taken, now
+                admitted.append(taken)
+            if low + SENT >= len(ms):
+                self.bucket.update((tokens, last))
+            yield pd.DataFrame({"key": key[0], "ms": at, "n_requests": n, "n_admitted": admitted})
 
     def close(self) -> None:
         pass
