@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from webcorpus.functions.stems import porter_stem
 from webcorpus.operators import classify, policy, rules
+from webcorpus.plans import derived
 
 
 def texts(spark, values, expression):
@@ -268,6 +269,53 @@ def test_sets_of_several_passes_match_alike(spark):
     assert sorted(map(tuple, found.collect()), key=key) == sorted(expected, key=key)
 
 
+def test_rules_are_not_checked_text_by_text(spark):
+    """Ten thousand million pairs of text and rule, of which some hundred match."""
+    n, moduli = 100_000, (331, 317, 313)
+    parts = lambda factors: [F.concat(F.lit(c), F.col("id") * f % m, F.lit("x")) for c, f, m in zip("abc", factors, moduli, strict=True)]
+    docs = spark.range(n, numPartitions=8).select(F.col("id").alias("row"), F.concat_ws(" ", *parts((1, 7, 11))).alias("t"))
+    frame = spark.range(n).select(F.col("id").alias("rule"), F.array(*parts((1, 1, 1))).alias("words"))
+    start = time.time()
+    found = rules.rule_matches(docs, "row", "t", frame, "rule", "words")
+    rows = sorted(map(tuple, found.collect()))
+    assert time.time() - start < 20
+    of = {tuple(r % m for m in moduli): r for r in range(n)}
+    held = ((t, of.get(tuple(t * f % m for f, m in zip((1, 7, 11), moduli, strict=True)))) for t in range(n))
+    assert rows == [(t, r) for t, r in held if r is not None] and len(rows) > 100
+    # Pairs are neither moved nor joined to anything.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+
+
+def test_many_texts_and_rules_in_one_batch(spark):
+    """More texts than are read at once, a text of more rules than a row of results, and keywords with blanks."""
+    rng = random.Random(12)
+    word = lambda: rng.choice(["ka", "to", "mi", "straße", "x\ny", "é"]) + rng.choice("abcdefgh")
+    texts = [(f"t{i}", None if i % 97 == 0 else " ".join(word() for _ in range(i % 7))) for i in range(rules.TEXTS + 200)]
+    texts += [("all", " ".join(f"q{i:04d}" for i in range(rules.LIST + 10)))] + [(None, "KAA  TOB"), (None, "KAA  TOB")]
+    table = [(r, [w() for w in [word] * rng.randint(1, 5)]) for r in range(150)] + [(r, [f"{word()} {word()}"]) for r in range(200, 220)]
+    table += [(300, [" "]), (301, ["  "]), (302, ["aa  to", "b"]), (None, ["kaa"]), (303, ["sse"])]
+    table += [(1000 + i, [f"Q{i:04d}"]) for i in range(rules.LIST + 10)]
+    docs = spark.createDataFrame(texts, "row string, t string").coalesce(1)
+    frame = spark.createDataFrame([(None if r is None else f"r{r}", w) for r, w in table], "rule string, words array<string>")
+    found = rules.rule_matches(docs, "row", "t", frame, "rule", "words")
+    named = [(None if r is None else f"r{r}", w) for r, w in table]
+    key = lambda pair: tuple(x or "" for x in pair)
+    sought = [(r, [w.lower() for w in words]) for r, words in named]
+    expected = [(i, r) for i, t in texts if t for r, words in sought if all(w in t.lower() for w in words)]
+    assert sorted(map(tuple, found.collect()), key=key) == sorted(expected, key=key)
+
+
+def test_words_of_rules_are_cut_out_of_the_texts_alike(spark, tmp_path):
+    texts = ["A b  C d E f G h", "one", "", None, "x Σ Σ ΑΣ yΣ zΣ ΟΔΟΣ Σa", "1 2 3 4 5 6 7", "İ I ß\nQ Ö  É", " lead ing a b c d"]
+    spark.createDataFrame([*enumerate(texts), (1, "again A b C d e f"), (None, "no id a b c d e")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i,) for i in [*range(8), 1, 0, 99, None]], "doc_id bigint").write.parquet(f"{tmp_path}/labels.parquet")
+    before = derived.derive(spark, str(tmp_path), derived.RULES).select("rule_id", F.array("a", "b", "c").alias("keywords"))
+    found = derived.rules(spark, str(tmp_path))
+    assert found.schema["rule_id"].dataType == before.schema["rule_id"].dataType and found.columns == before.columns
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, before.collect())) and found.count() == 12
+
+
 def test_rules_or_texts_may_be_missing(spark):
     docs = spark.createDataFrame([(1, "a b")], "row bigint, t string")
     none = spark.createDataFrame([], "rule bigint, words array<string>")
