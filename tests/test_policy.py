@@ -306,6 +306,20 @@ def test_many_texts_and_rules_in_one_batch(spark):
     assert sorted(map(tuple, found.collect()), key=key) == sorted(expected, key=key)
 
 
+def test_a_pass_is_bounded_by_letters_and_by_what_rules_name(spark):
+    passes = lambda found: found._jdf.queryExecution().executedPlan().toString().count("MapInArrow")
+    names = [f"{i:02d}" * 25 for i in range(60)]
+    docs = spark.createDataFrame([(i, f"{names[i]} {names[-1]} ab") for i in range(60)], "row bigint, t string")
+    long = spark.createDataFrame([(i, [names[i]]) for i in range(60)], "rule bigint, words array<string>")
+    found = rules.rule_matches(docs, "row", "t", long, "rule", "words", block=10)  # 3000 letters, 400 a pass
+    assert passes(found) == 8
+    assert sorted(map(tuple, found.collect())) == sorted({(i, r) for i in range(60) for r in (i, 59)})
+    same = spark.createDataFrame([(i, ["ab"]) for i in range(100)], "rule bigint, words array<string>")
+    found = rules.rule_matches(docs, "row", "t", same, "rule", "words", block=1)  # 2 letters, named 100 times
+    assert passes(found) == 5
+    assert sorted(map(tuple, found.collect())) == [(i, r) for i in range(60) for r in range(100)]
+
+
 def test_words_of_rules_are_cut_out_of_the_texts_alike(spark, tmp_path):
     texts = ["A b  C d E f G h", "one", "", None, "x Σ Σ ΑΣ yΣ zΣ ΟΔΟΣ Σa", "1 2 3 4 5 6 7", "İ I ß\nQ Ö  É", " lead ing a b c d"]
     spark.createDataFrame([*enumerate(texts), (1, "again A b C d e f"), (None, "no id a b c d e")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
